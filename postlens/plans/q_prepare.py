@@ -345,9 +345,9 @@ def first_batches(spark, d):
 
 @query("posts_older_than", "DAT2", V.with_sql(V.EVENT_POSTS_SQL) + """
 SELECT "Type" AS post_type, count(*) AS n FROM event_posts
-WHERE "Created" <= CAST(DATE '2024-03-01' - INTERVAL 2 MONTH AS TIMESTAMP) GROUP BY 1
+WHERE "Created" <= CAST(DATE '2024-03-15' - INTERVAL 2 MONTH AS TIMESTAMP) GROUP BY 1
 """)
 def posts_older_than(spark, d):
     from postlens.functions.arrays import older_than_months
-    p = V.event_posts(spark, d).where(older_than_months(F.col("Created"), "2024-03-01", 2))
+    p = V.event_posts(spark, d).where(older_than_months(F.col("Created"), "2024-03-15", 2))
     return S.count_by(p.withColumnRenamed("Type", "post_type"), "post_type")
