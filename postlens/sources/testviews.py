@@ -143,3 +143,20 @@ STANCE_GUESS_SQL = f"""stance_guess AS (
 
 def with_sql(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# --- trial logs: conversations -------------------------------------------------
+
+def trial_log(spark, d) -> DataFrame:
+    """One row per (trial, iteration): ``conv_id`` -> trial, ``turn + 1`` ->
+    iteration, loss and F1 derived from the turn's text length."""
+    c = table(spark, d, "conversations")
+    n = F.char_length("text")
+    return c.select(F.col("conv_id").alias("trial_id"), (F.col("turn") + 1).cast("int").alias("training_iteration"),
+                    (n / 100.0).alias("loss"), ((n % 100) / 100.0).alias("mean_F1"), F.col("role"))
+
+
+TRIAL_LOG_SQL = """trial_log AS (
+  SELECT conv_id AS trial_id, CAST(turn + 1 AS INTEGER) AS training_iteration,
+         length(text) / 100.0 AS loss, (length(text) % 100) / 100.0 AS mean_F1, role
+  FROM conversations)"""
