@@ -113,7 +113,7 @@ def onehot_ml(train: DataFrame, cols):
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc",
                          handleInvalid="keep") for c in cols]
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=[f"{c}__vec" for c in cols],
-                        dropLast=True, handleInvalid="keep")
+                        dropLast=True)
     asm = VectorAssembler(inputCols=[f"{c}__vec" for c in cols], outputCol="cat_vec")
     return Pipeline(stages=[*idx, ohe, asm]).fit(train)
 
