@@ -116,8 +116,7 @@ def read_trials(spark: SparkSession, root: str, kind: str = "csv") -> DataFrame:
 def read_run_params(spark: SparkSession, root: str, pattern: str = "hparams.yaml") -> DataFrame:
     """SRC5: flat YAML run parameters: top-level scalars plus two indented
     maps (``stance_encoding``, ``target_encoding``).  Only this flat dialect."""
-    txt = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", pattern).text(root)
+    txt = (spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
            .select(F.col("_metadata.file_path").alias("path"), "value"))
     lines = txt.select("path", F.posexplode(F.split("value", "\n")).alias("ln", "line")).where(F.trim("line") != "")
     lines = lines.select("path", "ln", "line",
