@@ -26,8 +26,15 @@ def token_table(df: DataFrame, key: str, text: str, out: str = "token") -> DataF
     return df.select(key, F.posexplode(T.tokenize(text)).alias("pos", out))
 
 
+def split_stopwords(tokens: DataFrame, stop_words: DataFrame, token: str = "token"):
+    """JN8/SET4: (stop-word tokens, other tokens) by semi and anti join.  The
+    stop list is a fixed list of known size, so it is broadcast."""
+    s = F.broadcast(stop_words.select(token))
+    return tokens.join(s, token, "left_semi"), tokens.join(s, token, "left_anti")
+
+
 def build_vocab(tokens: DataFrame, min_freq: int = 10, token: str = "token") -> DataFrame:
-    """AGG15: tokens seen at least ``min_freq`` times; ids from 2 by
+    """AGG15/FEA5: tokens seen at least ``min_freq`` times; ids from 2 by
     (frequency desc, token asc); 0 and 1 are ``<unk>`` and ``<pad>``.
 
     The id is assigned by a global ranking over the vocabulary only (after

@@ -39,7 +39,7 @@ vocab AS (SELECT token, freq, CAST(row_number() OVER (ORDER BY freq DESC, token
 
 
 def doc_split(spark, d):
-    return SP.split_posts(V.doc_posts(spark, d), "row_idx")
+    return SP.split_posts(V.doc_text(spark, d), "row_idx")
 
 
 def doc_tokens(spark, d):
@@ -247,9 +247,8 @@ SELECT (SELECT count(*) FROM tok WHERE token IN ({_STOP_SQL})) AS n_stop,
 def stopword_split(spark, d):
     toks = doc_tokens(spark, d)
     stops = spark.createDataFrame([(w,) for w in T.STOP_WORDS], "token string")
-    semi = toks.join(F.broadcast(stops), "token", "left_semi").agg(F.count(F.lit(1)).alias("n_stop"))
-    anti = toks.join(F.broadcast(stops), "token", "left_anti").agg(F.count(F.lit(1)).alias("n_other"))
-    return semi.crossJoin(anti)
+    semi, anti = FE.split_stopwords(toks, stops)
+    return semi.agg(F.count(F.lit(1)).alias("n_stop")).crossJoin(anti.agg(F.count(F.lit(1)).alias("n_other")))
 
 
 @query("corpus_stats", "AGG26", V.with_sql(V.STANCE_GOLD_SQL) + f""",

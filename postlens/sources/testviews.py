@@ -92,6 +92,16 @@ def doc_posts(spark, d) -> DataFrame:
     )
 
 
+def doc_text(spark, d) -> DataFrame:
+    """:func:`doc_posts` without the link columns (no join to ``pages``), for
+    jobs that only read the text."""
+    docs = table(spark, d, "documents")
+    return docs.select(
+        F.col("doc_id").alias("row_idx"), F.col("source").alias("group_id"), F.col("source").alias("Name"),
+        F.col("lang").alias("Type"), F.col("text").alias("Message"), F.col("lang").alias("Image Text"),
+        F.col("source").alias("Description"), "n_chars")
+
+
 DOC_POSTS_SQL = """doc_posts AS (
   SELECT d.doc_id AS row_idx, d.source AS group_id, d.source AS "Name", d.lang AS "Type",
          d.text AS "Message", d.lang AS "Image Text", p.url AS "Link Text", d.source AS "Description",

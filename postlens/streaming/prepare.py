@@ -44,21 +44,30 @@ def score_against(batch: DataFrame, stats: DataFrame, group: str, value: str) ->
 
 def impact_stream(df: DataFrame, group: str, value: str, checkpoint: str, sink_table: str,
                   trigger_once: bool = True):
-    """Maintain running group sums and write each micro-batch's impact scores
-    to the table ``sink_table`` (append).  The micro-batch joins the running
-    means of all batches up to and including itself."""
+    """Score each micro-batch against the running group means of all batches
+    so far, appending the scored rows to ``sink_table``.
+
+    The running ``(group, n, total)`` table lives next to the stream's
+    checkpoint (a shared folder), one version per epoch: epoch ``e`` reads
+    version ``e-1``, adds the batch's partial sums and writes version ``e``,
+    so a replayed epoch rewrites the same version (idempotent) and nothing is
+    held on the driver.
+    """
     spark = df.sparkSession
-    stats_name = f"{sink_table}__stats"
-    stats_q = (running_group_stats(df, group, value).writeStream.outputMode("complete").format("memory")
-               .queryName(stats_name).option("checkpointLocation", f"{checkpoint}/stats"))
-    stats_q = stats_q.trigger(availableNow=True) if trigger_once else stats_q
-    sq = stats_q.start()
-    sq.awaitTermination()
-
-    def _score(batch: DataFrame, epoch: int) -> None:
-        score_against(batch, spark.table(stats_name), group, value).write.mode("append").saveAsTable(sink_table)
-
-    w = df.writeStream.foreachBatch(_score).option("checkpointLocation", f"{checkpoint}/scores")
+    state = f"{checkpoint}/group_stats"
+
+    def _batch(batch: DataFrame, epoch: int) -> None:
+        part = running_group_stats(batch, group, value)
+        try:
+            prev = spark.read.parquet(f"{state}/epoch={epoch - 1}")
+            merged = prev.unionByName(part).groupBy(group).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        except Exception:  # noqa: BLE001 - first epoch: no previous version
+            merged = part
+        merged.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        stats = spark.read.parquet(f"{state}/epoch={epoch}")
+        score_against(batch, stats, group, value).write.mode("append").saveAsTable(sink_table)
+
+    w = df.writeStream.foreachBatch(_batch).option("checkpointLocation", f"{checkpoint}/scores")
     w = w.trigger(availableNow=True) if trigger_once else w
     q = w.start()
     if trigger_once:
