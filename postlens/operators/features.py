@@ -138,11 +138,17 @@ def category_sizes(categories: DataFrame) -> DataFrame:
 
 
 def token_vectors(tokens_per_row: DataFrame, tokens_col: str = "tokens", dim: int = 32, min_count: int = 5,
-                  seed: int = 42):
+                  seed: int = 42, num_partitions: int | None = None):
     """FEA6: Word2Vec trained on the corpus (no pretrained vectors exist here).
-    Returns ``(token, vector array<double>)``."""
+    Returns ``(token, vector array<double>)``.
+
+    Spark's Word2Vec trains in one partition unless told otherwise; the
+    default here is the cluster's parallelism.  Its vocabulary (words seen at
+    least ``min_count`` times) is held by the driver and broadcast, which is
+    what bounds ``min_count`` from below on a large corpus."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
+    parts = num_partitions or tokens_per_row.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, inputCol=tokens_col,
-                     outputCol="__w2v", maxIter=1).fit(tokens_per_row)
+                     outputCol="__w2v", maxIter=1, numPartitions=max(1, parts)).fit(tokens_per_row)
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))

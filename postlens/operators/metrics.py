@@ -173,9 +173,9 @@ def mse_by_group(df: DataFrame, names: DataFrame, id_col: str = "group_id", pred
     if strict:
         orphans = per.join(names, on=id_col, how="left_anti")
         check = orphans.agg(F.count(F.lit(1)).alias("__orphans"))
-        out = out.crossJoin(check).withColumn("__ok", F.assert_true(F.col("__orphans") == 0,
-                                                                     F.lit("group outside the dictionary")))
-        out = out.drop("__orphans", "__ok")
+        # the assertion is part of an output value so that column pruning cannot drop it
+        ok = F.assert_true(F.col("__orphans") == 0, F.lit("group outside the dictionary"))
+        out = out.crossJoin(check).withColumn("n", F.coalesce(ok.cast("long"), F.col("n"))).drop("__orphans")
     return out
 
 

@@ -135,8 +135,9 @@ SELECT row_idx, md5(array_to_string(toks, ' ')) AS decoded_md5, CAST(len(toks) A
 """)
 def decode_tokens(spark, d):
     ds = doc_split(spark, d)
-    seq = FE.encode_text(ds, "row_idx", "Message", train_vocab(spark, d)).where(F.size("ids") > 0)
-    dec = FE.decode_tokens(seq, train_vocab(spark, d), "row_idx")
+    vocab = train_vocab(spark, d)
+    seq = FE.encode_text(ds, "row_idx", "Message", vocab).where(F.size("ids") > 0)
+    dec = FE.decode_tokens(seq, vocab, "row_idx")
     return dec.select("row_idx", F.md5("decoded").alias("decoded_md5"),
                       F.size(F.split("decoded", " ")).cast("long").alias("n_tokens"))
 

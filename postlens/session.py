@@ -72,3 +72,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor does not force recomputation of a long lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+TEXT_PARTITIONS_KEY = "postlens.textPartitions"
+
+
+def spread_text(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over ``postlens.textPartitions`` partitions before
+    CPU-heavy per-row text work, when that setting is positive.
+
+    Unset (the default), nothing changes: on real data the Parquet scan is
+    already split by row groups and a shuffle of raw text would cost more
+    than it saves.  Benchmarks on single-row-group files set it to the core
+    count so that tokenization is not done by one task.
+    """
+    n = int(df.sparkSession.conf.get(TEXT_PARTITIONS_KEY, "0") or 0)
+    return df.repartition(n) if n > 0 else df

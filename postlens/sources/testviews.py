@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.operators.splits import hash_bucket
+from postlens.session import spread_text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +77,7 @@ LINEITEM_POSTS_SQL = """lineitem_posts AS (
 def doc_posts(spark, d) -> DataFrame:
     """``doc_id`` -> row key, ``text`` -> Message, ``lang`` -> Type and Image
     Text, ``source`` -> group and Name/Description, page url -> Link/Link Text."""
-    docs = table(spark, d, "documents")
+    docs = spread_text(table(spark, d, "documents"))
     pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("Link"))
     return docs.join(pages, on="doc_id", how="left").select(
         F.col("doc_id").alias("row_idx"),
@@ -95,7 +96,7 @@ def doc_posts(spark, d) -> DataFrame:
 def doc_text(spark, d) -> DataFrame:
     """:func:`doc_posts` without the link columns (no join to ``pages``), for
     jobs that only read the text."""
-    docs = table(spark, d, "documents")
+    docs = spread_text(table(spark, d, "documents"))
     return docs.select(
         F.col("doc_id").alias("row_idx"), F.col("source").alias("group_id"), F.col("source").alias("Name"),
         F.col("lang").alias("Type"), F.col("text").alias("Message"), F.col("lang").alias("Image Text"),
@@ -114,7 +115,7 @@ DOC_POSTS_SQL = """doc_posts AS (
 def stance_gold(spark, d) -> DataFrame:
     """``ID, Target, Tweet, Stance`` plus ``row_idx``: toxic -> AGAINST,
     quality and not toxic -> FAVOR, both 0 -> NONE, no label -> UNKNOWN."""
-    docs = table(spark, d, "documents")
+    docs = spread_text(table(spark, d, "documents"))
     labels = table(spark, d, "labels").withColumnRenamed("doc_id", "__lid")
     j = docs.join(labels, docs["doc_id"] == labels["__lid"], "left")
     stance = (F.when(F.col("__lid").isNull(), F.lit("UNKNOWN"))
@@ -135,7 +136,7 @@ STANCE_GOLD_SQL = """stance_gold AS (
 
 def stance_guess(spark, d) -> DataFrame:
     """Predictions by a fixed rule on length and hash bucket, so both engines agree."""
-    docs = table(spark, d, "documents")
+    docs = spread_text(table(spark, d, "documents"))
     b = hash_bucket("doc_id")
     guess = (F.when(F.col("n_chars") < 300, F.lit("NONE"))
              .when(b < 50, F.lit("AGAINST"))

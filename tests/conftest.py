@@ -17,6 +17,8 @@ def spark():
     wh = tempfile.mkdtemp(prefix="postlens-wh-")
     s = get_session("local[4]", 4, extra={"spark.sql.warehouse.dir": wh})
     s.sparkContext.setLogLevel("FATAL")
+    # test files are single Parquet row groups: exercise the text-spreading path
+    s.conf.set("postlens.textPartitions", "4")
     yield s
     s.stop()
 

@@ -107,3 +107,23 @@ def test_row_index_dense(spark):
     df = spark.range(0, 1000, 7).withColumnRenamed("id", "k").repartition(5)
     idx = P.with_row_index(df, "k").orderBy("k").collect()
     assert [r.row_idx for r in idx] == list(range(len(idx)))
+
+
+def test_mse_by_group_keeps_empty_groups_and_rejects_orphans(spark):
+    import pytest
+    names = spark.createDataFrame([(1, "a"), (2, "b")], "group_id long, Name string")
+    rows = spark.createDataFrame([(1, 1.0, 2.0), (1, 3.0, 3.0)], "group_id long, prediction double, score double")
+    out = {r.group_id: (r.mse, r.n) for r in M.mse_by_group(rows, names).collect()}
+    assert out == {1: (0.5, 2), 2: (None, 0)}
+    orphan = rows.unionByName(spark.createDataFrame([(9, 1.0, 1.0)], rows.schema))
+    with pytest.raises(Exception, match="group outside the dictionary"):
+        M.mse_by_group(orphan, names).collect()
+
+
+def test_inverse_onehot_unseen_is_null(spark):
+    train = spark.createDataFrame([(0, "a", "x"), (1, "b", "y")], "row_idx long, t string, u string")
+    test = spark.createDataFrame([(2, "c", "x")], "row_idx long, t string, u string")
+    cats = FE.fit_onehot(train, ["t", "u"])
+    long = FE.onehot_long(test, "row_idx", ["t", "u"], cats)
+    inv = FE.inverse_onehot(long, "row_idx", cats, ["t", "u"]).first()
+    assert inv.t is None and inv.u == "x"
