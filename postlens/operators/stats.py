@@ -43,9 +43,35 @@ def histogram(df: DataFrame, col: str, bins: int = 100, by=(), lo=None, hi=None)
 
 
 def median(df: DataFrame, col: str, by=(), exact: bool = True) -> DataFrame:
-    """AGG6: exact median (interpolated) or ``percentile_approx`` at scale."""
-    m = F.median(col) if exact else F.percentile_approx(col, 0.5, 10000)
-    return df.groupBy(*by).agg(m.alias("median")) if by else df.agg(m.alias("median"))
+    """AGG6: median per group, interpolated between the two middle values.
+
+    ``exact=True`` never buffers a group in one task: rows are range-sorted
+    on ``(group, value)`` (a hot group is split over many partitions), each
+    row gets its global position (PRJ9), and per group only the first
+    position and the count are aggregated; the one or two middle rows are
+    then picked by position and averaged.  ``exact=False`` is
+    ``percentile_approx`` (one pass, bounded memory).
+    """
+    from postlens.operators.prepare import with_row_index
+    by = list(by)
+    if not exact:
+        m = F.percentile_approx(col, 0.5, 10000)
+        return df.groupBy(*by).agg(m.alias("median")) if by else df.agg(m.alias("median"))
+    keys = by or ["__g"]
+    base = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__v"))
+    if not by:
+        base = base.withColumn("__g", F.lit(0))
+    ranked = with_row_index(base, [*keys, "__v"], "__r")
+    stats = ranked.groupBy(*keys).agg(F.min("__r").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    s2 = stats.select(*[F.col(k).alias(f"__s_{k}") for k in keys], "__first", "__n")
+    cond = [ranked[k].eqNullSafe(s2[f"__s_{k}"]) for k in keys]
+    r = ranked.join(s2, cond, "inner")
+    pos = F.col("__r") - F.col("__first")
+    lo = F.floor((F.col("__n") - 1) / 2)
+    hi = F.ceil((F.col("__n") - 1) / 2)
+    mid = r.where((pos == lo) | (pos == hi))
+    out = mid.groupBy(*keys).agg(F.avg("__v").alias("median"))
+    return out.select(*by, "median") if by else out.select("median")
 
 
 def mean(df: DataFrame, col: str, by=()) -> DataFrame:
