@@ -61,12 +61,13 @@ def decode_stance(col: str = "stance_id") -> Column:
 def target_codes(df: DataFrame, target: str = "Target", order: str = "row_idx") -> DataFrame:
     """JN3: targets numbered 0.. in order of first appearance.
 
-    The dictionary has one row per distinct target; the ranking window runs
-    over that small table only.
+    One row per distinct target (partial aggregation), then the dense
+    distributed row index of PRJ9 over that table; no single-partition window.
     """
-    from pyspark.sql import Window
+    from postlens.operators.prepare import with_row_index
     firsts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.min(order).alias("__first"))
-    return firsts.select(target, (F.row_number().over(Window.orderBy("__first")) - 1).cast("int").alias("target_id"))
+    ranked = with_row_index(firsts, "__first", "__id", stable=False)
+    return ranked.select(target, F.col("__id").cast("int").alias("target_id"))
 
 
 def encode_labels(df: DataFrame, codes: DataFrame, target: str = "Target", stance: str = "Stance",

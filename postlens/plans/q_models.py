@@ -121,3 +121,24 @@ def hyper_search(spark, d):
     gold = V.stance_gold(spark, d).where(F.col("Stance") != "UNKNOWN")
     enc = M.encode_labels(gold, M.target_codes(gold))
     return ML.search(enc, "Tweet", "stance_id", reg_params=(0.01, 0.1), max_iters=(5, 15), parallelism=2)
+
+
+@query("sage_text_model", "EXP3 EXP2 MLJ4 JN7")
+def sage_text_model(spark, d):
+    """SAGE of the fitted TF-IDF impact regression on the test split: the
+    model is linear in token counts, so group contributions are sums of
+    token weights and the additive estimator is exact."""
+    from postlens.functions.text import tokenize
+    from postlens.operators import explain as X
+    from postlens.operators import stats as S
+    docs = _doc_frame(spark, d)
+    model = ML.fit_impact_text(docs.where(F.col("split") == "train"), "Message", ["Type"], "score")
+    test = docs.where((F.col("split") == "test") & F.col("score").isNotNull())
+    toks = test.select("row_idx", F.posexplode(tokenize("Message")).alias("pos", "token"))
+    groups = X.rule_groups(S.distinct_tokens(toks.select(F.array("token").alias("tokens"))), 5, 7)
+    contrib = (X.assign_groups(toks, groups).join(X.linear_token_weights(model), "token")
+               .groupBy("row_idx", "group_order").agg(F.sum("weight").alias("c")))
+    targets = test.select("row_idx", F.col("score").alias("y")).join(
+        X.linear_row_base(model, test, "row_idx", "Message"), "row_idx")
+    v = X.sage_additive(contrib, targets, X.permutations(spark, 9, 6), "row_idx", "base", "y")
+    return v.select("group_order", "sage", "std_err")

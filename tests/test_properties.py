@@ -113,3 +113,33 @@ def test_lasso_shrinks_towards_zero(spark):
     s_lin = sum(abs(r.coefficient) for r in lin.collect())
     s_las = sum(abs(r.coefficient) for r in las.collect())
     assert s_las < s_lin
+
+
+def test_centroid_similarity_custom_metric(spark):
+    from postlens.functions import arrays as A
+    v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [3.0, 0.0]), (3, 1, [0.0, 2.0])],
+                              "vec_id long, label int, embedding array<double>")
+    neg_dist = lambda a, b: -F.sqrt(A.dot(F.zip_with(a, b, lambda x, y: x - y), F.zip_with(a, b, lambda x, y: x - y)))
+    out = {r.vec_id: (r.nearest_label, r.own_cos) for r in
+           X.centroid_similarity(v, "vec_id", "label", "embedding", metric=neg_dist).collect()}
+    assert out[1] == (0, -1.0) and out[3][0] == 1
+
+
+def test_sage_of_fitted_text_model_adds_up(spark):
+    from postlens.functions.text import tokenize
+    from postlens.operators import models as ML
+    from postlens.operators import stats as S
+    from postlens.plans.q_models import _doc_frame
+    docs = _doc_frame(spark, SF001)
+    model = ML.fit_impact_text(docs.where(F.col("split") == "train"), "Message", ["Type"], "score")
+    test = docs.where((F.col("split") == "test") & F.col("score").isNotNull())
+    toks = test.select("row_idx", F.posexplode(tokenize("Message")).alias("pos", "token"))
+    groups = X.rule_groups(S.distinct_tokens(toks.select(F.array("token").alias("tokens"))), 3, 7)
+    contrib = (X.assign_groups(toks, groups).join(X.linear_token_weights(model), "token")
+               .groupBy("row_idx", "group_order").agg(F.sum("weight").alias("c")))
+    base = X.linear_row_base(model, test, "row_idx", "Message")
+    targets = test.select("row_idx", F.col("score").alias("y")).join(base, "row_idx")
+    v = X.sage_additive(contrib, targets, X.permutations(spark, 7, 4), "row_idx", "base", "y")
+    total = v.agg(F.sum("sage")).first()[0]
+    gap = targets.agg(F.avg(F.pow(F.col("base") - F.col("y"), 2) - F.pow(F.col("prediction") - F.col("y"), 2))).first()[0]
+    assert abs(total - gap) < 1e-6

@@ -92,3 +92,11 @@ def test_read_tweets_latin1(spark, tmpdir_path):
         f.write("ID\tTarget\tTweet\tStance\n1\tAtheism\tcaf\xe9 \"q\tAGAINST\n".encode("latin-1"))
     t = FI.read_tweets(spark, p).first()
     assert t.Tweet == 'café "q' and t.Stance == "AGAINST"
+
+
+def test_plot_data_written_per_dataset(spark, tmpdir_path):
+    a = spark.createDataFrame([("Photo", 3)], "post_type string, n long")
+    b = spark.createDataFrame([(0, 1.0, 2)], "bin long, bin_lo double, n long")
+    FI.write_plot_data({"types": a, "hist": b}, tmpdir_path, "groups")
+    assert spark.read.parquet(f"{tmpdir_path}/groups/types").collect() == a.collect()
+    assert spark.read.parquet(f"{tmpdir_path}/groups/hist").count() == 1
