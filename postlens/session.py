@@ -47,13 +47,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local"):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is
-    unset (local tests) create a private scratch folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``.  Only in local mode
+    (tests, benchmarks) is a private scratch folder created when it is unset;
+    on a cluster an unset setting is an error rather than a machine-local
+    folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -62,6 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder: executors must be able to "
+                           "read checkpoints written by others")
     local = tempfile.mkdtemp(prefix="postlens-ckpt-")
     sc.setCheckpointDir(local)
     return local
