@@ -29,6 +29,33 @@ _DEFAULTS = {
 }
 
 
+def cluster_profile(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a large cluster run, sized from the bytes a job reads.
+
+    Shuffle partitions start at about one per ``target_partition_bytes`` of
+    input (at least 2000) so that no reducer has to spill a giant partition;
+    AQE then coalesces them to the advisory size and splits skewed ones.
+    Scans read splits of the same size.  The broadcast threshold stays
+    moderate: only tables measured small at run time are broadcast.
+    """
+    n = max(2000, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
+def apply_profile(spark: SparkSession, conf: dict) -> None:
+    """Set runtime SQL settings (e.g. from :func:`cluster_profile`)."""
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "postlens", extra: dict | None = None) -> SparkSession:
     """Return the active session or build one for local runs and tests."""

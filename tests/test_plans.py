@@ -42,3 +42,11 @@ def test_dedup_first_is_a_semi_join_not_a_ranked_window(spark):
 def test_scorer_counts_in_one_pass(spark):
     p = plan(E.queries()["stance_scores"](spark, SF001))
     assert p.count("Scan parquet") <= 4
+
+
+def test_cluster_profile_sizes_partitions():
+    from postlens.session import cluster_profile
+    small = cluster_profile(10 << 30)
+    big = cluster_profile(100 << 40)
+    assert small["spark.sql.shuffle.partitions"] == "2000"
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20) + 1
