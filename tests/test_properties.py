@@ -143,3 +143,34 @@ def test_sage_of_fitted_text_model_adds_up(spark):
     total = v.agg(F.sum("sage")).first()[0]
     gap = targets.agg(F.avg(F.pow(F.col("base") - F.col("y"), 2) - F.pow(F.col("prediction") - F.col("y"), 2))).first()[0]
     assert abs(total - gap) < 1e-6
+
+
+def _lasso_cd(X, y, lam, iters=5000):
+    """Plain coordinate descent for (1/2n)||y - b - Xw||^2 + lam*||w||_1."""
+    import numpy as np
+    n, p = X.shape
+    w = np.zeros(p)
+    b = y.mean()
+    for _ in range(iters):
+        b = (y - X @ w).mean()
+        for j in range(p):
+            r = y - b - X @ w + X[:, j] * w[j]
+            rho = X[:, j] @ r / n
+            z = X[:, j] @ X[:, j] / n
+            w[j] = np.sign(rho) * max(abs(rho) - lam, 0.0) / z
+    return w, b
+
+
+def test_lasso_matches_coordinate_descent(spark):
+    import numpy as np
+    from postlens.operators import models as ML
+    rows = [("a", 1.0), ("a", 1.4), ("b", 3.0), ("b", 2.6), ("b", 2.9), ("c", 0.2), ("c", 0.5), ("d", 2.0)]
+    df = spark.createDataFrame(rows, "Type string, score double")
+    model = ML.fit_impact_lasso(df, ["Type"], "score", alpha=0.1)
+    lin = model.stages[-1]
+    cats = sorted({t for t, _ in rows})  # the dropped last slot is the unseen category
+    X = np.array([[1.0 if t == c else 0.0 for c in cats] for t, _ in rows])
+    y = np.array([s for _, s in rows])
+    w, b = _lasso_cd(X, y, 0.1)
+    assert np.allclose(lin.coefficients.toArray(), w, atol=1e-4)
+    assert abs(lin.intercept - b) < 1e-4
