@@ -174,3 +174,18 @@ def test_lasso_matches_coordinate_descent(spark):
     w, b = _lasso_cd(X, y, 0.1)
     assert np.allclose(lin.coefficients.toArray(), w, atol=1e-4)
     assert abs(lin.intercept - b) < 1e-4
+
+
+def test_vocab_ids_and_median_independent_of_partitioning(spark):
+    from postlens.operators import stats as S
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    out = []
+    try:
+        for n in ("1", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            v = sorted(QF.vocab(spark, SF001).collect())
+            m = sorted(S.median(V.event_posts(spark, SF001), "reactions_sum", by=["Type"]).collect())
+            out.append((v, m))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    assert out[0] == out[1]
