@@ -189,3 +189,29 @@ def test_vocab_ids_and_median_independent_of_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev)
     assert out[0] == out[1]
+
+
+def test_rescoring_sage_equals_additive_for_linear_model(spark):
+    from postlens.functions.text import tokenize
+    from postlens.operators import models as ML
+    from postlens.operators import stats as S
+    from postlens.plans.q_models import _doc_frame
+    docs = _doc_frame(spark, SF001)
+    model = ML.fit_impact_text(docs.where(F.col("split") == "train"), "Message", ["Type"], "score")
+    test = docs.where((F.col("split") == "test") & F.col("score").isNotNull())
+    toks = test.select("row_idx", F.posexplode(tokenize("Message")).alias("pos", "token"))
+    groups = X.rule_groups(S.distinct_tokens(toks.select(F.array("token").alias("tokens"))), 3, 7)
+    assigned = X.assign_groups(toks, groups)
+    targets = test.select("row_idx", F.col("score").alias("y"), "Type")
+    n_perm = 4
+    re = X.sage_rescore(assigned, targets.select("row_idx", "y"), 7, n_perm,
+                        lambda ex: model.transform(ex.join(targets.select("row_idx", "Type"), "row_idx")))
+    contrib = (assigned.join(X.linear_token_weights(model), "token")
+               .groupBy("row_idx", "group_order").agg(F.sum("weight").alias("c")))
+    base = X.linear_row_base(model, test, "row_idx", "Message")
+    add = X.sage_additive(contrib, targets.select("row_idx", "y").join(base, "row_idx"),
+                          X.permutations(spark, 7, n_perm), "row_idx", "base", "y")
+    a = {r.group_order: r.sage for r in add.collect()}
+    b = {r.group_order: r.sage for r in re.collect()}
+    for g in set(a) | set(b):
+        assert abs(a.get(g, 0.0) - b.get(g, 0.0)) < 1e-6
