@@ -149,12 +149,12 @@ def category_features(spark, d):
 
 
 @query("row_index", "PRJ9", V.with_sql(V.DOC_POSTS_SQL) + """
-SELECT row_idx AS doc_id, CAST(row_number() OVER (ORDER BY row_idx) - 1 AS BIGINT) AS idx
-FROM doc_posts WHERE "Type" = 'en'
+SELECT row_idx AS doc_id, "Type", CAST(row_number() OVER (ORDER BY "Type", row_idx) - 1 AS BIGINT) AS idx
+FROM doc_posts
 """)
 def row_index(spark, d):
-    en = V.doc_posts(spark, d).where(F.col("Type") == "en").select(F.col("row_idx").alias("doc_id"))
-    return P.with_row_index(en, "doc_id", out="idx")
+    docs = V.doc_posts(spark, d).select(F.col("row_idx").alias("doc_id"), "Type")
+    return P.with_row_index(docs, ["Type", "doc_id"], out="idx")
 
 
 @query("submission", "PRJ10 SNK2", V.with_sql(V.STANCE_GUESS_SQL) + """
