@@ -120,7 +120,7 @@ def score_party_model(spark, d):
 def hyper_search(spark, d):
     gold = V.stance_gold(spark, d).where(F.col("Stance") != "UNKNOWN")
     enc = M.encode_labels(gold, M.target_codes(gold))
-    return ML.search(enc, "Tweet", "stance_id", reg_params=(0.01, 0.1), max_iters=(5, 15), parallelism=2)
+    return ML.search(enc, "Tweet", "stance_id", reg_params=(0.01, 0.1), max_iters=(5, 15), parallelism=4)
 
 
 @query("sage_text_model", "EXP3 EXP2 MLJ4 JN7")
