@@ -149,6 +149,12 @@ def token_vectors(tokens_per_row: DataFrame, tokens_col: str = "tokens", dim: in
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
     parts = num_partitions or tokens_per_row.sparkSession.sparkContext.defaultParallelism
-    model = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, inputCol=tokens_col,
-                     outputCol="__w2v", maxIter=1, numPartitions=max(1, parts)).fit(tokens_per_row)
+    # the fit reads its input twice (vocabulary, then training): keep the
+    # tokenized rows for its duration, like Spark ML estimators do
+    rows = tokens_per_row.select(tokens_col).persist()
+    try:
+        model = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, inputCol=tokens_col,
+                         outputCol="__w2v", maxIter=1, numPartitions=max(1, parts)).fit(rows)
+    finally:
+        rows.unpersist()
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
