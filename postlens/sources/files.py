@@ -175,6 +175,17 @@ def write_posts(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         w.parquet(path)
 
 
+def write_posts_bucketed(df: DataFrame, table: str, group_col: str, buckets: int, mode: str = "overwrite") -> None:
+    """SNK1 as a catalog table bucketed and sorted by the group key.
+
+    Group means (WIN1) aggregate and join on that key; on a bucketed table
+    both the partial aggregate and the join back read co-located buckets, so
+    the posts are never shuffled for them.  ``buckets`` should give buckets
+    of a few hundred MB at the target size.
+    """
+    df.write.mode(mode).bucketBy(buckets, group_col).sortBy(group_col).saveAsTable(table)
+
+
 def write_predictions(df: DataFrame, path: str, layout: str = "index", single_file: bool = False,
                       order: str = "row_idx", mode: str = "overwrite") -> None:
     """SNK2: ``index<TAB>prediction`` or the ``ID, Target, Tweet, Stance``

@@ -50,3 +50,26 @@ def test_cluster_profile_sizes_partitions():
     big = cluster_profile(100 << 40)
     assert small["spark.sql.shuffle.partitions"] == "2000"
     assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20) + 1
+
+
+def test_bucketed_posts_need_no_shuffle_for_group_means(spark):
+    from postlens.operators import prepare as P
+    from postlens.sources import files as FI
+    from postlens.sources import testviews as V
+    FI.write_posts_bucketed(V.event_posts(spark, SF001), "posts_by_group", "group_id", 4)
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:                      # check the co-located sort-merge plan, not a broadcast
+            spark.conf.set(k, "-1")
+        scored = P.impact(spark.table("posts_by_group"), "group_id")
+        p = plan(scored)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert "SortMergeJoin" in p and "Exchange" not in p
+    direct = P.impact(V.event_posts(spark, SF001), "group_id")
+    assert sorted(scored.select("row_idx", "score").collect()) == sorted(direct.select("row_idx", "score").collect())
