@@ -248,11 +248,12 @@ def dedup_first(df: DataFrame, keys, order: str = "row_idx") -> DataFrame:
     """WIN2: drop content duplicates keeping the first row by ``order``; null
     key values compare equal.
 
-    Written as ``min(order)`` per key and a semi join instead of a ranked
-    window, so that a key with millions of copies is reduced by partial
-    aggregation rather than sorted inside one task.
+    ``order`` is a unique row key, so ``min(order)`` per key group names the
+    row to keep: the groups are reduced by partial aggregation (a key with
+    millions of copies is never sorted inside one task) and the rows are then
+    kept by a semi join on ``order`` alone, so the long text keys cross the
+    network once, in the aggregate.
     """
     keys = list(keys)
-    firsts = df.groupBy(*keys).agg(F.min(order).alias("__first"))
-    cond = [F.col(order) == F.col("__first")] + [df[k].eqNullSafe(firsts[k]) for k in keys]
-    return df.join(firsts, cond, "left_semi")
+    firsts = df.groupBy(*keys).agg(F.min(order).alias(order)).select(order)
+    return df.join(firsts, order, "left_semi")
