@@ -90,12 +90,20 @@ def decode_labels(df: DataFrame, codes: DataFrame, target_id: str = "target_id",
 
 # --- alignment --------------------------------------------------------------
 
-def align(gold: DataFrame, guess: DataFrame, key: str = "row_idx") -> DataFrame:
+def align(gold: DataFrame, guess: DataFrame, key: str = "row_idx", strict: bool = False) -> DataFrame:
     """JN2: pair line i of gold with line i of guess (or by ID with ``key="ID"``).
-    Row counts must be equal (AGG27); check with :func:`same_count`."""
+
+    The scorer requires equal row counts (AGG27); ``strict`` makes the result
+    fail at run time when they differ (the check is a one-row aggregate of
+    each side folded into an output column, so it cannot be pruned)."""
     g = gold.select(F.col(key), F.col("Stance").alias("gold"), *[F.col(c) for c in ("Target",) if c in gold.columns])
     p = guess.select(F.col(key), F.col("Stance").alias("guess"))
-    return g.join(p, on=key, how="inner")
+    out = g.join(p, on=key, how="inner")
+    if strict:
+        counts = same_count(gold, guess).select("same")
+        ok = F.assert_true(F.col("same"), F.lit("gold and guess differ in row count"))
+        out = out.crossJoin(counts).withColumn("gold", F.coalesce(ok.cast("string"), F.col("gold"))).drop("same")
+    return out
 
 
 def same_count(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -205,6 +213,23 @@ def mean_loss(df: DataFrame, kind: str, pred: str, gold: str, by=()) -> DataFram
     return df.groupBy(*by).agg(agg) if by else df.agg(agg)
 
 
+def two_head_loss(df: DataFrame, stance_logits: str, stance: str, target_logits: str, target: str,
+                  unknown_stance: int = 3) -> DataFrame:
+    """AGG13 + AGG14 for the two-head model: mean cross-entropy of the stance
+    head over rows with a known stance plus that of the target head over all
+    rows, and micro F1 (accuracy of the argmax) of each head and their mean."""
+    from postlens.functions.arrays import argmax
+    known = F.col(stance) != F.lit(unknown_stance)
+    s_ce = F.when(known, cross_entropy(F.col(stance_logits), F.col(stance)))
+    t_ce = cross_entropy(F.col(target_logits), F.col(target))
+    s_hit = F.when(known, (argmax(stance_logits) == F.col(stance)).cast("double"))
+    t_hit = (argmax(target_logits) == F.col(target)).cast("double")
+    out = df.agg(F.avg(s_ce).alias("stance_loss"), F.avg(t_ce).alias("target_loss"),
+                 F.avg(s_hit).alias("stance_f1"), F.avg(t_hit).alias("target_f1"))
+    return out.select("*", (F.col("stance_loss") + F.col("target_loss")).alias("loss"),
+                      ((F.col("stance_f1") + F.col("target_f1")) / 2).alias("mean_f1"))
+
+
 def label_distribution(df: DataFrame, target: str = "Target", label: str = "Stance") -> DataFrame:
     """AGG28: rows per (target, label)."""
     return df.groupBy(target, label).agg(F.count(F.lit(1)).alias("n"))

@@ -28,7 +28,7 @@ f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0),
 
 
 def aligned(spark, d):
-    return M.align(V.stance_gold(spark, d), V.stance_guess(spark, d))
+    return M.align(V.stance_gold(spark, d), V.stance_guess(spark, d), strict=True)
 
 
 def scores(spark, d):
@@ -209,3 +209,25 @@ def argmax_softmax(spark, d):
     return e.select("vec_id", A.argmax("logits").alias("pred"), _r(A.array_max("logits")).alias("top_logit"),
                     _r(F.array_max(A.softmax("logits"))).alias("top_prob"),
                     _r(A.relu(F.element_at("logits", 1))).alias("relu0"))
+
+
+@query("two_head_loss", "AGG13 AGG14 ARR3", """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+l AS (SELECT v[1:3] AS s, v[4:8] AS t, label % 4 AS sl, label % 5 AS tl FROM e),
+z AS (SELECT *, list_max(s) + ln(list_sum(list_transform(s, lambda x: exp(x - list_max(s))))) AS s_lse,
+             list_max(t) + ln(list_sum(list_transform(t, lambda x: exp(x - list_max(t))))) AS t_lse FROM l),
+a AS (SELECT avg(CASE WHEN sl <> 3 THEN s_lse - s[sl + 1] END) AS stance_loss, avg(t_lse - t[tl + 1]) AS target_loss,
+             avg(CASE WHEN sl <> 3 THEN CAST(list_position(s, list_max(s)) - 1 = sl AS DOUBLE) END) AS stance_f1,
+             avg(CAST(list_position(t, list_max(t)) - 1 = tl AS DOUBLE)) AS target_f1 FROM z)
+SELECT round(stance_loss, 6) AS stance_loss, round(target_loss, 6) AS target_loss, round(stance_f1, 6) AS stance_f1,
+       round(target_f1, 6) AS target_f1, round(stance_loss + target_loss, 6) AS loss,
+       round((stance_f1 + target_f1) / 2, 6) AS mean_f1
+FROM a
+""")
+def two_head_loss(spark, d):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    e = V.table(spark, d, "embeddings").select(
+        F.slice(v, 1, 3).alias("s"), F.slice(v, 4, 5).alias("t"),
+        (F.col("label") % 4).alias("sl"), (F.col("label") % 5).alias("tl"))
+    out = M.two_head_loss(e, "s", "sl", "t", "tl")
+    return out.select(*[_r(c).alias(c) for c in out.columns])

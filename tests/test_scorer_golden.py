@@ -61,3 +61,11 @@ def test_positional_alignment_and_count_check(spark):
     assert a.count() == 2
     s = {r.label: r for r in M.prf(M.label_counts(a)).collect()}
     assert s["UNKNOWN"].f == 0.0 and s["FAVOR"].f == 1.0
+
+
+def test_strict_alignment_rejects_unequal_counts(spark):
+    gold = spark.createDataFrame([(0, "FAVOR"), (1, "NONE")], "row_idx long, Stance string")
+    guess = spark.createDataFrame([(0, "FAVOR"), (1, "AGAINST"), (2, "NONE")], "row_idx long, Stance string")
+    with pytest.raises(Exception, match="differ in row count"):
+        M.align(gold, guess, strict=True).collect()
+    assert M.align(gold, guess.where("row_idx < 2"), strict=True).count() == 2
