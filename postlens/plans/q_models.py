@@ -142,3 +142,21 @@ def sage_text_model(spark, d):
         X.linear_row_base(model, test, "row_idx", "Message"), "row_idx")
     v = X.sage_additive(contrib, targets, X.permutations(spark, 9, 6), "row_idx", "base", "y")
     return v.select("group_order", "sage", "std_err")
+
+
+@query("foreign_model_scores", "MLJ3")
+def foreign_model_scores(spark, d):
+    """A model trained by Spark ML, exported as a numpy artifact to the shared
+    checkpoint folder and scored outside Spark's ML API with mapInPandas."""
+    import os
+
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    from postlens.session import ensure_checkpoint_dir
+    emb = V.table(spark, d, "embeddings").select(
+        "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), (F.col("label") / 10.0).alias("y"))
+    lr = LinearRegression(featuresCol="f", labelCol="y", regParam=0.1).fit(emb.withColumn("f", array_to_vector("x")))
+    folder = ensure_checkpoint_dir(spark)
+    path = ML.export_linear(lr, os.path.join(folder.replace("file:", ""), "embeddings_linear"))
+    return ML.score_with_pandas(emb, lambda: ML.ArrayLinearModel.load(path), "x", keep=["vec_id", "y"])

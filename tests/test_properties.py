@@ -215,3 +215,23 @@ def test_rescoring_sage_equals_additive_for_linear_model(spark):
     b = {r.group_order: r.sage for r in re.collect()}
     for g in set(a) | set(b):
         assert abs(a.get(g, 0.0) - b.get(g, 0.0)) < 1e-6
+
+
+def test_foreign_model_scored_with_pandas_matches_spark(spark):
+    import os
+
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    from postlens.functions import arrays as A
+    from postlens.operators import models as ML
+    from postlens.session import ensure_checkpoint_dir
+    emb = V.table(spark, SF001, "embeddings").select(
+        "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), (F.col("label") / 10.0).alias("y"))
+    lr = LinearRegression(featuresCol="f", labelCol="y", regParam=0.1).fit(emb.withColumn("f", array_to_vector("x")))
+    path = ML.export_linear(lr, os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), "emb_lin"))
+    scored = ML.score_with_pandas(emb, lambda: ML.ArrayLinearModel.load(path), "x", keep=["vec_id"])
+    ref = emb.select("vec_id", A.linear("x", lr.coefficients.toArray().tolist(), lr.intercept).alias("p"))
+    got = {r.vec_id: r.prediction for r in scored.collect()}
+    exp = {r.vec_id: r.p for r in ref.collect()}
+    assert got.keys() == exp.keys() and all(abs(got[k] - exp[k]) < 1e-9 for k in got)
