@@ -146,17 +146,15 @@ def sage_text_model(spark, d):
 
 @query("foreign_model_scores", "MLJ3")
 def foreign_model_scores(spark, d):
-    """A model trained by Spark ML, exported as a numpy artifact to the shared
-    checkpoint folder and scored outside Spark's ML API with mapInPandas."""
-    import os
-
+    """A model trained by Spark ML, turned into a plain numpy model and
+    scored outside Spark's ML API with mapInPandas.  The artifact is one
+    weight per feature, so it travels in the task closure (no file on a
+    machine-local path); models kept on shared storage use a loader that
+    reads from there."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import LinearRegression
-
-    from postlens.session import ensure_checkpoint_dir
     emb = V.table(spark, d, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), (F.col("label") / 10.0).alias("y"))
     lr = LinearRegression(featuresCol="f", labelCol="y", regParam=0.1).fit(emb.withColumn("f", array_to_vector("x")))
-    folder = ensure_checkpoint_dir(spark)
-    path = ML.export_linear(lr, os.path.join(folder.replace("file:", ""), "embeddings_linear"))
-    return ML.score_with_pandas(emb, lambda: ML.ArrayLinearModel.load(path), "x", keep=["vec_id", "y"])
+    model = ML.ArrayLinearModel(lr.coefficients.toArray(), lr.intercept)
+    return ML.score_with_pandas(emb, lambda: model, "x", keep=["vec_id", "y"])
