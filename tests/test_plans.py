@@ -40,8 +40,10 @@ def test_dedup_first_is_a_semi_join_not_a_ranked_window(spark):
 
 
 def test_scorer_counts_in_one_pass(spark):
+    # 3 scans build gold and guess, 3 more count their rows for the strict
+    # equal-length check; a per-class pass would need 12 or more
     p = plan(E.queries()["stance_scores"](spark, SF001))
-    assert p.count("Scan parquet") <= 4
+    assert p.count("Scan parquet") <= 6
 
 
 def test_cluster_profile_sizes_partitions():
