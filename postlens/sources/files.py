@@ -38,8 +38,9 @@ TRIAL_CONFIG_SCHEMA = ("struct<dataset_path:string, learning_rate:double, batch_
 
 # --- sources ----------------------------------------------------------------
 
-def read_posts(spark: SparkSession, path: str, schema: T.StructType = POST_SCHEMA) -> DataFrame:
-    """SRC1: post CSV with header and quoted multi-line text."""
+def read_posts(spark: SparkSession, path: str, schema=POST_SCHEMA) -> DataFrame:
+    """SRC1: post CSV with header and quoted multi-line text (``schema`` is a
+    StructType or DDL string; nothing is inferred)."""
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
             .option("escape", '"').option("mode", "FAILFAST").csv(path))
 
@@ -211,14 +212,13 @@ def read_groups(spark: SparkSession, path: str, k: int) -> DataFrame:
 
 
 def next_version(spark: SparkSession, path: str) -> int:
-    """SNK4: 0 for a new folder, else the highest ``version`` + 1 (partition
-    values only; reads no data files)."""
-    import os
-    if not os.path.exists(path) and not path.startswith(("s3", "hdfs", "gs", "abfs")):
-        return 0
+    """SNK4: 0 for a new folder, else the highest ``version`` + 1.  Spark
+    resolves the path, so local, ``file:`` and cluster file systems behave
+    the same; only the partition column is read."""
+    from pyspark.errors import AnalysisException
     try:
         v = spark.read.parquet(path).agg(F.max("version").alias("v")).first()["v"]
-    except Exception:  # noqa: BLE001 - empty or missing folder
+    except AnalysisException:  # folder does not exist yet
         return 0
     return 0 if v is None else int(v) + 1
 
