@@ -68,3 +68,19 @@ def versioned_runs(spark, d):
     for df in (V.stance_gold(spark, d), V.stance_guess(spark, d)):
         FI.write_versioned(df.groupBy("Stance").agg(F.count(F.lit(1)).alias("n")), path)
     return spark.read.parquet(path).select(F.col("version").cast("int").alias("version"), "Stance", "n")
+
+
+@query("trials_roundtrip", "SRC4 AGG23", V.with_sql(V.TRIAL_LOG_SQL) + """
+SELECT 'trial=' || CAST(trial_id AS VARCHAR) AS trial_dir, max(training_iteration) AS n_iterations,
+       round(sum(loss), 6) AS loss_sum
+FROM trial_log GROUP BY trial_id
+""")
+def trials_roundtrip(spark, d):
+    """The trial log written as one CSV folder per trial and read back with
+    the trial folder recovered from each file's path."""
+    path = _scratch(spark, "trials")
+    log = V.trial_log(spark, d).select(F.col("trial_id").alias("trial"), "training_iteration", "loss")
+    log.write.option("header", True).partitionBy("trial").csv(path)
+    back = FI.read_trials(spark, path, "csv", pattern="*.csv", schema="training_iteration int, loss double")
+    return back.groupBy("trial_dir").agg(F.max("training_iteration").alias("n_iterations"),
+                                         F.round(F.sum("loss"), 6).alias("loss_sum"))

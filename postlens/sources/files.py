@@ -95,20 +95,22 @@ def _trial_path_cols(path_col: str = "_metadata.file_path"):
             F.regexp_extract(p, r"/([^/]+)/[^/]+$", 1).alias("trial_dir")]
 
 
-def read_trials(spark: SparkSession, root: str, kind: str = "csv") -> DataFrame:
+def read_trials(spark: SparkSession, root: str, kind: str = "csv", pattern: str | None = None,
+                schema=None) -> DataFrame:
     """SRC4: per-trial logs under ``root`` (``progress.csv``, ``result.json``
-    or ``params.json``) with version and trial folder taken from the path."""
+    or ``params.json`` by default, or ``pattern``) with version and trial
+    folder taken from the path."""
     if kind == "csv":
-        df = (spark.read.schema(TRIAL_CSV_SCHEMA).option("header", True).option("recursiveFileLookup", True)
-              .option("pathGlobFilter", "progress.csv").csv(root))
+        df = (spark.read.schema(schema or TRIAL_CSV_SCHEMA).option("header", True)
+              .option("recursiveFileLookup", True).option("pathGlobFilter", pattern or "progress.csv").csv(root))
     elif kind == "json":
-        schema = TRIAL_CSV_SCHEMA.replace("trial_id string", "trial_id string, config " + TRIAL_CONFIG_SCHEMA)
-        df = (spark.read.schema(schema).option("recursiveFileLookup", True)
-              .option("pathGlobFilter", "result.json").json(root))
+        default = TRIAL_CSV_SCHEMA.replace("trial_id string", "trial_id string, config " + TRIAL_CONFIG_SCHEMA)
+        df = (spark.read.schema(schema or default).option("recursiveFileLookup", True)
+              .option("pathGlobFilter", pattern or "result.json").json(root))
     elif kind == "params":
-        df = (spark.read.schema("batch_size int, dataset_path string, epochs int, learning_rate double, "
+        df = (spark.read.schema(schema or "batch_size int, dataset_path string, epochs int, learning_rate double, "
                                 "num_trials int").option("multiLine", True).option("recursiveFileLookup", True)
-              .option("pathGlobFilter", "params.json").json(root))
+              .option("pathGlobFilter", pattern or "params.json").json(root))
     else:
         raise ValueError(kind)
     return df.select("*", *_trial_path_cols())
