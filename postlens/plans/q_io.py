@@ -115,3 +115,21 @@ def run_params_roundtrip(spark, d):
                     F.col("params")["n_chars"].alias("n_chars"),
                     F.col("encodings")["roles"]["user"].alias("user_turns"),
                     F.col("encodings")["roles"]["assistant"].alias("assistant_turns"))
+
+
+@query("tweets_latin1_roundtrip", "SRC2 PRJ10", """
+SELECT doc_id AS "ID", lang AS "Target", md5(replace(text, chr(10), ' ')) AS tweet_md5,
+       CASE WHEN l.doc_id IS NULL THEN 'UNKNOWN' WHEN l.toxic = 1 THEN 'AGAINST'
+            WHEN l.quality = 1 THEN 'FAVOR' ELSE 'NONE' END AS "Stance"
+FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
+def tweets_latin1_roundtrip(spark, d):
+    """Single-line tweets written tab-separated in Latin-1 without quoting, the
+    layout of the reference's tweet files, and read back with read_tweets."""
+    path = _scratch(spark, "tweets")
+    from postlens.operators.prepare import to_submission
+    gold = V.stance_gold(spark, d).withColumn("Tweet", F.regexp_replace("Tweet", "\n", " "))
+    (to_submission(gold).write.option("header", True).option("sep", "\t").option("encoding", "ISO-8859-1")
+     .option("quote", "\u0000").csv(path))
+    back = FI.read_tweets(spark, path)
+    return back.select("ID", "Target", F.md5("Tweet").alias("tweet_md5"), "Stance")
