@@ -120,9 +120,15 @@ def with_row_index(df: DataFrame, order, out: str = "row_idx", stable: bool = Tr
     ``order``; each row's position inside its partition comes from
     ``monotonically_increasing_id`` and each partition's offset from a running
     sum over per-partition counts (one row per partition, so broadcasting it
-    is bounded by the partition count, not the data).  ``stable`` writes the
-    sorted frame to the checkpoint folder first so that both passes see the
-    same partition layout even if an executor is lost.
+    is bounded by the partition count, not the data).
+
+    Both passes (counts and rows) must see one partition layout.  Two
+    separate range shuffles would not guarantee that: range bounds come from
+    a sample whose seed depends on the RDD id.  So the sorted frame is
+    materialised once: ``stable=True`` writes it to the checkpoint folder
+    (large tables; survives executor loss), ``stable=False`` persists it
+    (small tables such as vocabularies; a lost block is recomputed from the
+    same shuffle and its fixed bounds).
     """
     from postlens.session import cut_lineage
 
@@ -132,6 +138,9 @@ def with_row_index(df: DataFrame, order, out: str = "row_idx", stable: bool = Tr
          .withColumn("__mid", F.monotonically_increasing_id()))
     if stable:
         s = cut_lineage(s)
+    else:
+        from pyspark import StorageLevel
+        s = s.persist(StorageLevel.MEMORY_AND_DISK)
     counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))

@@ -127,3 +127,15 @@ def test_inverse_onehot_unseen_is_null(spark):
     long = FE.onehot_long(test, "row_idx", ["t", "u"], cats)
     inv = FE.inverse_onehot(long, "row_idx", cats, ["t", "u"]).first()
     assert inv.t is None and inv.u == "x"
+
+
+def test_row_index_dense_when_range_bounds_are_sampled(spark):
+    # enough rows per input partition that range bounds come from a sample
+    df = spark.range(0, 200000, numPartitions=4).select(F.xxhash64("id").alias("k")).repartition(6)
+    for stable in (False, True):
+        idx = P.with_row_index(df, "k", stable=stable)
+        stats = idx.agg(F.min("row_idx"), F.max("row_idx"), F.countDistinct("row_idx"), F.count(F.lit(1))).first()
+        assert tuple(stats) == (0, 199999, 200000, 200000)
+        from pyspark.sql import Window
+        expected = idx.select("k", "row_idx", (F.row_number().over(Window.orderBy("k")) - 1).alias("exp"))
+        assert expected.where(F.col("row_idx") != F.col("exp")).count() == 0
