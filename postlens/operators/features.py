@@ -113,8 +113,8 @@ def onehot_long(df: DataFrame, key: str, cols, categories: DataFrame) -> DataFra
 def onehot_ml(train: DataFrame, cols):
     """FEA1 with Spark ML: ``StringIndexer(alphabetAsc, keep)`` +
     ``OneHotEncoder(dropLast=True)``: the dropped last slot is the unseen one,
-    so an unseen value gives all zeros.  Returns an unfitted-free fitted
-    PipelineModel producing ``cat_vec``."""
+    so an unseen value gives all zeros.  Returns the fitted PipelineModel,
+    which adds ``cat_vec``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc",
