@@ -30,3 +30,29 @@ def test_prepare_stream_is_stateless(spark):
     assert out.Text == "hllo " and out.reactions_sum == 3
     assert ST.prepare_stream(df).columns == df.columns
     assert F is not None
+
+
+def test_impact_stream_carries_group_sums_across_batches(spark, tmpdir_path):
+    from postlens.operators import prepare as P
+    src = f"{tmpdir_path}/in2"
+    events = spark.read.parquet(f"{SF001}/events.parquet").withColumnRenamed("user_id", "group_id")
+    first, second = events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
+    first.coalesce(1).write.parquet(f"{src}/a")
+    second.coalesce(1).write.parquet(f"{src}/b")
+    schema = events.schema
+    stream = ST.read_stream(spark, f"{src}/*", schema, max_files=1)
+    ST.impact_stream(stream, "group_id", "value", f"{tmpdir_path}/ckpt2", "scored_two_batches")
+    got = {r.event_id: r.score for r in spark.table("scored_two_batches").collect()}
+    assert len(got) == events.count()
+    # each batch is scored against the group means of every batch up to it
+    files = sorted(spark.read.parquet(f"{src}/*").select(F.input_file_name().alias("f")).distinct().collect())
+    assert len(files) == 2
+    b1 = spark.read.parquet(files[0].f)
+    both = spark.read.parquet(f"{src}/*")
+    exp1 = P.impact(b1, "group_id", "value")
+    means_all = both.groupBy("group_id").agg(F.avg("value").alias("m"))
+    b2 = spark.read.parquet(files[1].f).join(means_all, "group_id", "left").withColumn(
+        "score", F.try_divide(F.col("value"), F.col("m")))
+    exp = {r.event_id: r.score for r in exp1.select("event_id", "score").collect()}
+    exp.update({r.event_id: r.score for r in b2.select("event_id", "score").collect()})
+    assert all((got[k] is None and exp[k] is None) or abs(got[k] - exp[k]) < 1e-9 for k in exp)
