@@ -139,3 +139,14 @@ def test_row_index_dense_when_range_bounds_are_sampled(spark):
         from pyspark.sql import Window
         expected = idx.select("k", "row_idx", (F.row_number().over(Window.orderBy("k")) - 1).alias("exp"))
         assert expected.where(F.col("row_idx") != F.col("exp")).count() == 0
+
+
+def test_empty_text_encodes_to_empty_sequence(spark):
+    from postlens.functions.text import tokenize
+    docs = spark.createDataFrame([(0, "hello world hello"), (1, ""), (2, None)], "row_idx long, Message string")
+    assert [r.t for r in docs.select(tokenize("Message").alias("t")).orderBy("row_idx").collect()][:2] == \
+        [["hello", "world", "hello"], []]
+    toks = docs.select("row_idx", F.posexplode(tokenize("Message")).alias("pos", "token"))
+    vocab = FE.build_vocab(toks, min_freq=2)
+    seq = {r.row_idx: r.ids for r in FE.encode_text(docs, "row_idx", "Message", vocab).collect()}
+    assert seq == {0: [2, 0, 2], 1: [], 2: []}
