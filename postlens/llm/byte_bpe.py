@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import id_text, text_slices
 
 #: Pieces kept per worker with their ids; beyond it the store is emptied.
-KEPT = 1_000_000
+KEPT = 600_000
 #: Bytes of pieces in one recursive query, and tokens in one decoding query.
 QUERY_BYTES, QUERY_TOKENS = 300_000, 500_000
 #: Pieces of more bytes than this are contracted by runs (see ``LONG``).
@@ -35,17 +35,20 @@ LONG_BYTES = 200
 LONG_ROUNDS = 64
 
 #: One round: every live piece contracts its leftmost pair of least rank.
-#: Position ``p`` is unique over all pieces and ordered inside a piece.
+#: Position ``p`` is unique over all pieces and ordered inside a piece.  With
+#: one thread the rows of a round stay in that order, so the next row is taken
+#: as it comes, with no sort; the query fails if a row is ever out of order.
 SHORT = """
 WITH RECURSIVE state(w, p, id, live) AS (
   SELECT w, p, id, true FROM tokens
   UNION ALL (
     WITH pairs AS (
-      SELECT w, p, id, lead(p) OVER o AS np,
-             CASE WHEN lead(w) OVER o = w THEN (id::BIGINT << 20) | lead(id) OVER o END AS pair
-      FROM state WHERE live WINDOW o AS (ORDER BY p)),
+      SELECT w, p, id, lead(p) OVER () AS np,
+             CASE WHEN lead(w) OVER () = w THEN (id::BIGINT << 20) | lead(id) OVER () END AS pair
+      FROM state WHERE live),
     ranked AS MATERIALIZED (
-      SELECT pairs.w, pairs.p, pairs.id, pairs.np, merges.merged AS m FROM pairs LEFT JOIN merges USING (pair)),
+      SELECT pairs.w, CASE WHEN np <= p THEN error('rows out of order') ELSE p END AS p, pairs.id, pairs.np,
+             merges.merged AS m FROM pairs LEFT JOIN merges USING (pair)),
     least AS (
       SELECT w, min((m::BIGINT << 32) | p) AS best, arg_min(np, (m::BIGINT << 32) | p) AS gone
       FROM ranked WHERE m IS NOT NULL GROUP BY w)

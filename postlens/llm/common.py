@@ -14,9 +14,9 @@ from postlens.session import ensure_checkpoint_dir
 
 #: Rows per Arrow batch handed to a Python worker; with texts of a few
 #: kilobytes this keeps a batch at a few megabytes.
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 #: A worker works on slices of about this many bytes of text at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
