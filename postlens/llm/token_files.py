@@ -13,22 +13,25 @@ documents:
 A block has 512 ids.  Its width covers all but the share ``1 - PERCENTILE`` of
 its ids; an id that needs more bits is an exception: its place and its full
 difference stand in the exception list.  Segments travel as binary values of a
-Parquet table with (part, seq, n_tokens, data), so that Spark's committer makes
+Parquet table with (part, seq, before, n_tokens, data), so that Spark's committer makes
 retried and speculative writes safe and any store that Spark reaches will do.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, text_slices
@@ -37,7 +40,14 @@ BLOCK = 512
 PERCENTILE = 0.95
 #: Ids in a segment, about; a document is never split.
 SEGMENT = 1 << 20
-KEPT = 1_000_000
+KEPT = 1_500_000
+
+FILES = "part int, seq int, before long, n_tokens long, data binary"
+
+#: The letters that byte-level models write for bytes: printable Latin-1
+#: characters stand for themselves, the others for 256 and up, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 _HEAD = struct.Struct("<4sQII")
 
@@ -47,9 +57,9 @@ class LibraryEncoder:
 
     A byte-level model splits a text into pieces before it merges; no piece
     runs from a non-space into the next single space or line end.  So a text
-    is cut there, and the library's ids of each distinct word are kept per
-    worker.  Texts with other white space or strings of added tokens, and
-    models that split otherwise, are encoded whole.
+    is cut there, and the ids that the library's model gives for each distinct
+    word are kept per worker.  Texts with other white space or strings of added
+    tokens, and models that split otherwise, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -59,70 +69,101 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         kind = str(self.library.pre_tokenizer)
-        self.parted = (kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind
-                       and "use_regex=True" in kind and self.library.normalizer is None)
         line = self.library.encode("\n", add_special_tokens=False).ids
-        self.line = line[0]
-        self.parted &= len(line) == 1
-        self._ids: dict[str, bytes] = {}
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words as they stand behind a space, or with a leading line
-        end behind that: one call for many, a line each, cut at the line
-        end's id."""
-        line = np.array([self.line], "<u4").tobytes()
-        for a in range(0, len(words), 8192):
-            some = words[a:a + 8192]
-            text = "\n".join(w[1:] if w[0] == "\n" else " " + w for w in some)
-            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.line)
-            if len(ends) != len(some) - 1:
-                raise ValueError("the line end is not a token of its own in this model")
-            raw, ends = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
-            for word, i, j in zip(some, ends, ends[1:]):
-                found = raw[4 * i + 4:4 * j]
-                self._ids[word] = line + found if word[0] == "\n" else found
-
-    def _plain(self, text: str) -> bool:
-        """No two spaces or line ends meet, none is first or last, and no
-        string of an added token occurs."""
-        return not (not self.parted or not text or any(x in text for x in ("  ", " \n", "\n ", "\n\n"))
-                    or text[0] in " \n" or text[-1] in " \n" or any(t in text for t in self.added))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        parted, whole, new, known = {}, [], set(), self._ids
-        if len(known) > KEPT:
-            known.clear()
-        for i, text in enumerate(texts):
-            if self._plain(text):
-                # a text begins as a line does
-                words = ("\n" + text).replace("\n", " \n").split(" ")
-                parted[i] = words = words[1:]
-                found = list(map(known.get, words))
-                if None in found:
-                    new.update(w for w, x in zip(words, found) if x is None)
-                else:
-                    out[i] = b"".join(found)
-            elif text:
-                whole.append(i)
-        # a word with white space of another kind: its texts are encoded whole
-        odd = {w for w in new if len(w.split()) != 1 or w[-1].isspace() or w[w[0] == "\n"].isspace()}
-        self._learn(list(new - odd))
-        for i, words in parted.items():
-            if not out[i]:
-                if odd and not odd.isdisjoint(words):
-                    whole.append(i)
-                    continue
-                out[i] = b"".join(map(known.__getitem__, words))
-            out[i] = out[i][4:]
-        for a in range(0, len(whole), 64):
-            for i, ids in zip(whole[a:a + 64], self._batch([texts[i] for i in whole[a:a + 64]])):
-                out[i] = ids
+        self.parted = (kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind
+                       and "use_regex=True" in kind and self.library.normalizer is None and len(line) == 1)
+        self.line = np.array(line, "<u4").tobytes()
+        self._ids: dict[str, bytes] = {"": b""}
+        # a text is plain if no two spaces or line ends meet and none is first or last
+        odd = [r"^$", r"^[ \n]", r"[ \n][ \n]", r"[ \n]$", *(re.escape(t) for t in self.added)]
+        self._odd = "|".join(f"(?:{x})" for x in odd)
+
+    def _pieces(self, text: str) -> bytes:
+        """Ids of a text without strings of added tokens: the library's
+        pre-tokenizer and model, without its offsets."""
+        tokens = self.library.model.tokenize
+        return array("I", [t.id for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)
+                           for t in tokens(piece)]).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a space and letters, which are one piece: the model alone."""
+        if word.isascii():
+            piece = chr(BYTE_LETTERS[32]) + word
+        else:
+            piece = (" " + word).encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.library.model.tokenize(piece)]).tobytes()
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word behind a space, or behind a line end if that is its
+        first character; None if it holds white space."""
+        if word.isalpha():
+            return self._letters(word)
+        if word[-1] in ",." and word[:-1].isalpha():
+            # the sign is a piece of its own
+            core = self._ids.get(word[:-1])
+            if core is None:
+                core = self._ids[word[:-1]] = self._letters(word[:-1])
+            sign = self._ids.get("\0" + word[-1])
+            if sign is None:
+                sign = self._ids["\0" + word[-1]] = self._pieces(word[-1])
+            return core + sign
+        line = word[0] == "\n"
+        rest = word[1:] if line else word
+        if len(rest.split()) != 1 or rest.strip() != rest:
+            return None
+        return self.line + self._pieces(rest) if line else self._pieces(" " + rest)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for a in range(0, len(texts), 64):
+            found = self.library.encode_batch_fast(texts[a:a + 64], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4") for e in found]
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, unsigned 32-bit."""
+        out: list = [None] * len(texts)
+        column = pa.array(texts, pa.string())
+        plain = ~np.asarray(pc.match_substring_regex(column, self._odd)) & self.parted
+        at = np.flatnonzero(plain)
+        if len(at):
+            # a text begins as a line does; its first id, the line end, goes again
+            lines = pc.binary_join_element_wise("", column.take(pa.array(at)), "\n")
+            split = pc.split_pattern(pc.replace_substring(lines, "\n", " \n"), " ")
+            words = split.values.dictionary_encode()
+            known, different = self._ids, words.dictionary.to_pylist()
+            if len(known) > KEPT:
+                known.clear()
+                known[""] = b""
+            found = list(map(known.get, different))
+            odd = []
+            for i, ids in enumerate(found):
+                if ids is None:
+                    ids = self._word(different[i])
+                    if ids is None:
+                        odd.append(i)
+                        found[i] = b""
+                    else:
+                        found[i] = known[different[i]] = ids
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            first = np.cumsum(size) - size
+            ids = np.frombuffer(b"".join(found), "<u4")
+            index = words.indices.to_numpy()
+            sizes = size[index]
+            ends = np.cumsum(sizes)
+            flat = ids[np.repeat(first[index] - (ends - sizes), sizes) + np.arange(ends[-1])]
+            offsets = split.offsets.to_numpy()
+            bounds = np.concatenate([[0], ends])[offsets - offsets[0]]
+            bad = set()
+            if odd:  # words with white space of another kind: their texts are encoded whole
+                hit = np.flatnonzero(np.isin(index, odd))
+                bad = set((np.searchsorted(offsets - offsets[0], hit, side="right") - 1).tolist())
+            for k, (i, a, b) in enumerate(zip(at.tolist(), bounds.tolist(), bounds[1:].tolist())):
+                if k not in bad:
+                    out[i] = flat[a + 1:b]
+        left = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(left, self._whole([texts[i] for i in left])):
+            out[i] = ids
         return out
 
 
@@ -132,8 +173,10 @@ def library_encoder(path: str) -> LibraryEncoder:
 
 
 def pack_segment(keys: list[int], ids: list[np.ndarray]) -> bytes:
-    """One segment from the ids of whole documents."""
-    lengths = np.array([len(x) for x in ids], np.uint32)
+    """One segment from the ids of whole documents; ``ids`` has as many arrays
+    for each document as there are arrays for each key."""
+    each = len(ids) // max(1, len(keys))
+    lengths = np.array([len(x) for x in ids], np.uint32).reshape(-1, max(1, each)).sum(1, dtype=np.uint32)
     flat = np.concatenate(ids).astype(np.uint32) if len(ids) else np.zeros(0, np.uint32)
     n = len(flat)
     blocks = -(-n // BLOCK)
@@ -160,7 +203,7 @@ def pack_segment(keys: list[int], ids: list[np.ndarray]) -> bytes:
     starts = np.cumsum([0, *map(len, packed)])[:-1].astype(np.uint32) if blocks else np.zeros(0, np.uint32)
     where, place = np.nonzero(odd)
     return b"".join([
-        _HEAD.pack(b"PFR1", n, len(ids), blocks), np.asarray(keys, "<i8").tobytes(), lengths.astype("<u4").tobytes(),
+        _HEAD.pack(b"PFR1", n, len(keys), blocks), np.asarray(keys, "<i8").tobytes(), lengths.astype("<u4").tobytes(),
         starts.astype("<u4").tobytes(), low.astype("<u4").tobytes(), width.tobytes(), n_odd.astype("<u2").tobytes(),
         *packed, place.astype("<u2").tobytes(), diff[where, place].astype("<u4").tobytes()])
 
@@ -205,22 +248,23 @@ def unpack_segment(data: bytes, block: int | None = None) -> tuple[np.ndarray, n
 
 def _segments(batches: Iterator[pa.RecordBatch], model: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, part = library_encoder(model), TaskContext.get().partitionId()
-    end = np.array([end_id], "<u4").tobytes()
-    keys, ids, size, seq = [], [], 0, 0
+    end = np.array([end_id], "<u4")
+    keys, ids, size, seq, before = [], [], 0, 0, 0
 
     def flush():
         return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()),
-             pa.array([pack_segment(keys, ids)], pa.binary())], ["part", "seq", "n_tokens", "data"])
+            [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()),
+             pa.array([size], pa.int64()), pa.array([pack_segment(keys, ids)], pa.binary())],
+            ["part", "seq", "before", "n_tokens", "data"])
 
     for some, texts in text_slices(batches):
-        for key, blob in zip(some, encoder.encode(texts)):
+        for key, found in zip(some, encoder.encode(texts)):
             keys.append(-1 if key is None else key)
-            ids.append(np.frombuffer(blob + end, "<u4"))
-            size += len(ids[-1])
+            ids += [found, end]
+            size += len(found) + 1
             if size >= SEGMENT:
                 yield flush()
-                keys, ids, size, seq = [], [], 0, seq + 1
+                keys, ids, before, size, seq = [], [], before + size, 0, seq + 1
     if keys:
         yield flush()
 
@@ -241,7 +285,7 @@ def write_token_files(docs: DataFrame, model_path: str, path: str, id_col: str =
     ordered = (rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("key", "tie")
                .sortWithinPartitions("key", "tie").select("key", "text"))
     (ordered.mapInArrow(lambda it: _segments(it, model_path, end_id),
-                        "part int, seq int, n_tokens long, data binary")
+                        FILES)
      .write.option("compression", "none").parquet(path))
 
 
@@ -259,19 +303,14 @@ def read_checksums(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
 
 
 def _read(spark, path, schema, digest, name, kind) -> DataFrame:
-    files = spark.read.schema("part int, seq int, n_tokens long, data binary").parquet(path)
-    # one row per writing task: as many as the driver had tasks to watch
-    totals = {r["part"]: r["n"] for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
-    bases, before = [], 0
-    for p in sorted(totals):
-        bases.append((p, before))
-        before += totals[p]
-    base = spark.createDataFrame(bases, "part int, base long")
-    places = (files.select("part", "seq", "n_tokens")
-              .withColumn("inside", F.sum("n_tokens").over(
-                  Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)))
-              .join(base, "part")
-              .select("part", "seq", (F.col("base") + F.coalesce("inside", F.lit(0))).alias("start")))
+    files = spark.read.schema(FILES).parquet(path)
+    # a row per writing task, of which the driver kept track anyway
+    totals = files.groupBy("part").agg(F.sum("n_tokens")).collect()
+    base, bases = 0, []
+    for part, n in sorted(map(tuple, totals)):
+        bases.append((part, base))
+        base += n
+    places = spark.createDataFrame(bases, "part int, base long")
 
     def run(batches):
         for batch in batches:
@@ -285,4 +324,5 @@ def _read(spark, path, schema, digest, name, kind) -> DataFrame:
                      pa.array([digest(ids[a:b]) for a, b in zip(ends - lengths, ends)], kind)],
                     ["key", "start", "n_tokens", name])
 
-    return files.select("part", "seq", "data").join(places, ["part", "seq"]).select("start", "data").mapInArrow(run, schema)
+    return (files.join(F.broadcast(places), "part").select((F.col("base") + F.col("before")).alias("start"), "data")
+            .mapInArrow(run, schema))
