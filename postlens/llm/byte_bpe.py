@@ -11,7 +11,6 @@ joins ids to their bytes and concatenates them by an ordered aggregate.
 from __future__ import annotations
 
 import base64
-import hashlib
 from functools import lru_cache
 from itertools import chain
 
@@ -239,6 +238,3 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str =
             .mapInArrow(run, "key long, n_tokens long, ids binary, decoded binary")
             .withColumnRenamed("key", id_col))
 
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
