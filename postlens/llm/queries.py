@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
+from . import ann, byte_bpe, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
 from .common import scratch, small_batches, table
 
 LLM_QUERIES: dict = {}
@@ -72,3 +72,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), length=100)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
