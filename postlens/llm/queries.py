@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
+from . import ann, byte_bpe, chat, packing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
 from .common import scratch, small_batches, table
 
 LLM_QUERIES: dict = {}
@@ -77,3 +77,37 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(chat.exchanges(table(spark, sf_dir, "conversations")), chat.REPLY)
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = packing.token_lengths(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack(lengths, longest=4096, buckets=16, budget=65_536).withColumnRenamed("key", "doc_id")
+
+
+LLM_ORACLES["op7_chat_format"] = """
+WITH m AS (
+  SELECT *, CASE role WHEN 'user' THEN conv_id || '-' || turn WHEN 'assistant' THEN conv_id || '-' || (turn - 1) END AS call_id
+  FROM conversations),
+ids AS (
+  SELECT conv_id, call_id, count(*) FILTER (role = 'user') AS calls, count(*) FILTER (role = 'assistant') AS results
+  FROM m WHERE call_id IS NOT NULL GROUP BY ALL)
+SELECT m.conv_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY turn, role DESC, text) - 1 AS position, turn, role,
+       m.call_id,
+       CASE WHEN m.call_id IS NULL THEN 'plain' WHEN calls > 1 THEN 'ambiguous'
+            WHEN role = 'user' THEN CASE WHEN results > 0 THEN 'answered' ELSE 'unanswered' END
+            WHEN calls > 0 THEN 'linked' ELSE 'orphan' END AS status,
+       CASE WHEN role = 'user' THEN text IS NOT NULL AND length(text) > 0 END AS args_valid,
+       CASE WHEN role = 'user' THEN
+              '{"role":"user","tool_call":{"arguments":{' ||
+              coalesce('"n_chars":' || length(text) || ',"text":' || to_json(text)::VARCHAR, '') ||
+              '},"id":"' || m.call_id || '","name":"reply"}}'
+            ELSE '{' || coalesce('"content":' || to_json(text)::VARCHAR || ',', '') || '"role":' || to_json(role)::VARCHAR ||
+                 CASE WHEN m.call_id IS NOT NULL THEN ',"tool_call_id":"' || m.call_id || '"' ELSE '' END || '}' END AS line
+FROM m LEFT JOIN ids ON m.conv_id = ids.conv_id AND m.call_id = ids.call_id
+"""
