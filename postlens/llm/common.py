@@ -62,3 +62,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def judged_rows(docs: DataFrame, text_col: str, make_judge, columns: str = "", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with every column as it is, judged by whole texts (null: empty).
+
+    ``make_judge()`` is called once per task and gives a function from a list
+    of texts to a mask of rows to keep or, with ``columns`` ("name type, ..."),
+    to lists of values that are added under these names.  ``keep``: the columns
+    of ``docs`` to return, if not all.
+    """
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    kept = docs.columns if keep is None else keep
+    places = [docs.columns.index(c) for c in kept]
+    names = [*kept, *(c.split()[0] for c in columns.split(", ") if c)]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *([columns] if columns else [])])
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+    added = [kinds[c.split()[1]] for c in columns.split(", ") if c]
+
+    def run(batches):
+        judge = make_judge()
+        for batch in batches:
+            text = batch.column(at)
+            start = 0
+            keyless = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), text], ["key", "text"])
+            for rows, texts in text_slices([keyless]):
+                part = batch.slice(start, len(rows)).select(places)
+                start += len(rows)
+                said = judge([t or "" for t in texts])
+                if columns:
+                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, k) for v, k in zip(said, added))], names)
+                else:
+                    yield part.filter(pa.array(said, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, text_slices
+from .common import judged_rows, stored
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -65,27 +65,17 @@ def text_stats(text: str) -> tuple[int, ...]:
             len(lines) - len(set(lines)), repeated, sum(map(eq, words, words[1:])))
 
 
-def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                   source_col: str = "source") -> DataFrame:
-    """(key, lang, source, counts of :func:`text_stats`) of every whole text."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("key"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                       F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"),
-                       F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("source"))
-
-    def run(batches):
-        for batch in batches:
-            at = 0
-            for keys, texts in text_slices([batch]):
-                part = batch.slice(at, len(keys))
-                at += len(keys)
-                columns = zip(*map(text_stats, texts))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), part.column(3), *(pa.array(c, pa.int64()) for c in columns)],
-                    ["key", "lang", "source", *_NAMES])
-
-    return rows.mapInArrow(run, f"key long, lang string, source string, {_STATS}")
+def with_stats(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep: list[str]) -> DataFrame:
+    """The counts of whole texts, ``base_failed``, and ``lang``/``source`` for
+    grouping; the columns ``keep`` of ``docs`` are in ``row``."""
+    rows = judged_rows(docs, text_col, lambda: lambda texts: list(zip(*map(text_stats, texts))),
+                       ", ".join(f"_q_{x}" for x in _STATS.split(", ")), keep)
+    group = [F.coalesce(F.col(f"row.`{c}`").cast("string"), F.lit("\0")).alias(a)
+             for c, a in ((lang_col, "lang"), (source_col, "source"))]
+    counted = rows.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"),
+                          *(F.col(f"_q_{c}").alias(c) for c in _NAMES))
+    return counted.select("row", *group, *_NAMES).withColumn(
+        "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
 def transformed() -> list:
@@ -175,6 +165,24 @@ def robust_estimates(stats: DataFrame) -> DataFrame:
     return model
 
 
+def judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, cut: float, keep: list[str]) -> DataFrame:
+    """:func:`with_stats` with ``distance`` and ``kept``."""
+    stats = stored(with_stats(docs, text_col, lang_col, source_col, keep), "quality-stats")
+    model = robust_estimates(stats.where(~F.col("base_failed")).drop("row")).select("grp", "rows", "mean", "precision")
+    # the estimate of each language and source that occurs: its own, its language's, or that of all
+    pairs = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("g", _groups())
+    chosen = F.lit(None).cast("struct<mean:array<double>,precision:array<double>>")
+    for level in range(3):
+        own = model.where((F.col("rows") >= LEAST_ROWS) | F.lit(level == 2)).select(
+            F.col("grp").alias(f"grp{level}"), F.struct("mean", "precision").alias(f"m{level}"))
+        pairs = pairs.withColumn(f"grp{level}", F.col("g")[level]).join(own, f"grp{level}", "left")
+        chosen = F.coalesce(chosen, F.col(f"m{level}"))
+    pairs = stored(pairs.select("lang", "source", chosen.alias("m")), "quality-groups")
+    distance = _distance(F.array(*transformed()), F.col("m.mean"), F.col("m.precision"))
+    return stats.join(pairs, ["lang", "source"]).withColumn("distance", distance).withColumn(
+        "kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True)))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   source_col: str = "source", cut: float = CUT) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -188,17 +196,17 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text is then judged by the base rules alone).  Repeated rows count each; a
     null id stays null; other columns are not read.
     """
-    stats = stored(document_stats(docs, id_col, text_col, lang_col, source_col).withColumn(
-        "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))), "quality-stats")
-    model = robust_estimates(stats.where(~F.col("base_failed"))).select("grp", "rows", "mean", "precision")
-    judged = stats.withColumn("x", F.array(*transformed())).withColumn("g", _groups())
-    distance = None
-    for level in range(3):
-        own = model.where((F.col("rows") >= LEAST_ROWS) | F.lit(level == 2)).select(
-            F.col("grp").alias(f"grp{level}"), F.col("mean").alias(f"m{level}"), F.col("precision").alias(f"p{level}"))
-        judged = judged.withColumn(f"grp{level}", F.col("g")[level]).join(own, f"grp{level}", "left")
-        d = _distance(F.col("x"), F.col(f"m{level}"), F.col(f"p{level}"))
-        distance = d if distance is None else F.coalesce(distance, d)
-    return judged.select(F.col("key").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                         "n_repeat_words", "base_failed", distance.alias("distance"),
-                         (~F.col("base_failed") & F.coalesce(distance <= cut, F.lit(True))).alias("kept"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                       F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    # the texts themselves go no further than their counts
+    counted = judged(slim, "text", "lang", "source", cut, ["id", "lang", "source"])
+    return counted.select(F.col("row.id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                          "n_repeat_words", "base_failed", "distance", "kept")
+
+
+def drop_outliers(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+                  cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, all columns as
+    they are."""
+    return judged(docs, text_col, lang_col, source_col, cut, docs.columns).where("kept").select(
+        *(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -197,3 +197,29 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col:
     names = stored(rooted.join(least, "root").select("fp", "component_id"), "component-names")
     return rows.join(names, "fp").select(F.col("key").alias(id_col),
                                          F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
+    """One row of each component of :func:`simhash_groups`, the one of its
+    least id; all columns as they are.  Of rows that share that id, and of
+    components without an id, the row of least text hash stays."""
+    groups = stored(simhash_groups(docs, shingle, distance, id_col, text_col), "components")
+    stay = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows"))
+    stay = stored(stay, "stay")
+    # rows without an id: only components that have no id at all keep one
+    unnamed = groups.where(F.col(id_col).isNull() & F.col("component_id").isNull()).limit(1).count()
+    kept = docs.join(stay, id_col, "left_semi")
+    if stay.where("_rows > 1").limit(1).count():
+        clear = docs.join(stay.where("_rows = 1"), id_col, "left_semi")
+        unclear = docs.join(stay.where("_rows > 1"), id_col, "left_semi")
+        least = unclear.groupBy(id_col).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)),
+                                                     F.xxhash64(text_col)).alias("_row"))
+        kept = clear.unionByName(least.select("_row.*"))
+    if unnamed:
+        own = docs.where(F.col(id_col).isNull()).withColumn("_key", F.xxhash64(text_col))
+        keyed = simhash_groups(own.select("_key", F.col(text_col).alias("_text")), shingle, distance, "_key", "_text")
+        named = groups.where(F.col("component_id").isNotNull()).select("fingerprint").distinct()
+        lone = keyed.join(named, "fingerprint", "left_anti").where("_key = component_id").select("_key").distinct()
+        kept = kept.unionByName(own.join(lone, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns))
+    return kept

@@ -431,28 +431,25 @@ def repeated_ranges(rows: DataFrame, length: int, key: int) -> DataFrame:
     return ranges.select("doc", "tie", "start", "n")
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, key: int = KEY, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """(id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` binary): every
-    byte goes that lies in a ``length``-byte string which also starts earlier
-    in the corpus (at a smaller id, or earlier in the same text).
-
-    Null and empty texts have no bytes; texts under ``length`` bytes lose none.
-    Rows that repeat an id come in the order of their text hash, and rows with
-    equal id and text are one document (each gets the same result).  Null ids
-    count as the largest.  ``kept`` may end inside a character.  Other columns
-    are not read; no rows give no rows.
-    """
+def cut_texts(docs: DataFrame, length: int, key: int, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept): ``row`` holds the columns
+    ``keep`` of ``docs``."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                       F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"))
     unclear = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").limit(1).count()
     # the hash is the second part of the place only where ids don't tell rows apart
     tie = F.xxhash64("text") if unclear else F.lit(0).cast("long")
-    rows = rows.select(F.coalesce("id", F.lit((1 << 63) - 1)).alias("doc"), tie.alias("tie"), "text", "id")
+    rows = rows.select(F.coalesce("id", F.lit((1 << 63) - 1)).alias("doc"), tie.alias("tie"), "text", "row")
     long = rows.where(F.octet_length("text") >= length).select("doc", "tie", "text")
     ranges = repeated_ranges(long.dropDuplicates(["doc", "tie"]) if unclear else long, length, key)
     per_doc = ranges.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    packed = rows.select("doc", "tie", "text", "id").mapInArrow(_squeeze_ids, "doc long, tie long, packed binary, id long")
+    kind = rows.schema["row"].dataType.simpleString()
+
+    def squeeze(batches):
+        for batch in batches:
+            for out in _squeeze([batch]):
+                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(3)], ["doc", "tie", "packed", "row"])
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -467,15 +464,35 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key: int = KEY, id_col:
                 spans.append(runs)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-                 pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                 pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return (packed.join(per_doc, ["doc", "tie"], "left").select("id", "packed", "ranges")
-            .mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-            .withColumnRenamed("id", id_col))
+    packed = rows.mapInArrow(squeeze, f"doc long, tie long, packed binary, row {kind}")
+    return (packed.join(per_doc, ["doc", "tie"], "left").select("row", "packed", "ranges")
+            .mapInArrow(cut, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))
 
 
-def _squeeze_ids(batches):
-    for batch in batches:
-        for out in _squeeze([batch]):
-            yield pa.RecordBatch.from_arrays([*out.columns, batch.column(3)], ["doc", "tie", "packed", "id"])
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, key: int = KEY, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """(id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` binary): every
+    byte goes that lies in a ``length``-byte string which also starts earlier
+    in the corpus (at a smaller id, or earlier in the same text).
+
+    Null and empty texts have no bytes; texts under ``length`` bytes lose none.
+    Rows that repeat an id come in the order of their text hash, and rows with
+    equal id and text are one document (each gets the same result).  Null ids
+    count as the largest.  ``kept`` may end inside a character.  Other columns
+    are not read; no rows give no rows.
+    """
+    return cut_texts(docs, length, key, id_col, text_col, [id_col]).select(
+        F.col(f"row.`{id_col}`").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
+
 
+def drop_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """``docs`` with the texts that :func:`suffix_dedup` leaves; the bytes of a
+    character that was cut through go too.  Texts that lose nothing, null ones
+    included, are as they were; other columns are as they are."""
+    clean_utf8 = F.pandas_udf(lambda raw: raw.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")
+    cut = cut_texts(docs, length, key, id_col, text_col, docs.columns)
+    return cut.select(*(F.when(F.col("n_removed") > 0, clean_utf8("kept")).otherwise(F.col(f"row.`{c}`")).alias(c)
+                        if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

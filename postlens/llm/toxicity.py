@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, small_batches, stored, text_slices
+from .common import id_text, judged_rows, small_batches, stored, text_slices
 
 DECAY = 0.6
 #: Longest spread of a letter four; windows this long are cut with half overlap.
@@ -373,6 +373,18 @@ def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
 
 
+def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is under ``limit``, all columns as they
+    are; null and empty texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def judge():
+        scorer = Scorer(shared.value)
+        return lambda texts: shared.value.probability(scorer.features(texts)) < limit
+
+    return judged_rows(docs, text_col, judge)
+
+
 def held_out(id_column: Column) -> Column:
     """crc32 of the id as text, modulo 5, is 0: no label of such a row is learnt."""
     return F.crc32(id_column.cast("string").cast("binary")) % 5 == 0
