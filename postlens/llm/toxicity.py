@@ -142,7 +142,7 @@ def unit_rows(windows: list[str], columns: np.ndarray | None = None) -> tuple[np
         columns = np.unique(np.concatenate([c[v > 0] for _, c, v in parts] or [np.zeros(0, np.int64)]))
     place = np.full(1 << HASH_BITS, -1)
     place[columns] = np.arange(len(columns))
-    out = np.zeros((len(windows), len(columns)))
+    out = np.zeros((len(windows), len(columns)), np.float32)
     for numbers, codes, value in parts:
         norm = np.sqrt((value * value).sum(1, keepdims=True))
         value = np.divide(value, norm, out=np.zeros_like(value), where=norm > 0)
@@ -156,9 +156,10 @@ def fit_machine(positive: list[str], negative: list[str]) -> Machine:
     """Nyström landmarks, then a linear machine with squared hinge loss."""
     landmarks: list[str] = []
     for source, share in ((positive, LANDMARKS * 3 // 4), (negative, LANDMARKS // 4)):
-        pool = source[:8 * share]
+        pool = source[:2 * share]
         vectors, _ = unit_rows(pool)
         nearest, taken = vectors @ vectors.T, []
+        del vectors
         for i in range(len(pool)):
             # a landmark close to an earlier one adds nothing to the subspace
             if len(taken) < share and nearest[i, i] > 0 and (not taken or nearest[i, taken].max() < 0.9):
@@ -168,12 +169,12 @@ def fit_machine(positive: list[str], negative: list[str]) -> Machine:
     if not landmarks:
         return Machine(weight, -1.0)
     basis, columns = unit_rows(landmarks)
-    values, vectors = np.linalg.eigh(basis @ basis.T)
+    values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
     windows = positive + negative
-    x = np.concatenate([unit_rows(windows[a:a + 1024], columns)[0] @ basis.T
-                        for a in range(0, len(windows), 1024)]) @ root
+    x = np.concatenate([unit_rows(windows[a:a + 512], columns)[0] @ basis.T
+                        for a in range(0, len(windows), 512)]).astype(np.float64) @ root
     x = np.hstack([x, np.ones((len(x), 1))])
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     c = np.r_[np.full(len(positive), 1 / max(1, len(positive))), np.full(len(negative), 1 / max(1, len(negative)))]
