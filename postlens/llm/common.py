@@ -64,6 +64,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Groups that a join may broadcast: a few hundred bytes each.
+FEW_GROUPS = 20_000
+SALTS = 32
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with one row per ``key`` of ``groups``.  Few groups (the
+    number is counted) are broadcast; else the rows of each group are salted
+    and its row repeated, so that a large group is spread over many tasks."""
+    if groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+        return rows.join(F.broadcast(groups), key)
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+            .join(salted, [key, "_salt"]).drop("_salt"))
+
+
 def judged_rows(docs: DataFrame, text_col: str, make_judge, columns: str = "", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with every column as it is, judged by whole texts (null: empty).
 

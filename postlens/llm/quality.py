@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import judged_rows, stored
+from .common import judged_rows, stored, with_groups
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -145,12 +145,13 @@ def robust_estimates(stats: DataFrame) -> DataFrame:
         F.lit(0.0).alias("logdet")), "quality-start")
     before = None
     for _ in range(STEPS):
-        far = rows.join(model.select("grp", "mean", "precision"), "grp").select(
+        far = with_groups(rows, model.select("grp", "mean", "precision"), "grp").select(
             "grp", "x", _distance(F.col("x"), F.col("mean"), F.col("precision")).alias("d"))
         cut = stored(far.groupBy("grp").agg(F.percentile_approx("d", CORE, 2000).alias("cut"),
                                             F.count(F.lit(1)).alias("rows")), "quality-cut")
         x = F.col("x")
-        sums = (rows.join(model.select("grp", "mean", "precision").join(cut, "grp"), "grp")
+        limits = stored(model.select("grp", "mean", "precision").join(cut, "grp"), "quality-limits")
+        sums = (with_groups(rows, limits, "grp")
                 .where(_distance(x, F.col("mean"), F.col("precision")) <= F.col("cut"))
                 .groupBy("grp").agg(F.first("rows").alias("rows"), F.count(F.lit(1)).alias("n"),
                                     *(F.sum(x[i]).alias(f"s{i}") for i in range(_DIM)),
@@ -177,9 +178,10 @@ def judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, cut:
             F.col("grp").alias(f"grp{level}"), F.struct("mean", "precision").alias(f"m{level}"))
         pairs = pairs.withColumn(f"grp{level}", F.col("g")[level]).join(own, f"grp{level}", "left")
         chosen = F.coalesce(chosen, F.col(f"m{level}"))
-    pairs = stored(pairs.select("lang", "source", chosen.alias("m")), "quality-groups")
+    pair = F.concat(F.length("lang"), F.lit(":"), "lang", "source")
+    pairs = stored(pairs.select(pair.alias("pair"), chosen.alias("m")), "quality-groups")
     distance = _distance(F.array(*transformed()), F.col("m.mean"), F.col("m.precision"))
-    return stats.join(pairs, ["lang", "source"]).withColumn("distance", distance).withColumn(
+    return with_groups(stats.withColumn("pair", pair), pairs, "pair").withColumn("distance", distance).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True)))
 
 
