@@ -33,7 +33,7 @@ from .common import small_batches, stored, text_slices
 LENGTH = 100
 KEY = 50
 #: Different pieces that a key may have in one transform.
-CROWD = 4096
+CROWD = 1024
 #: Bytes of text whose pieces are put together before they are dealt out.
 GATHER_BYTES = 32 << 20
 #: Text bytes behind one partition of dealt-out pieces.
