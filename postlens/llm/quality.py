@@ -68,12 +68,15 @@ def text_stats(text: str) -> tuple[int, ...]:
 def with_stats(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep: list[str]) -> DataFrame:
     """The counts of whole texts, ``base_failed``, and ``lang``/``source`` for
     grouping; the columns ``keep`` of ``docs`` are in ``row``."""
+    mark = "_"  # names that no column of the documents has
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
     rows = judged_rows(docs, text_col, lambda: lambda texts: list(zip(*map(text_stats, texts))),
-                       ", ".join(f"_q_{x}" for x in _STATS.split(", ")), keep)
+                       ", ".join(mark + x for x in _STATS.split(", ")), keep)
     group = [F.coalesce(F.col(f"row.`{c}`").cast("string"), F.lit("\0")).alias(a)
              for c, a in ((lang_col, "lang"), (source_col, "source"))]
     counted = rows.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"),
-                          *(F.col(f"_q_{c}").alias(c) for c in _NAMES))
+                          *(F.col(mark + c).alias(c) for c in _NAMES))
     return counted.select("row", *group, *_NAMES).withColumn(
         "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
@@ -160,7 +163,7 @@ def robust_estimates(stats: DataFrame) -> DataFrame:
                                                     *(f"s{i}_{j}" for i, j in _PAIRS)).alias("sums")))
         model = stored(sums.mapInArrow(_estimate, _MODEL), "quality-model")
         now = model.agg(F.sum("logdet")).first()[0]
-        if before is not None and now is not None and abs(now - before) < 1e-3 * max(1.0, abs(now)):
+        if now is None or before is not None and abs(now - before) < 1e-3 * max(1.0, abs(now)):
             break
         before = now
     return model

@@ -217,9 +217,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2, id_co
                                                      F.xxhash64(text_col)).alias("_row"))
         kept = clear.unionByName(least.select("_row.*"))
     if unnamed:
-        own = docs.where(F.col(id_col).isNull()).withColumn("_key", F.xxhash64(text_col))
-        keyed = simhash_groups(own.select("_key", F.col(text_col).alias("_text")), shingle, distance, "_key", "_text")
+        own = docs.where(F.col(id_col).isNull()).select(
+            F.xxhash64(text_col).alias("k"), F.col(text_col).alias("t"),
+            F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        keyed = simhash_groups(own, shingle, distance, "k", "t")
         named = groups.where(F.col("component_id").isNotNull()).select("fingerprint").distinct()
-        lone = keyed.join(named, "fingerprint", "left_anti").where("_key = component_id").select("_key").distinct()
-        kept = kept.unionByName(own.join(lone, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns))
+        lone = keyed.join(named, "fingerprint", "left_anti").where("k = component_id").select("k").distinct()
+        kept = kept.unionByName(own.join(lone, "k", "left_semi").dropDuplicates(["k"]).select("row.*"))
     return kept

@@ -324,9 +324,10 @@ def shared_windows(pieces: list[bytes], order: np.ndarray, length: int) -> list[
 def _transforms(length: int):
     def run(batches):
         """Ranges of repeated windows among pieces with equal keys."""
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        table = pa.Table.from_batches(batches)
         key = table.column("key").to_numpy()
         order = np.argsort(key, kind="stable")
         table, key = table.take(pa.array(order)), key[order]
