@@ -51,6 +51,20 @@ def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]
                 start, size = i + 1, 0
 
 
+def gathered(slices: Iterator[tuple[list, list]], size: int) -> Iterator[tuple[list, list]]:
+    """Slices put together to about ``size`` characters."""
+    keys, texts, n = [], [], 0
+    for some, more in slices:
+        keys += some
+        texts += more
+        n += sum(map(len, more))
+        if n >= size:
+            yield keys, texts
+            keys, texts, n = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

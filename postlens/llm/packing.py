@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, stored, text_slices
+from .common import gathered, id_text, stored, text_slices
 from .numbering import number_rows
-from .token_files import library_encoder
+from .token_files import GATHER, library_encoder
 
 
 def token_lengths(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -23,7 +23,7 @@ def token_lengths(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     empty texts have length 1."""
     def run(batches):
         encoder = library_encoder(model_path)
-        for keys, texts in text_slices(batches):
+        for keys, texts in gathered(text_slices(batches), GATHER):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array([len(x) + 1 for x in encoder.encode(texts)], pa.int64())],
                 ["key", "length"])

@@ -34,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, text_slices
+from .common import gathered, id_text, text_slices
 
 BLOCK = 512
 PERCENTILE = 0.95
 #: Ids in a segment, about; a document is never split.
 SEGMENT = 1 << 20
+#: Characters encoded together: the more, the fewer words are looked up again.
+GATHER = 8 << 20
 KEPT = 1_500_000
 
 FILES = "part int, seq int, before long, n_tokens long, data binary"
@@ -257,7 +259,7 @@ def _segments(batches: Iterator[pa.RecordBatch], model: str, end_id: int) -> Ite
              pa.array([size], pa.int64()), pa.array([pack_segment(keys, ids)], pa.binary())],
             ["part", "seq", "before", "n_tokens", "data"])
 
-    for some, texts in text_slices(batches):
+    for some, texts in gathered(text_slices(batches), GATHER):
         for key, found in zip(some, encoder.encode(texts)):
             keys.append(-1 if key is None else key)
             ids += [found, end]
