@@ -64,9 +64,9 @@ def canonical(value) -> str:
     return json.dumps(_whole(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-#: Steps that a chain of dependencies may take against the order of turns; the
-#: messages of longer chains, and of cycles, keep their turn.
-STEPS = 64
+#: Steps that a chain of dependencies may take against the order of turns;
+#: messages further on, and those of cycles, keep their turn.
+STEPS = 32
 
 
 def raise_to_dependencies(messages: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def raise_to_dependencies(messages: DataFrame) -> DataFrame:
     edges = stored(now.select("conv_id", "node", F.explode("after").alias("before")).distinct(), "dependencies")
     places = stored(now.groupBy("conv_id", "node").agg(F.max("turn").alias("due"))
                     .withColumn("depth", F.lit(0)).withColumn("moved", F.lit(False)), "places")
-    for step in range(STEPS + 1):
+    for _ in range(2 * STEPS):  # a cycle of that many messages gets beyond STEPS everywhere
         before = places.select("conv_id", F.col("node").alias("before"), F.struct("due", "depth").alias("b"))
         # the latest of the messages that each one waits for
         latest = stored(edges.join(before, ["conv_id", "before"]).groupBy("conv_id", "node").agg(F.max("b").alias("b")),
@@ -91,10 +91,11 @@ def raise_to_dependencies(messages: DataFrame) -> DataFrame:
         if not places.where("moved").limit(1).count():
             break
     placed = now.join(places.withColumnRenamed("due", "late_due"), ["conv_id", "node"], "left")
-    stuck = F.coalesce(F.col("moved"), F.lit(False)) | F.col("late_due").isNull()
+    cyclic = F.coalesce(F.col("depth") > STEPS, F.lit(False))
+    stuck = cyclic | F.col("late_due").isNull()
     return placed.select(*now.columns, F.when(stuck, F.col("turn")).otherwise(F.col("late_due")).alias("due"),
                          F.when(stuck, 0).otherwise(F.col("depth")).alias("depth"),
-                         F.coalesce(F.col("moved"), F.lit(False)).alias("cyclic"))
+                         cyclic.alias("cyclic"))
 
 
 def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
