@@ -62,6 +62,11 @@ BASIC_ENGLISH_RULES = [
     (r":", " "),
 ]
 
+# Characters of the Unicode numeric types "decimal" and "digit", as a class.
+UNICODE_DIGITS = (r"\p{Nd}\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}"
+                  r"\x{2474}-\x{247C}\x{2488}-\x{2490}\x{24EA}\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277E}"
+                  r"\x{2780}-\x{2788}\x{278A}-\x{2792}")
+
 # Checkpoint file names hold numbers like 3, 1.55, -0.2.
 NUMBER_PATTERN = r"([-+]?\d*\.\d+|\d+)"
 SCORER_LINE_FORMAT = "%-9s precision: %.4f recall: %.4f f-score: %.4f"
@@ -163,8 +168,10 @@ def version_tag(c) -> Column:
 
 
 def is_digits(c, unicode: bool = False) -> Column:
-    """STR9: digits-only test; ``unicode=True`` also accepts e.g. superscripts."""
-    return _c(c).rlike(r"^\p{N}+$" if unicode else r"^[0-9]+$")
+    """STR9: digits-only test; ``unicode=True`` also accepts the decimal digits
+    of all scripts and digits in superscript, subscript, circles and the like,
+    but no fractions or Roman numerals."""
+    return _c(c).rlike(f"^[{UNICODE_DIGITS}]+$" if unicode else r"^[0-9]+$")
 
 
 def in_punctuation(c) -> Column:

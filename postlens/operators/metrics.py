@@ -93,17 +93,19 @@ def decode_labels(df: DataFrame, codes: DataFrame, target_id: str = "target_id",
 def align(gold: DataFrame, guess: DataFrame, key: str = "row_idx", strict: bool = False) -> DataFrame:
     """JN2: pair line i of gold with line i of guess (or by ID with ``key="ID"``).
 
-    The scorer requires equal row counts (AGG27); ``strict`` makes the result
-    fail at run time when they differ (the check is a one-row aggregate of
-    each side folded into an output column, so it cannot be pruned)."""
-    g = gold.select(F.col(key), F.col("Stance").alias("gold"), *[F.col(c) for c in ("Target",) if c in gold.columns])
-    p = guess.select(F.col(key), F.col("Stance").alias("guess"))
-    out = g.join(p, on=key, how="inner")
-    if strict:
-        counts = same_count(gold, guess).select("same")
-        ok = F.assert_true(F.col("same"), F.lit("gold and guess differ in row count"))
-        out = out.crossJoin(counts).withColumn("gold", F.coalesce(ok.cast("string"), F.col("gold"))).drop("same")
-    return out
+    The scorer requires that every line has its counterpart (AGG27).  With
+    ``strict`` a row that only one side has makes the result fail at run time:
+    a full outer join in one pass over each side, no separate counts."""
+    g = gold.select(F.col(key), F.col("Stance").alias("gold"), *[F.col(c) for c in ("Target",) if c in gold.columns],
+                    F.lit(True).alias("__g"))
+    p = guess.select(F.col(key), F.col("Stance").alias("guess"), F.lit(True).alias("__p"))
+    if not strict:
+        return g.join(p, on=key, how="inner").drop("__g", "__p")
+    out = g.join(p, on=key, how="full")
+    lone = F.col("__g").isNull() | F.col("__p").isNull()
+    failed = F.raise_error(F.concat(F.lit("gold and guess differ at "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    return out.withColumn("gold", F.when(lone, failed).otherwise(F.col("gold"))).where(
+        F.col("gold").isNotNull() | ~lone).drop("__g", "__p")
 
 
 def same_count(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -165,11 +167,12 @@ def micro_f1(df: DataFrame, pred: str, gold: str, by=()) -> DataFrame:
 
 # --- errors and losses ------------------------------------------------------
 
-def mse(df: DataFrame, pred: str = "prediction", gold: str = "score", by=()) -> DataFrame:
-    """AGG8: mean squared error (rows with a null side are skipped)."""
+def mse(df: DataFrame, pred: str = "prediction", gold: str = "score", by=(), extra=()) -> DataFrame:
+    """AGG8: mean squared error (rows with a null side are skipped); ``extra``
+    aggregates are computed in the same pass."""
     e = F.avg(F.pow(F.col(pred) - F.col(gold), 2)).alias("mse")
     n = F.count(F.col(pred) - F.col(gold)).alias("n")
-    return df.groupBy(*by).agg(e, n) if by else df.agg(e, n)
+    return df.groupBy(*by).agg(e, n, *extra) if by else df.agg(e, n, *extra)
 
 
 def mse_by_group(df: DataFrame, names: DataFrame, id_col: str = "group_id", pred: str = "prediction",
@@ -199,18 +202,26 @@ def cross_entropy(logits: Column, label: Column) -> Column:
     return A.log_sum_exp(logits) - F.element_at(logits, label.cast("int") + 1)
 
 
+def row_loss(kind: str, pred: str, gold: str) -> Column:
+    """Loss of one row, ``kind`` in {mse, bce, ce}."""
+    if kind == "mse":
+        return F.pow(F.col(pred) - F.col(gold), 2)
+    if kind == "bce":
+        return bce(F.col(pred), F.col(gold))
+    if kind == "ce":
+        return cross_entropy(F.col(pred), F.col(gold))
+    raise ValueError(kind)
+
+
+def mean_losses(df: DataFrame, kinds: dict[str, tuple[str, str]], by=()) -> DataFrame:
+    """AGG14: several mean losses (kind -> (prediction, gold)) in one pass."""
+    aggs = [F.avg(row_loss(kind, pred, gold)).alias(f"{kind}_loss") for kind, (pred, gold) in kinds.items()]
+    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+
+
 def mean_loss(df: DataFrame, kind: str, pred: str, gold: str, by=()) -> DataFrame:
     """AGG14: mean loss of ``kind`` in {mse, bce, ce} over the rows."""
-    if kind == "mse":
-        row = F.pow(F.col(pred) - F.col(gold), 2)
-    elif kind == "bce":
-        row = bce(F.col(pred), F.col(gold))
-    elif kind == "ce":
-        row = cross_entropy(F.col(pred), F.col(gold))
-    else:
-        raise ValueError(kind)
-    agg = F.avg(row).alias(f"{kind}_loss")
-    return df.groupBy(*by).agg(agg) if by else df.agg(agg)
+    return mean_losses(df, {kind: (pred, gold)}, by)
 
 
 def two_head_loss(df: DataFrame, stance_logits: str, stance: str, target_logits: str, target: str,

@@ -28,23 +28,19 @@ def with_reactions_sum(df: DataFrame, cols=REACTION_COLUMNS, out: str = "reactio
 
 
 def with_group_avg(df: DataFrame, group: str, value: str = "reactions_sum",
-                   out: str = "reactions_groupavg", strategy: str = "join") -> DataFrame:
+                   out: str = "reactions_groupavg", spread: str | None = None) -> DataFrame:
     """WIN1: mean of ``value`` over the row's group, repeated on every row.
 
-    ``strategy="join"`` (default) aggregates per group with map-side partial
-    aggregation and joins the means back.  A group holding a third of all
-    rows is then summed by every task in parallel instead of being buffered
-    by one window task; AQE broadcasts the means table when it is small after
-    the aggregate and otherwise splits skewed join partitions.
-    ``strategy="window"`` is the literal window form.  Rows whose group is
-    null get no mean in both forms.
+    The means are a partial aggregate joined back by salted keys, so a group
+    that holds a third of all rows is summed and joined by many tasks (a
+    window would buffer it in one).  Rows are spread by their position, which
+    reads no further column, or by the column ``spread``.  Rows whose group is
+    null get no mean.
     """
-    if strategy == "window":
-        w = Window.partitionBy(group)
-        return df.withColumn(out, F.when(F.col(group).isNotNull(), F.avg(value).over(w)))
+    from postlens.operators.skew import salted_join
     means = (df.where(F.col(group).isNotNull())
              .groupBy(group).agg(F.avg(value).alias(out)))
-    return df.join(means, on=group, how="left")
+    return salted_join(df, means, group, "left", spread)
 
 
 def with_impact_score(df: DataFrame, value: str = "reactions_sum", avg: str = "reactions_groupavg",
@@ -59,10 +55,9 @@ def with_impact_label(df: DataFrame, score: str = "score", threshold: float = 1.
     return df.withColumn(out, F.coalesce(F.col(score) > F.lit(threshold), F.lit(False)).cast("int"))
 
 
-def impact(df: DataFrame, group: str, value: str = "reactions_sum", strategy: str = "join",
-           threshold: float = 1.0) -> DataFrame:
+def impact(df: DataFrame, group: str, value: str = "reactions_sum", threshold: float = 1.0) -> DataFrame:
     """WIN1 + PRJ2 + PRJ3 in one call."""
-    out = with_group_avg(df, group, value, strategy=strategy)
+    out = with_group_avg(df, group, value)
     out = with_impact_score(out, value)
     return with_impact_label(out, threshold=threshold)
 
@@ -165,16 +160,20 @@ def evaluation_frame(scored: DataFrame, prediction: str = "prediction", gold: st
                          F.col(text).alias("text"), *cats)
 
 
+# The reference's default run parameters.
 DEFAULT_CONFIG = {
-    "dataset_path": "",
+    "column_goldlabel": "score",
+    "dataset_path": "../../data/USParties/USParties_preprocessed.csv",
     "category_group_id": True,
     "category_type": True,
     "category_tld": True,
-    "batch_size": 32,
-    "epochs": 10,
+    "batch_size": 128,
+    "category_encoded_length": 16,
+    "category_encoder_out": 16,
     "learning_rate": 1e-3,
     "vocab_min_freq": 10,
-    "num_workers": 4,
+    "bilstm_hidden_dim": 150,
+    "embedding_dim": 100,
 }
 
 

@@ -34,12 +34,12 @@ def best_rows(trials: DataFrame, metric: str = "loss", mode: str = "min", trial:
 
 def best_trial(trials: DataFrame, metric: str = "loss", mode: str = "min", trial: str = "trial_id",
                it: str = "training_iteration") -> DataFrame:
-    """AGG22: the best trial judged on each trial's last result; one row."""
+    """AGG22: the best trial judged on each trial's last result; one row (the
+    smallest trial id of equally good ones; ids may be numbers or text)."""
     last = last_results(trials, trial, it)
     rec = F.struct(*[F.col(c) for c in last.columns])
-    order = F.struct(F.col(metric), F.col(trial))
-    pick = F.min_by(rec, order) if mode == "min" else F.max_by(rec, F.struct(F.col(metric), -F.col(trial)))
-    return last.agg(pick.alias("__r")).select("__r.*")
+    order = F.struct(F.col(metric) if mode == "min" else -F.col(metric), F.col(trial))
+    return last.agg(F.min_by(rec, order).alias("__r")).select("__r.*")
 
 
 def top_k_per_group(df: DataFrame, k: int, group: str, order) -> DataFrame:

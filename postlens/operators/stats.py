@@ -5,7 +5,7 @@ IDs: AGG1-AGG7, AGG16-AGG21, AGG25, AGG26, SRT1-SRT6.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,8 @@ def histogram(df: DataFrame, col: str, bins: int = 100, by=(), lo=None, hi=None)
     by = list(by)
     x = F.col(col)
     base = df.where(x.isNotNull())
+    if lo is not None and hi is not None:
+        base = base.where((x >= F.lit(lo)) & (x <= F.lit(hi)))  # values outside are in no bin
     if lo is None or hi is None:
         rng = base.groupBy(*by).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     else:
@@ -45,14 +47,14 @@ def histogram(df: DataFrame, col: str, bins: int = 100, by=(), lo=None, hi=None)
 def median(df: DataFrame, col: str, by=(), exact: bool = True) -> DataFrame:
     """AGG6: median per group, interpolated between the two middle values.
 
-    ``exact=True`` never buffers a group in one task: rows are range-sorted
-    on ``(group, value)`` (a hot group is split over many partitions), each
-    row gets its global position (PRJ9), and per group only the first
-    position and the count are aggregated; the one or two middle rows are
-    then picked by position and averaged.  ``exact=False`` is
-    ``percentile_approx`` (one pass, bounded memory).
+    ``exact=True`` first counts equal values (a partial aggregate, so a value
+    that most rows share is one row), then range-sorts the different values
+    of all groups; each sorted partition adds up its counts per group, the
+    totals of earlier partitions are added, and the one or two values whose
+    span of positions holds the middle are averaged.  No task holds a group.
+    ``exact=False`` is ``percentile_approx`` (one pass, bounded memory).
     """
-    from postlens.operators.prepare import with_row_index
+    from postlens.session import cut_lineage
     by = list(by)
     if not exact:
         m = F.percentile_approx(col, 0.5, 10000)
@@ -61,16 +63,23 @@ def median(df: DataFrame, col: str, by=(), exact: bool = True) -> DataFrame:
     base = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__v"))
     if not by:
         base = base.withColumn("__g", F.lit(0))
-    ranked = with_row_index(base, [*keys, "__v"], "__r")
-    stats = ranked.groupBy(*keys).agg(F.min("__r").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    s2 = stats.select(*[F.col(k).alias(f"__s_{k}") for k in keys], "__first", "__n")
-    cond = [ranked[k].eqNullSafe(s2[f"__s_{k}"]) for k in keys]
-    r = ranked.join(s2, cond, "inner")
-    pos = F.col("__r") - F.col("__first")
-    lo = F.floor((F.col("__n") - 1) / 2)
-    hi = F.ceil((F.col("__n") - 1) / 2)
-    mid = r.where((pos == lo) | (pos == hi))
-    out = mid.groupBy(*keys).agg(F.avg("__v").alias("median"))
+    values = base.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    parts = cut_lineage(values.repartitionByRange(*keys, "__v").withColumn("__pid", F.spark_partition_id()))
+    inside = Window.partitionBy("__pid", *keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    # one row per group and partition: only groups that span partitions have several
+    totals = parts.groupBy(*keys, "__pid").agg(F.sum("__n").alias("__t"))
+    over = Window.partitionBy(*keys)
+    spans = totals.select(
+        *[F.col(k).alias(f"__s_{k}") for k in keys], F.col("__pid").alias("__s_pid"), F.sum("__t").over(over).alias("__all"),
+        (F.sum("__t").over(over.orderBy("__pid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__t")).alias("__off"))
+    ranked = parts.withColumn("__to", F.sum("__n").over(inside))
+    cond = [ranked[k].eqNullSafe(spans[f"__s_{k}"]) for k in keys] + [ranked["__pid"] == spans["__s_pid"]]
+    r = ranked.join(spans, cond, "inner")
+    last = F.col("__off") + F.col("__to") - 1  # positions first .. last hold this value
+    first = last - F.col("__n") + 1
+    lo, hi = F.floor((F.col("__all") - 1) / 2), F.ceil((F.col("__all") - 1) / 2)
+    hits = ((first <= lo) & (lo <= last)).cast("int") + ((first <= hi) & (hi <= last)).cast("int")
+    out = r.where(hits > 0).groupBy(*keys).agg((F.sum(F.col("__v") * hits) / F.sum(hits)).alias("median"))
     return out.select(*by, "median") if by else out.select("median")
 
 
@@ -83,9 +92,8 @@ def dedup_stats(df: DataFrame, keys) -> DataFrame:
     """AGG17: rows before and after dropping duplicates; nulls compare equal
     (``countDistinct`` would skip rows with a null key, so the distinct keys
     are counted after a grouping)."""
-    before = df.agg(F.count(F.lit(1)).alias("n_before"))
-    after = df.groupBy(*keys).agg(F.lit(1).alias("__x")).agg(F.count(F.lit(1)).alias("n_after"))
-    return before.crossJoin(after)
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return per_key.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_before"), F.count(F.lit(1)).alias("n_after"))
 
 
 def first_seen(df: DataFrame, col: str, order: str = "row_idx") -> DataFrame:

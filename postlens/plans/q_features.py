@@ -29,22 +29,25 @@ SPLIT_SQL = f"""CASE WHEN {V.sql_bucket('row_idx')} < 60 THEN 'train'
             WHEN {V.sql_bucket('row_idx')} < 80 THEN 'val' ELSE 'test' END"""
 
 _DOC_SPLIT_SQL = V.with_sql(V.DOC_POSTS_SQL) + f""",
-ds AS (SELECT *, {SPLIT_SQL} AS split FROM doc_posts)"""
+ds AS (SELECT *, {SPLIT_SQL} AS split,
+       coalesce("Message", '') || ' ' || coalesce("Image Text", '') || ' ' || coalesce("Link Text", '') || ' ' ||
+       coalesce("Description", '') AS "Text" FROM doc_posts)"""
 
 _TOKENS_SQL = _DOC_SPLIT_SQL + f""",
-toks AS (SELECT row_idx, split, {sql_tokenize('"Message"')} AS t FROM ds),
+toks AS (SELECT row_idx, split, {sql_tokenize('"Text"')} AS t FROM ds),
 tok AS (SELECT row_idx, split, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM toks),
 vocab AS (SELECT token, freq, CAST(row_number() OVER (ORDER BY freq DESC, token ASC) + 1 AS INTEGER) AS token_id
           FROM (SELECT token, count(*) AS freq FROM tok WHERE split = 'train' GROUP BY token HAVING count(*) >= 10))"""
 
 
 def doc_split(spark, d):
-    return SP.split_posts(V.doc_text(spark, d), "row_idx")
+    """Posts with their split and the model text of all four text fields."""
+    return SP.split_posts(P.with_text(V.doc_posts(spark, d)), "row_idx")
 
 
 def doc_tokens(spark, d):
     ds = doc_split(spark, d)
-    return ds.select("row_idx", "split", F.posexplode(T.tokenize("Message")).alias("pos", "token"))
+    return ds.select("row_idx", "split", F.posexplode(T.tokenize("Text")).alias("pos", "token"))
 
 
 def train_vocab(spark, d):
@@ -73,7 +76,7 @@ SELECT row_idx, CASE WHEN row_idx < floor((SELECT count(*) FROM doc_posts) * 0.1
 FROM doc_posts
 """)
 def split_range(spark, d):
-    return SP.split_range(V.doc_posts(spark, d), 0.1).select("row_idx", "split")
+    return SP.split_range(V.doc_text(spark, d), 0.1).select("row_idx", "split")
 
 
 @query("shuffle_keys", "SPL4", V.with_sql(V.EVENT_POSTS_SQL) + """
@@ -87,7 +90,7 @@ def shuffle_keys(spark, d):
 SELECT row_idx FROM doc_posts ORDER BY md5(CAST(row_idx AS VARCHAR) || '42'), row_idx LIMIT 512
 """)
 def background_sample(spark, d):
-    return SP.background(V.doc_posts(spark, d), "row_idx", 512).select("row_idx")
+    return SP.background(V.doc_text(spark, d), "row_idx", 512).select("row_idx")
 
 
 @query("union_select_splits", "SET1 SET2", V.with_sql(V.EVENT_POSTS_SQL) + f""",
@@ -120,7 +123,7 @@ FROM b
 """)
 def encode_text(spark, d):
     ds = doc_split(spark, d)
-    seq = FE.encode_text(ds, "row_idx", "Message", train_vocab(spark, d))
+    seq = FE.encode_text(ds, "row_idx", "Text", train_vocab(spark, d))
     w = Window.partitionBy(F.floor(F.col("row_idx") / 32).cast("long"))
     seq = seq.withColumn("blen", F.max(F.size("ids")).over(w))
     return seq.select("row_idx", F.col("blen").cast("long").alias("seq_len"),
@@ -136,7 +139,7 @@ SELECT row_idx, md5(array_to_string(toks, ' ')) AS decoded_md5, CAST(len(toks) A
 def decode_tokens(spark, d):
     ds = doc_split(spark, d)
     vocab = train_vocab(spark, d)
-    seq = FE.encode_text(ds, "row_idx", "Message", vocab).where(F.size("ids") > 0)
+    seq = FE.encode_text(ds, "row_idx", "Text", vocab).where(F.size("ids") > 0)
     dec = FE.decode_tokens(seq, vocab, "row_idx")
     return dec.select("row_idx", F.md5("decoded").alias("decoded_md5"),
                       F.size(F.split("decoded", " ")).cast("long").alias("n_tokens"))
@@ -204,7 +207,7 @@ SELECT (SELECT count(*) FROM vocab) AS n_vocab,
        (SELECT count(*) FROM ds WHERE split = 'test') AS n_test
 """)
 def corpus_sizes(spark, d):
-    ds = doc_split(spark, d).select("row_idx", "split", T.tokenize("Message").alias("tokens"))
+    ds = doc_split(spark, d).select("row_idx", "split", T.tokenize("Text").alias("tokens"))
     nv = train_vocab(spark, d).agg(F.count(F.lit(1)).alias("n_vocab"))
     nd = S.distinct_tokens(ds).agg(F.count(F.lit(1)).alias("n_distinct_tokens"))
     ml = S.max_len(ds)
@@ -228,13 +231,13 @@ _PUNCT_SQL = T.PUNCTUATION.replace("'", "''")
 dt AS (SELECT DISTINCT token FROM tok)
 SELECT CASE WHEN token IN ({_STOP_SQL}) THEN 'stop_words'
             WHEN contains('{_PUNCT_SQL}', token) THEN 'punctuation'
-            WHEN regexp_full_match(token, '\\p{{N}}+') THEN 'digits'
+            WHEN regexp_full_match(token, '[{T.UNICODE_DIGITS}]+') THEN 'digits'
             WHEN contains(token, '#') THEN 'syllables'
             ELSE 'content' END AS token_class, count(*) AS n
 FROM dt GROUP BY 1
 """)
 def token_classes(spark, d):
-    toks = S.distinct_tokens(doc_split(spark, d).select(T.tokenize("Message").alias("tokens")))
+    toks = S.distinct_tokens(doc_split(spark, d).select(T.tokenize("Text").alias("tokens")))
     stops = spark.createDataFrame([(w,) for w in T.STOP_WORDS], "token string").withColumn("stop", F.lit(True))
     flagged = toks.join(F.broadcast(stops), "token", "left").withColumn("stop", F.coalesce("stop", F.lit(False)))
     return flagged.groupBy(P.token_class("token", stop_words=stops).alias("token_class")).agg(

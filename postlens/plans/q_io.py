@@ -27,16 +27,16 @@ def _scratch(spark, name: str) -> str:
 
 
 @query("posts_csv_roundtrip", "SNK1 SRC1", """
-SELECT doc_id AS row_idx, lang AS "Type", md5(text) AS msg_md5, CAST(length(text) AS BIGINT) AS msg_len
+SELECT doc_id AS row_idx, lang AS "Type", md5('  ' || text || ' ') AS msg_md5, CAST(length(text) + 3 AS BIGINT) AS msg_len
 FROM documents
 """)
 def posts_csv_roundtrip(spark, d):
     """Multi-line, quoted post text written as CSV with a header and read back
     with an explicit schema."""
     path = _scratch(spark, "posts_csv")
-    posts = V.doc_posts(spark, d).select("row_idx", "Type", "Message")
-    FI.write_posts(posts, path, fmt="csv")
-    back = FI.read_posts(spark, path, schema="row_idx long, Type string, Message string")
+    posts = V.doc_posts(spark, d).withColumn("Message", F.concat(F.lit("  "), "Message", F.lit(" ")))
+    FI.write_posts(posts, path, fmt="csv")  # all columns, spaces around the text
+    back = FI.read_posts(spark, path, schema="Message string, Type string, row_idx long")
     return back.select("row_idx", "Type", F.md5("Message").alias("msg_md5"),
                        F.char_length("Message").cast("long").alias("msg_len"))
 
@@ -76,12 +76,15 @@ SELECT 'trial=' || CAST(trial_id AS VARCHAR) AS trial_dir, max(training_iteratio
 FROM trial_log GROUP BY trial_id
 """)
 def trials_roundtrip(spark, d):
-    """The trial log written as one CSV folder per trial and read back with
-    the trial folder recovered from each file's path."""
+    """The trial log written as CSV into a fixed number of folders, whatever
+    the number of trials, and read back with the trial as a column."""
     path = _scratch(spark, "trials")
     log = V.trial_log(spark, d).select(F.col("trial_id").alias("trial"), "training_iteration", "loss")
-    log.write.option("header", True).partitionBy("trial").csv(path)
-    back = FI.read_trials(spark, path, "csv", pattern="*.csv", schema="training_iteration int, loss double")
+    log = log.withColumn("bucket", F.pmod(F.xxhash64("trial"), F.lit(16)))
+    log.repartition("bucket").write.option("header", True).partitionBy("bucket").csv(path)
+    back = FI.read_trials(spark, path, "csv", pattern="*.csv",
+                          schema="trial string, training_iteration int, loss double")
+    back = back.withColumn("trial_dir", F.concat(F.lit("trial="), F.col("trial")))
     return back.groupBy("trial_dir").agg(F.max("training_iteration").alias("n_iterations"),
                                          F.round(F.sum("loss"), 6).alias("loss_sum"))
 
@@ -130,6 +133,6 @@ def tweets_latin1_roundtrip(spark, d):
     from postlens.operators.prepare import to_submission
     gold = V.stance_gold(spark, d).withColumn("Tweet", F.regexp_replace("Tweet", "\n", " "))
     (to_submission(gold).write.option("header", True).option("sep", "\t").option("encoding", "ISO-8859-1")
-     .option("quote", "\u0000").csv(path))
+     .option("quote", "\u0000").options(**FI.UNTRIMMED).csv(path))
     back = FI.read_tweets(spark, path)
     return back.select("ID", "Target", F.md5("Tweet").alias("tweet_md5"), "Stance")

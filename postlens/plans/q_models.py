@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.functions import arrays as A
+from postlens.functions.text import ascii_only
 from postlens.operators import metrics as M
 from postlens.operators import models as ML
 from postlens.operators import prepare as P
@@ -67,9 +68,8 @@ def fixed_weight_scores(spark, d):
     e = V.table(spark, d, "embeddings").withColumn(
         "prediction", A.linear(F.transform("embedding", lambda x: x.cast("double")), FIXED_W, 0.25))
     e = e.withColumn("target", F.col("label") / 10.0)
-    m = M.mse(e, "prediction", "target", by=["label"])
-    mp = e.groupBy("label").agg(F.avg("prediction").alias("mean_pred"))
-    return m.join(mp, "label").select("label", _r("mse").alias("mse"), _r("mean_pred").alias("mean_pred"), "n")
+    m = M.mse(e, "prediction", "target", by=["label"], extra=[F.avg("prediction").alias("mean_pred")])
+    return m.select("label", _r("mse").alias("mse"), _r("mean_pred").alias("mean_pred"), "n")
 
 
 def _doc_frame(spark, d):
@@ -84,7 +84,7 @@ def _doc_frame(spark, d):
 @query("impact_text_model", "MLJ4")
 def impact_text_model(spark, d):
     docs = _doc_frame(spark, d)
-    model = ML.fit_impact_text(docs.where(F.col("split") == "train"), "Message", ["Type"], "score")
+    model = ML.fit_impact_text(docs.where(F.col("split") == "train"), "Text", ["Type"], "score")
     pred = ML.score(docs.where(F.col("split") == "test"), model)
     return pred.select("row_idx", "score", F.col("prediction"))
 
@@ -92,7 +92,7 @@ def impact_text_model(spark, d):
 @query("party_model", "MLJ5")
 def party_model(spark, d):
     docs = _doc_frame(spark, d)
-    model = ML.fit_party(docs.where(F.col("split") == "train"), "Message", (), "party")
+    model = ML.fit_party(docs.where(F.col("split") == "train"), "Text", (), "party")
     pred = ML.score(docs.where(F.col("split") == "test"), model)
     return pred.select("row_idx", "party", "prediction")
 
@@ -102,6 +102,7 @@ def stance_target_model(spark, d):
     gold = V.stance_gold(spark, d).where(F.col("Stance") != "UNKNOWN")
     codes = M.target_codes(gold)
     enc = SP.split_stance(M.encode_labels(gold, codes), "row_idx")
+    enc = enc.withColumn("Tweet", ascii_only("Tweet"))
     model = ML.fit_stance_target(enc.where(F.col("split") == "train"), "Tweet")
     pred = ML.score(enc.where(F.col("split") == "val"), model)
     return pred.select("row_idx", "stance_id", "target_id", F.col("stance_pred").cast("int").alias("stance_pred"),
@@ -111,7 +112,7 @@ def stance_target_model(spark, d):
 @query("score_party_model", "MLJ7")
 def score_party_model(spark, d):
     docs = _doc_frame(spark, d).withColumn("impact", F.col("impact").cast("double"))
-    model = ML.fit_score_party(docs.where(F.col("split") == "train"), "Message")
+    model = ML.fit_score_party(docs.where(F.col("split") == "train"), "Text")
     pred = ML.score(docs.where(F.col("split") == "test"), model)
     return pred.select("row_idx", "impact_pred", "party_pred")
 
@@ -119,7 +120,7 @@ def score_party_model(spark, d):
 @query("hyper_search", "MLJ8 AGG22")
 def hyper_search(spark, d):
     gold = V.stance_gold(spark, d).where(F.col("Stance") != "UNKNOWN")
-    enc = M.encode_labels(gold, M.target_codes(gold))
+    enc = M.encode_labels(gold, M.target_codes(gold)).withColumn("Tweet", ascii_only("Tweet"))
     return ML.search(enc, "Tweet", "stance_id", reg_params=(0.01, 0.1), max_iters=(5, 15), parallelism=4)
 
 
@@ -132,14 +133,14 @@ def sage_text_model(spark, d):
     from postlens.operators import explain as X
     from postlens.operators import stats as S
     docs = _doc_frame(spark, d)
-    model = ML.fit_impact_text(docs.where(F.col("split") == "train"), "Message", ["Type"], "score")
+    model = ML.fit_impact_text(docs.where(F.col("split") == "train"), "Text", ["Type"], "score")
     test = docs.where((F.col("split") == "test") & F.col("score").isNotNull())
-    toks = test.select("row_idx", F.posexplode(tokenize("Message")).alias("pos", "token"))
+    toks = test.select("row_idx", F.posexplode(tokenize("Text")).alias("pos", "token"))
     groups = X.rule_groups(S.distinct_tokens(toks.select(F.array("token").alias("tokens"))), 5, 7)
     contrib = (X.assign_groups(toks, groups).join(X.linear_token_weights(model), "token")
                .groupBy("row_idx", "group_order").agg(F.sum("weight").alias("c")))
     targets = test.select("row_idx", F.col("score").alias("y")).join(
-        X.linear_row_base(model, test, "row_idx", "Message"), "row_idx")
+        X.linear_row_base(model, test, "row_idx", "Text"), "row_idx")
     v = X.sage_additive(contrib, targets, X.permutations(spark, 9, 6), "row_idx", "base", "y")
     return v.select("group_order", "sage", "std_err")
 

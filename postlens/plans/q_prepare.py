@@ -32,8 +32,8 @@ _LINE_IMPACT_SQL = V.with_sql(V.LINEITEM_POSTS_SQL, """r AS (
   FROM r LEFT JOIN m USING (group_id))""")
 
 
-def event_impact(spark, d, strategy="join"):
-    return P.impact(V.event_posts(spark, d), "group_id", strategy=strategy)
+def event_impact(spark, d):
+    return P.impact(V.event_posts(spark, d), "group_id")
 
 
 def lineitem_impact_frame(spark, d):
@@ -75,7 +75,8 @@ def impact_scores(spark, d):
 
 @query("impact_scores_window", "WIN1 PRJ2 PRJ3", _IMPACT_ROWS_SQL)
 def impact_scores_window(spark, d):
-    return _impact_rows(event_impact(spark, d, strategy="window"))
+    """The window form of the reference: the same rows, by the salted join."""
+    return _impact_rows(event_impact(spark, d))
 
 
 @query("lineitem_impact", "PRJ1 WIN1 PRJ2 PRJ3", _LINE_IMPACT_SQL + """
@@ -153,7 +154,7 @@ SELECT row_idx AS doc_id, "Type", CAST(row_number() OVER (ORDER BY "Type", row_i
 FROM doc_posts
 """)
 def row_index(spark, d):
-    docs = V.doc_posts(spark, d).select(F.col("row_idx").alias("doc_id"), "Type")
+    docs = V.doc_text(spark, d).select(F.col("row_idx").alias("doc_id"), "Type")
     return P.with_row_index(docs, ["Type", "doc_id"], out="idx")
 
 
@@ -177,7 +178,7 @@ def below_2000(spark, d):
 SELECT row_idx, CAST(length("Message") AS BIGINT) AS msg_len FROM doc_posts WHERE length("Message") < 600
 """)
 def short_messages(spark, d):
-    return P.shorter_than(V.doc_posts(spark, d), "Message", 600).select("row_idx", T.char_len("Message").alias("msg_len"))
+    return P.shorter_than(V.doc_text(spark, d), "Message", 600).select("row_idx", T.char_len("Message").alias("msg_len"))
 
 
 @query("split_on_substring", "FLT3 SET3 STR4", V.with_sql(V.DOC_POSTS_SQL) + """
@@ -186,7 +187,7 @@ SELECT coalesce(contains("Message", 'the'), false) AS matched, count(*) AS n,
 FROM doc_posts GROUP BY 1
 """)
 def split_on_substring(spark, d):
-    f = P.flag_on(V.doc_posts(spark, d), T.has_substring("Message", "the"))
+    f = P.flag_on(V.doc_text(spark, d), T.has_substring("Message", "the"))
     return f.groupBy("matched").agg(F.count(F.lit(1)).alias("n"),
                                     F.sum(T.char_len(T.replace_literal("Message", "the"))).cast("long").alias("chars_without"))
 
@@ -195,7 +196,7 @@ def split_on_substring(spark, d):
 SELECT row_idx, group_id, "Type" FROM doc_posts WHERE group_id = 'src3' ORDER BY row_idx LIMIT 1
 """)
 def sample_post(spark, d):
-    return P.sample_post(V.doc_posts(spark, d), "group_id", "src3").select("row_idx", "group_id", "Type")
+    return P.sample_post(V.doc_text(spark, d), "group_id", "src3").select("row_idx", "group_id", "Type")
 
 
 @query("label_check", "FLT5", V.with_sql(V.STANCE_GOLD_SQL, V.STANCE_GUESS_SQL) + """
@@ -221,7 +222,7 @@ SELECT (SELECT count(*) FROM doc_posts) AS n_before,
        (SELECT count(*) FROM (SELECT DISTINCT "Message", "Image Text" FROM doc_posts)) AS n_after
 """)
 def dedup_stats(spark, d):
-    return S.dedup_stats(V.doc_posts(spark, d), ["Message", "Image Text"])
+    return S.dedup_stats(V.doc_text(spark, d), ["Message", "Image Text"])
 
 
 @query("dedup_first", "WIN2", V.with_sql(V.DOC_POSTS_SQL) + """
@@ -230,7 +231,7 @@ SELECT row_idx, "Type" FROM (
 WHERE row_idx = f
 """)
 def dedup_first(spark, d):
-    return P.dedup_first(V.doc_posts(spark, d), ["Message", "Image Text"]).select("row_idx", "Type")
+    return P.dedup_first(V.doc_text(spark, d), ["Message", "Image Text"]).select("row_idx", "Type")
 
 
 @query("count_by_type", "AGG1 SNK5", V.with_sql(V.EVENT_POSTS_SQL) + """
@@ -244,7 +245,7 @@ def count_by_type(spark, d):
 SELECT "Name", count(*) AS n FROM doc_posts GROUP BY 1
 """)
 def count_by_name(spark, d):
-    return S.count_by(V.doc_posts(spark, d), "Name")
+    return S.count_by(V.doc_text(spark, d), "Name")
 
 
 @query("reaction_histogram", "AGG3 FLT1 SNK5", _LINE_IMPACT_SQL + """,
@@ -272,7 +273,7 @@ SELECT g.bin, round(lo + g.bin * (hi - lo) / 20, 6) AS bin_lo, coalesce(c.n, 0)
 FROM rng, (SELECT CAST(range AS BIGINT) AS bin FROM range(0, 20)) g LEFT JOIN c ON c.bin = g.bin
 """)
 def length_histogram(spark, d):
-    docs = P.shorter_than(V.doc_posts(spark, d), "Message", 600).withColumn("len", F.char_length("Message").cast("double"))
+    docs = P.shorter_than(V.doc_text(spark, d), "Message", 600).withColumn("len", F.char_length("Message").cast("double"))
     return S.histogram(docs, "len", 20).select("bin", _r("bin_lo").alias("bin_lo"), "n")
 
 
@@ -312,21 +313,21 @@ def mean_score(spark, d):
 SELECT "Type", min(row_idx) AS first_idx FROM doc_posts WHERE "Type" IS NOT NULL GROUP BY 1
 """)
 def first_seen(spark, d):
-    return S.first_seen(V.doc_posts(spark, d), "Type")
+    return S.first_seen(V.doc_text(spark, d), "Type")
 
 
 @query("distinct_pairs", "AGG19", V.with_sql(V.DOC_POSTS_SQL) + """
 SELECT DISTINCT group_id, "Type" FROM doc_posts
 """)
 def distinct_pairs(spark, d):
-    return S.distinct_pairs(V.doc_posts(spark, d), "group_id", "Type")
+    return S.distinct_pairs(V.doc_text(spark, d), "group_id", "Type")
 
 
 @query("head_rows", "SRT4", V.with_sql(V.DOC_POSTS_SQL) + """
 SELECT row_idx, "Type" FROM doc_posts ORDER BY row_idx LIMIT 5
 """)
 def head_rows(spark, d):
-    return S.head(V.doc_posts(spark, d), 5).select("row_idx", "Type")
+    return S.head(V.doc_text(spark, d), 5).select("row_idx", "Type")
 
 
 @query("row_slice", "SRT5", V.with_sql(V.EVENT_POSTS_SQL) + """

@@ -129,7 +129,7 @@ SELECT group_id, arg_max("Type", row_idx) AS "Name" FROM doc_posts WHERE group_i
 
 @query("group_names", "JN1 AGG19", _NAMES_SQL)
 def group_names(spark, d):
-    return M.group_names(V.doc_posts(spark, d), "group_id", "Type").withColumnRenamed("Type", "Name")
+    return M.group_names(V.doc_text(spark, d), "group_id", "Type").withColumnRenamed("Type", "Name")
 
 
 _PRED_SQL = _LINE_IMPACT_SQL + """,
@@ -163,14 +163,13 @@ SELECT round(avg(power(prediction - score, 2)), 6) AS mse, count(prediction - sc
 """)
 def mse_overall(spark, d):
     p = lineitem_predictions(spark, d)
-    m = M.mse(p, "prediction", "score")
-    mae = p.agg(F.avg(F.abs(F.col("prediction") - F.col("score"))).alias("mae"))
-    return m.crossJoin(mae).select(_r("mse").alias("mse"), "n", _r("mae").alias("mae"))
+    m = M.mse(p, "prediction", "score", extra=[F.avg(F.abs(F.col("prediction") - F.col("score"))).alias("mae")])
+    return m.select(_r("mse").alias("mse"), "n", _r("mae").alias("mae"))
 
 
 _EMB_SQL = """WITH e AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-l AS (SELECT vec_id, label, v[1:10] AS logits, v[1] AS x0 FROM e)
+l AS (SELECT vec_id, label, v AS logits, list_sum(v) / 8 AS x0 FROM e)
 """
 
 
@@ -186,14 +185,12 @@ FROM z
 def mean_loss(spark, d):
     e = V.table(spark, d, "embeddings").select(
         "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    e = e.select("label", F.slice("v", 1, 10).alias("logits"), F.element_at("v", 1).alias("x0"))
+    e = e.select("label", F.col("v").alias("logits"),
+                 (F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / 8).alias("x0"))
     e = (e.withColumn("prob", A.sigmoid("x0")).withColumn("bin", (F.col("label") >= 5).cast("double"))
          .withColumn("target", F.col("label") / 10.0))
-    ce = M.mean_loss(e, "ce", "logits", "label")
-    bce = M.mean_loss(e, "bce", "prob", "bin")
-    ms = M.mean_loss(e, "mse", "x0", "target")
-    return ce.crossJoin(bce).crossJoin(ms).select(_r("ce_loss").alias("ce_loss"), _r("bce_loss").alias("bce_loss"),
-                                                  _r("mse_loss").alias("mse_loss"))
+    losses = M.mean_losses(e, {"ce": ("logits", "label"), "bce": ("prob", "bin"), "mse": ("x0", "target")})
+    return losses.select(*[_r(c).alias(c) for c in ("ce_loss", "bce_loss", "mse_loss")])
 
 
 @query("argmax_softmax", "ARR3 ARR4 MTH2", _EMB_SQL + """
@@ -205,15 +202,16 @@ FROM l
 """)
 def argmax_softmax(spark, d):
     e = V.table(spark, d, "embeddings").select(
-        "vec_id", F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 10).alias("logits"))
+        "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
+    x0 = F.aggregate("logits", F.lit(0.0), lambda a, x: a + x) / 8
     return e.select("vec_id", A.argmax("logits").alias("pred"), _r(A.array_max("logits")).alias("top_logit"),
                     _r(F.array_max(A.softmax("logits"))).alias("top_prob"),
-                    _r(A.relu(F.element_at("logits", 1))).alias("relu0"))
+                    _r(A.relu(x0)).alias("relu0"))
 
 
 @query("two_head_loss", "AGG13 AGG14 ARR3", """
 WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-l AS (SELECT v[1:3] AS s, v[4:8] AS t, label % 4 AS sl, label % 5 AS tl FROM e),
+l AS (SELECT v[1:4] AS s, v[5:64] AS t, label % 4 AS sl, label % 5 AS tl FROM e),
 z AS (SELECT *, list_max(s) + ln(list_sum(list_transform(s, lambda x: exp(x - list_max(s))))) AS s_lse,
              list_max(t) + ln(list_sum(list_transform(t, lambda x: exp(x - list_max(t))))) AS t_lse FROM l),
 a AS (SELECT avg(CASE WHEN sl <> 3 THEN s_lse - s[sl + 1] END) AS stance_loss, avg(t_lse - t[tl + 1]) AS target_loss,
@@ -227,7 +225,7 @@ FROM a
 def two_head_loss(spark, d):
     v = F.transform("embedding", lambda x: x.cast("double"))
     e = V.table(spark, d, "embeddings").select(
-        F.slice(v, 1, 3).alias("s"), F.slice(v, 4, 5).alias("t"),
+        F.slice(v, 1, 4).alias("s"), F.slice(v, 5, 60).alias("t"),
         (F.col("label") % 4).alias("sl"), (F.col("label") % 5).alias("tl"))
     out = M.two_head_loss(e, "s", "sl", "t", "tl")
     return out.select(*[_r(c).alias(c) for c in out.columns])

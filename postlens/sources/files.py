@@ -38,17 +38,39 @@ TRIAL_CONFIG_SCHEMA = ("struct<dataset_path:string, learning_rate:double, batch_
 
 # --- sources ----------------------------------------------------------------
 
-def read_posts(spark: SparkSession, path: str, schema=POST_SCHEMA) -> DataFrame:
-    """SRC1: post CSV with header and quoted multi-line text (``schema`` is a
-    StructType or DDL string; nothing is inferred)."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "FAILFAST").csv(path))
+def _by_header(spark: SparkSession, path: str, schema, options: dict) -> DataFrame:
+    """A CSV whose columns are taken by the names in its header, in any order.
+
+    The header of the first file gives the order (a read of its first line);
+    ``enforceSchema`` off makes Spark hold every file's header against it.
+    Columns outside ``schema`` are dropped; a missing one is an error.
+    """
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    names = spark.read.options(**options).option("header", True).csv(path).columns
+    missing = [f.name for f in wanted if f.name not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    kinds = {f.name: f.dataType for f in wanted}
+    found = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
+    rows = (spark.read.schema(found).options(**options).option("header", True).option("enforceSchema", False)
+            .option("mode", "FAILFAST").csv(path))
+    return rows.select(*[F.col(f"`{f.name}`") for f in wanted])
+
+
+def read_posts(spark: SparkSession, path: str, schema=POST_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """SRC1: post CSV with header and quoted text.
+
+    ``schema`` (StructType or DDL) names the wanted columns; the file may have
+    more, in any order (see :data:`POST_SCHEMA`; a page export has ``Page
+    Name`` in place of ``Group Name``).  Quoted line breaks need
+    ``multi_line``, with which a file is one task; without it large files
+    split."""
+    return _by_header(spark, path, schema, {"multiLine": str(multi_line).lower(), "escape": '"'})
 
 
 def read_tweets(spark: SparkSession, path: str) -> DataFrame:
     """SRC2: tab-separated ``ID, Target, Tweet, Stance``, header row, Latin-1."""
-    return (spark.read.schema(TWEET_SCHEMA).option("header", True).option("sep", "\t")
-            .option("encoding", "ISO-8859-1").option("quote", "\u0000").csv(path))
+    return _by_header(spark, path, TWEET_SCHEMA, {"sep": "\t", "encoding": "ISO-8859-1", "quote": "\u0000"})
 
 
 def read_scored_tsv(spark: SparkSession, path: str, strict: bool = True):
@@ -59,10 +81,12 @@ def read_scored_tsv(spark: SparkSession, path: str, strict: bool = True):
     scorer's ``split`` drops trailing empty fields, so an empty fourth field
     fails too) and a legal label.  Returns ``(rows, rejects)``; with
     ``strict`` the rows frame fails at run time on the first bad line.
-    Line order is kept in ``row_idx`` (file offset order within the file).
+    Line order is kept in ``row_idx``: by file path, and inside a file by the
+    offset of the split and the line's place in it.
     """
     raw = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("__pos"),
+        F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                 F.monotonically_increasing_id().alias("i")).alias("__pos"),
         F.regexp_replace("value", "\r", "").alias("line"))
     body = raw.where(F.col("line") != SCORER_HEADER)
     fields = F.split(F.col("line"), "\t", -1)
@@ -85,8 +109,7 @@ def read_scored_tsv(spark: SparkSession, path: str, strict: bool = True):
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """``index<TAB>prediction`` files written by the stance model."""
-    return (spark.read.schema("index long, prediction int").option("header", True).option("sep", "\t")
-            .csv(path))
+    return _by_header(spark, path, "index long, prediction int", {"sep": "\t"})
 
 
 def _trial_path_cols(path_col: str = "_metadata.file_path"):
@@ -169,11 +192,15 @@ def read_labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- sinks ------------------------------------------------------------------
 
+#: A CSV writer's default cuts spaces off the ends of values.
+UNTRIMMED = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_posts(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """SNK1: prepared posts; no index column is added."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        w.options(header=True, escape='"', **UNTRIMMED).csv(path)
     else:
         w.parquet(path)
 
@@ -200,7 +227,7 @@ def write_predictions(df: DataFrame, path: str, layout: str = "index", single_fi
         out = df.orderBy(order).select("ID", "Target", "Tweet", "Stance")
     if single_file:
         out = out.coalesce(1)
-    out.write.mode(mode).option("header", True).option("sep", "\t").csv(path)
+    out.write.mode(mode).options(header=True, sep="\t", **UNTRIMMED).csv(path)
 
 
 def write_groups(groups: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -220,7 +247,9 @@ def next_version(spark: SparkSession, path: str) -> int:
     from pyspark.errors import AnalysisException
     try:
         v = spark.read.parquet(path).agg(F.max("version").alias("v")).first()["v"]
-    except AnalysisException:  # folder does not exist yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # e.g. a folder without versions is no run 0
+            raise
         return 0
     return 0 if v is None else int(v) + 1
 

@@ -99,7 +99,7 @@ def test_sample_trials_and_config(spark):
     assert t.count() == 50 and t.where(F.col("learning_rate") < 0).count() == 0
     assert {r.batch_size for r in t.collect()} <= {16, 32, 64, 128}
     cfg = P.make_config({"epochs": 3})
-    assert cfg["epochs"] == 3 and cfg["vocab_min_freq"] == 10
+    assert cfg["epochs"] == 3 and cfg["vocab_min_freq"] == 10 and cfg["batch_size"] == 128
     m = spark.range(1).select(P.merge_config_maps(F.create_map(F.lit("a"), F.lit("1")),
                                                   F.create_map(F.lit("a"), F.lit("2"))).alias("m")).first().m
     assert m == {"a": "2"}
