@@ -28,19 +28,22 @@ def with_reactions_sum(df: DataFrame, cols=REACTION_COLUMNS, out: str = "reactio
 
 
 def with_group_avg(df: DataFrame, group: str, value: str = "reactions_sum",
-                   out: str = "reactions_groupavg", spread: str | None = None) -> DataFrame:
+                   out: str = "reactions_groupavg", spread: str | None = None, salts: int = 16) -> DataFrame:
     """WIN1: mean of ``value`` over the row's group, repeated on every row.
 
     The means are a partial aggregate joined back by salted keys, so a group
     that holds a third of all rows is summed and joined by many tasks (a
     window would buffer it in one).  Rows are spread by their position, which
-    reads no further column, or by the column ``spread``.  Rows whose group is
-    null get no mean.
+    reads no further column, or by the column ``spread``.  With ``salts=1`` the
+    join is on the group alone: for posts stored in buckets of the group, which
+    it then joins without any exchange.  Rows whose group is null get no mean.
     """
     from postlens.operators.skew import salted_join
     means = (df.where(F.col(group).isNotNull())
              .groupBy(group).agg(F.avg(value).alias(out)))
-    return salted_join(df, means, group, "left", spread)
+    if salts == 1:
+        return df.join(means, on=group, how="left")
+    return salted_join(df, means, group, "left", spread, salts)
 
 
 def with_impact_score(df: DataFrame, value: str = "reactions_sum", avg: str = "reactions_groupavg",
@@ -55,9 +58,10 @@ def with_impact_label(df: DataFrame, score: str = "score", threshold: float = 1.
     return df.withColumn(out, F.coalesce(F.col(score) > F.lit(threshold), F.lit(False)).cast("int"))
 
 
-def impact(df: DataFrame, group: str, value: str = "reactions_sum", threshold: float = 1.0) -> DataFrame:
+def impact(df: DataFrame, group: str, value: str = "reactions_sum", threshold: float = 1.0,
+           salts: int = 16) -> DataFrame:
     """WIN1 + PRJ2 + PRJ3 in one call."""
-    out = with_group_avg(df, group, value)
+    out = with_group_avg(df, group, value, salts=salts)
     out = with_impact_score(out, value)
     return with_impact_label(out, threshold=threshold)
 
