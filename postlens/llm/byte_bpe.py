@@ -11,7 +11,6 @@ joins ids to their bytes and concatenates them by an ordered aggregate.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -21,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, text_slices
+from .common import held, id_text, text_slices
 
 #: Pieces kept per worker with their ids; beyond it the store is emptied.
 KEPT = 600_000
@@ -192,9 +191,8 @@ class Codec:
         return out
 
 
-@lru_cache(maxsize=2)
 def codec(ranks_path: str, pattern: str) -> Codec:
-    return Codec(ranks_path, pattern)
+    return held(("codec", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",

@@ -19,6 +19,19 @@ ARROW_ROWS = 1000
 SLICE_BYTES = 2 << 20
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make):
+    """What ``make()`` gives, kept by this Python worker for later tasks.  One
+    thing is kept at a time: an operator that needs another drops it, so the
+    stages of a pipeline do not add up their stores in a worker."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, text_slices
+from .common import held, id_text, text_slices
 
 SPACE = "▁"
 _RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -148,9 +147,8 @@ def cut_point(tables: list, limit: int) -> int:
     return max(0, sum(map(len, tables[:k])) - k + inside - 1)
 
 
-@lru_cache(maxsize=2)
 def counter(model_path: str) -> PrefixCounter:
-    return PrefixCounter(model_path)
+    return held(("prefixes", model_path), lambda: PrefixCounter(model_path))
 
 
 def pack_counts(counts: np.ndarray) -> bytes:

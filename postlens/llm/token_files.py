@@ -25,7 +25,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, id_text, text_slices
+from .common import gathered, held, id_text, text_slices
 
 BLOCK = 512
 PERCENTILE = 0.95
@@ -169,9 +168,8 @@ class LibraryEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+    return held(("library", path), lambda: LibraryEncoder(path))
 
 
 def pack_segment(keys: list[int], ids: list[np.ndarray]) -> bytes:

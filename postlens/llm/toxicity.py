@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from dataclasses import dataclass, field
 from functools import lru_cache
 from heapq import nlargest
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, judged_rows, small_batches, stored, text_slices
+from .common import held, id_text, judged_rows, small_batches, stored, text_slices
 
 DECAY = 0.6
 #: Longest spread of a letter four; windows this long are cut with half overlap.
@@ -51,7 +52,7 @@ FIT_WINDOWS = 3_000
 ROUNDS = 3
 #: Numbers that describe a document for the regression.
 FEATURES = 6
-KEPT = 1_000_000
+KEPT = 700_000
 
 _SENTENCE_END = r"(?<=[.!?])\s+|\n+"
 
@@ -120,6 +121,7 @@ class Machine:
     centre: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     scale: np.ndarray = field(default_factory=lambda: np.ones(FEATURES))
     curve: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def decide(self, windows: list[str]) -> np.ndarray:
         out = np.full(len(windows), self.bias)
@@ -255,23 +257,22 @@ def _score(rows: DataFrame, machine: Machine, give: str) -> DataFrame:
     """(key, features), (key, score) or (key, decision) of rows (key, text),
     the last for texts that are one window each; other columns are passed on."""
     shared = rows.sparkSession.sparkContext.broadcast(machine)  # 2^HASH_BITS numbers, whatever the input
-    kept: list[Scorer] = []
     more = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:]]
 
     def run(batches):
-        if not kept:
-            kept.append(Scorer(shared.value))
+        machine = shared.value
+        scorer = held(("scorer", machine.name), lambda: Scorer(machine))
         for batch in batches:
             at = 0
             for keys, texts in text_slices([batch]):
                 part = batch.slice(at, len(keys))
                 at += len(keys)
                 if give == "decision":
-                    out = pa.array(shared.value.decide(texts))
+                    out = pa.array(machine.decide(texts))
                 elif give == "features":
-                    out = pa.array(kept[0].features(texts).tolist(), pa.list_(pa.float64()))
+                    out = pa.array(scorer.features(texts).tolist(), pa.list_(pa.float64()))
                 else:
-                    out = pa.array(shared.value.probability(kept[0].features(texts)))
+                    out = pa.array(machine.probability(scorer.features(texts)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], out],
                                                  ["key", *part.schema.names[2:], give])
 
@@ -380,8 +381,9 @@ def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", limit:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def judge():
-        scorer = Scorer(shared.value)
-        return lambda texts: shared.value.probability(scorer.features(texts)) < limit
+        machine = shared.value
+        scorer = held(("scorer", machine.name), lambda: Scorer(machine))
+        return lambda texts: machine.probability(scorer.features(texts)) < limit
 
     return judged_rows(docs, text_col, judge)
 
