@@ -38,13 +38,10 @@ STOP_WORDS = [
     "wasn", "wasn't", "weren", "weren't", "won", "won't", "wouldn", "wouldn't",
 ]
 
-# Two-label public suffixes recognised by the domain extractor; any other
-# host is taken to end in a one-label suffix.
-TWO_LABEL_SUFFIXES = [
-    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz",
-    "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "co.in", "co.za",
-    "com.tr", "com.ar", "co.kr", "com.sg",
-]
+# Labels that, before a two-letter country code, belong to the public suffix
+# (co.uk, com.au, gov.br, ...); any other host ends in a one-label suffix.
+SECOND_LEVEL_LABELS = ["ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "id", "ltd", "mil", "ne", "net", "nom", "or",
+                       "org", "plc", "sch"]
 
 # Basic English tokenizer rules (public torchtext definition), applied in order
 # after lower-casing: pattern -> replacement.
@@ -111,30 +108,47 @@ def replace_literal(c, search: str, repl: str = "") -> Column:
 
 
 def url_host(c) -> Column:
-    """Host part of a URL, lower case; NULL when the URL cannot be parsed."""
-    return F.lower(F.expr(f"try_parse_url({_sql_col(c)}, 'HOST')"))
-
+    """Host part of a link, lower case; the scheme may be missing
+    (``www.facebook.com/x``), user and port are left out."""
+    return F.regexp_extract(
+        F.lower(_c(c)), r"^\s*(?:(?:[a-z][a-z0-9+.-]*:)?//)?(?:[^/?#@\s]*@)?(\[[^\]]*\]|[^/?#:\s]*)", 1)
 
-def _sql_col(c) -> str:
-    if isinstance(c, str):
-        return f"`{c}`"
-    raise TypeError("url functions take a column name")
 
-
-def registered_domain(c) -> Column:
+def registered_domain(c, suffixes=None) -> Column:
     """STR5: the label just before the public suffix
-    (``www.facebook.com`` -> ``facebook``); '' for a null or host-less link.
+    (``www.facebook.com`` -> ``facebook``); '' for a null or host-less link,
+    an IP address whole.
+
+    ``suffixes`` is a list in the public suffix list's notation (``co.uk``,
+    ``*.ck``, ``!www.ck``); the longest match counts, hosts without a match end
+    in a one-label suffix.  Without it the rule of
+    :data:`SECOND_LEVEL_LABELS` is used.
     """
-    host = url_host(c)
-    labels = F.split(host, r"\.")
+    host = F.rtrim(url_host(c), F.lit("."))
+    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
-    last_two = F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))
-    two_label = F.array(*[F.lit(s) for s in TWO_LABEL_SUFFIXES])
+    if suffixes is None:
+        country = F.char_length(F.element_at(labels, -1)) == 2
+        two = country & F.element_at(labels, -2).isin(*SECOND_LEVEL_LABELS)
+        length = F.when((n >= 2) & two, F.lit(2)).otherwise(F.lit(1))
+    else:
+        plain = F.array(*[F.lit(s) for s in suffixes if s[0] not in "!*"] or [F.lit("")])
+        wild = F.array(*[F.lit(s[2:]) for s in suffixes if s.startswith("*.")] or [F.lit("")])
+        spared = F.array(*[F.lit(s[1:]) for s in suffixes if s.startswith("!")] or [F.lit("")])
+        tails = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.struct(
+            F.array_join(F.slice(labels, n - k + 1, k), ".").alias("t"),
+            F.array_join(F.slice(labels, n - k + 2, F.greatest(k - 1, F.lit(0))), ".").alias("u"), k.alias("k")))
+        fits = F.transform(tails, lambda x: F.when(F.array_contains(spared, x["t"]), 100 + x["k"] - 1)
+                           .when(F.array_contains(plain, x["t"]) | ((x["k"] > 1) & F.array_contains(wild, x["u"])), x["k"])
+                           .otherwise(F.lit(1)))
+        best = F.array_max(fits)
+        length = F.when(best >= 100, best - 100).otherwise(best)
+    address = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | host.startswith("[")
     dom = (F.when(host.isNull() | (host == ""), F.lit(""))
+           .when(address, host)
            .when(n == 1, F.element_at(labels, 1))
-           .when(F.array_contains(two_label, last_two) & (n >= 3), F.element_at(labels, -3))
-           .when(F.array_contains(two_label, last_two), F.lit(""))
-           .otherwise(F.element_at(labels, -2)))
+           .when(n <= length, F.lit(""))
+           .otherwise(F.element_at(labels, -1 - length)))
     return F.coalesce(dom, F.lit(""))
 
 

@@ -136,3 +136,18 @@ def tweets_latin1_roundtrip(spark, d):
      .option("quote", "\u0000").options(**FI.UNTRIMMED).csv(path))
     back = FI.read_tweets(spark, path)
     return back.select("ID", "Target", F.md5("Tweet").alias("tweet_md5"), "Stance")
+
+
+@query("scored_tsv_roundtrip", "SRC3 SNK2", V.with_sql(V.STANCE_GUESS_SQL) + """
+SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, CAST("ID" AS VARCHAR) AS "ID", "Target",
+       md5(regexp_replace("Tweet", '[\t\r\n]', ' ', 'g')) AS tweet_md5, "Stance"
+FROM stance_guess
+""")
+def scored_tsv_roundtrip(spark, d):
+    """Predictions in the submission layout, in row order over several files,
+    read back as the scorer reads them."""
+    path = _scratch(spark, "submission")
+    guess = V.stance_guess(spark, d).withColumn("Tweet", F.regexp_replace("Tweet", "[\\t\\r\\n]", " "))
+    FI.write_predictions(guess, path, layout="submission")
+    rows, _ = FI.read_scored_tsv(spark, path)
+    return rows.select("row_idx", "ID", "Target", F.md5("Tweet").alias("tweet_md5"), "Stance")

@@ -117,11 +117,11 @@ def score_party_model(spark, d):
     return pred.select("row_idx", "impact_pred", "party_pred")
 
 
-@query("hyper_search", "MLJ8 AGG22")
+@query("hyper_search", "MLJ8 SPL5 AGG22")
 def hyper_search(spark, d):
     gold = V.stance_gold(spark, d).where(F.col("Stance") != "UNKNOWN")
     enc = M.encode_labels(gold, M.target_codes(gold)).withColumn("Tweet", ascii_only("Tweet"))
-    return ML.search(enc, "Tweet", "stance_id", reg_params=(0.01, 0.1), max_iters=(5, 15), parallelism=4)
+    return ML.search(enc, "Tweet", "stance_id", trials=4, parallelism=4)
 
 
 @query("sage_text_model", "EXP3 EXP2 MLJ4 JN7")

@@ -136,11 +136,9 @@ lab AS (SELECT *, string_split(h, '.') AS labels FROM host)
 SELECT row_idx, CAST(group_id AS VARCHAR) AS group_id, "Type" AS post_type,
   CASE WHEN "Link" IS NULL OR h IS NULL OR h = '' THEN ''
        WHEN len(labels) = 1 THEN labels[1]
-       WHEN labels[-2] || '.' || labels[-1] IN (%s) AND len(labels) >= 3 THEN labels[-3]
-       WHEN labels[-2] || '.' || labels[-1] IN (%s) THEN ''
        ELSE labels[-2] END AS domain
 FROM lab
-""" % ((", ".join(f"'{s}'" for s in T.TWO_LABEL_SUFFIXES),) * 2)
+"""
 
 
 @query("category_features", "PRJ8 STR5 FLT6", V.with_sql(V.DOC_POSTS_SQL) + "," + _DOMAIN_SQL)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postlens.functions import arrays as A
 from postlens.operators import runs as RU
+from postlens.operators import stats as S
 from postlens.plans.q_prepare import _r
 from postlens.plans.registry import query
 from postlens.sources import files as FI
@@ -80,3 +82,65 @@ SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d JOIN lab
 """)
 def labelled_text(spark, d):
     return FI.read_labelled_text(spark, d).select("doc_id", "lang", "n_chars", "quality", "toxic")
+
+
+_CKPT_SQL = V.with_sql(V.TRIAL_LOG_SQL) + """,
+c AS (SELECT 'version_' || trial_id || '/epoch=' || training_iteration AS path, training_iteration AS epoch,
+             floor(loss * 100) / 100 AS loss, floor(mean_F1 * 100) / 100 AS f1, trial_id
+      FROM trial_log)
+"""
+
+
+def checkpoint_names(spark, d):
+    """Checkpoint names as the trainer writes them, one per trial log row."""
+    t = V.trial_log(spark, d)
+    two = lambda c: F.format_string("%.2f", F.floor(F.col(c) * 100) / 100)
+    epoch = F.col("training_iteration").cast("string")
+    return t.select(
+        F.concat(F.lit("version_"), F.col("trial_id").cast("string")).alias("version"),
+        F.concat(F.lit("version_"), F.col("trial_id").cast("string"), F.lit("/epoch="), epoch).alias("path"),
+        F.concat(F.lit("epoch="), epoch, F.lit("-val_loss="), two("loss"), F.lit("-val_F="), two("mean_F1")).alias("name"))
+
+
+@query("best_checkpoint", "SRT1 STR7", _CKPT_SQL + """
+SELECT round(loss, 2) AS loss, round(f1, 2) AS f1 FROM c ORDER BY f1 DESC, loss ASC LIMIT 1
+""")
+def best_checkpoint(spark, d):
+    """Loss and F1 of the best checkpoint, read from the names as numbers."""
+    best = S.best_checkpoint(FI.checkpoint_scores(checkpoint_names(spark, d)))
+    return best.select(_r("loss", 2).alias("loss"), _r("f1", 2).alias("f1"))
+
+
+@query("latest_version", "SRT2 STR8", _CKPT_SQL + """
+SELECT 'version_' || max(trial_id) AS latest, CAST(max(trial_id) AS INTEGER) AS version FROM c
+""")
+def latest_version(spark, d):
+    return S.latest_version(checkpoint_names(spark, d), "version")
+
+
+@query("trial_stamps", "DAT1", """
+SELECT event_id, date_trunc('second', ts) AS parsed, epoch(date_trunc('second', ts))::BIGINT AS seconds FROM events
+""")
+def trial_stamps(spark, d):
+    """Event times written in the trial folders' form and as epoch seconds;
+    both are read back, and must agree."""
+    e = V.table(spark, d, "events").select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd_HH-mm-ss").alias("stamp"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds"))
+    parsed = A.parse_trial_stamp("stamp")
+    same = F.assert_true(parsed == A.epoch_to_ts("seconds"), F.lit("stamp and seconds differ"))
+    return e.select("event_id", F.coalesce(same.cast("timestamp_ntz"), parsed.cast("timestamp_ntz")).alias("parsed"), "seconds")
+
+
+@query("concat_vectors", "ARR7 FEA4", """
+SELECT vec_id, CAST(len(embedding) + 10 AS INTEGER) AS n, CAST(len(embedding) + label + 1 AS INTEGER) AS slot,
+       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) + 1, 6) AS total
+FROM embeddings
+""")
+def concat_vectors(spark, d):
+    """Text vector and one-hot category side by side, the models' input."""
+    onehot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), 1.0).otherwise(0.0))
+    e = V.table(spark, d, "embeddings").select("vec_id", "embedding", A.concat_vectors(
+        F.transform("embedding", lambda x: x.cast("double")), onehot).alias("x"))
+    tail = F.size("embedding") + F.array_position(F.slice("x", F.size("embedding") + 1, 10), 1.0)
+    return e.select("vec_id", F.size("x").alias("n"), tail.cast("int").alias("slot"),
+                    _r(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"))

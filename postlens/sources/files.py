@@ -226,8 +226,9 @@ def write_predictions(df: DataFrame, path: str, layout: str = "index", single_fi
     else:
         out = df.orderBy(order).select("ID", "Target", "Tweet", "Stance")
     if single_file:
-        out = out.coalesce(1)
-    out.write.mode(mode).options(header=True, sep="\t", **UNTRIMMED).csv(path)
+        out = out.coalesce(1)  # of a sorted frame: one sorted file
+    # the scorer splits lines at tabs and knows no quotes
+    out.write.mode(mode).options(header=True, sep="\t", quote="\u0000", **UNTRIMMED).csv(path)
 
 
 def write_groups(groups: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -2,15 +2,12 @@
 
 The reference has no streaming.  The stateless preparation of §2.2/§2.8
 (text assembly, ASCII cleaning, row sums, category columns) is made of column
-expressions only, so it runs unchanged on ``readStream``.  The group mean of
-WIN1 needs all history; on a stream it is kept as a running aggregate in the
-state store and each micro-batch is scored against it in ``foreachBatch``.
+expressions only, so it runs unchanged on ``readStream``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from postlens.functions import text as T
 from postlens.operators import prepare as P
@@ -28,48 +25,3 @@ def prepare_stream(df: DataFrame, text_cols=None, reaction_cols=None) -> DataFra
     if reaction_cols:
         df = P.with_reactions_sum(df, reaction_cols)
     return df
-
-
-def running_group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Streaming aggregate of count and sum per group (state store)."""
-    return (df.where(F.col(group).isNotNull()).groupBy(group)
-            .agg(F.count(F.col(value)).alias("n"), F.sum(value).alias("total")))
-
-
-def score_against(batch: DataFrame, stats: DataFrame, group: str, value: str) -> DataFrame:
-    """Impact of the rows of one micro-batch against the current group means."""
-    means = stats.select(group, (F.col("total") / F.col("n")).alias("reactions_groupavg"))
-    return P.with_impact_label(P.with_impact_score(batch.join(means, group, "left"), value))
-
-
-def impact_stream(df: DataFrame, group: str, value: str, checkpoint: str, sink_table: str,
-                  trigger_once: bool = True):
-    """Score each micro-batch against the running group means of all batches
-    so far, appending the scored rows to ``sink_table``.
-
-    The running ``(group, n, total)`` table lives next to the stream's
-    checkpoint (a shared folder), one version per epoch: epoch ``e`` reads
-    version ``e-1``, adds the batch's partial sums and writes version ``e``,
-    so a replayed epoch rewrites the same version (idempotent) and nothing is
-    held on the driver.
-    """
-    spark = df.sparkSession
-    state = f"{checkpoint}/group_stats"
-
-    def _batch(batch: DataFrame, epoch: int) -> None:
-        part = running_group_stats(batch, group, value)
-        try:
-            prev = spark.read.parquet(f"{state}/epoch={epoch - 1}")
-            merged = prev.unionByName(part).groupBy(group).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-        except Exception:  # noqa: BLE001 - first epoch: no previous version
-            merged = part
-        merged.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
-        stats = spark.read.parquet(f"{state}/epoch={epoch}")
-        score_against(batch, stats, group, value).write.mode("append").saveAsTable(sink_table)
-
-    w = df.writeStream.foreachBatch(_batch).option("checkpointLocation", f"{checkpoint}/scores")
-    w = w.trigger(availableNow=True) if trigger_once else w
-    q = w.start()
-    if trigger_once:
-        q.awaitTermination()
-    return q

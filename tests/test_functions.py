@@ -25,6 +25,14 @@ def test_concat_fields_keeps_separators(spark):
     ("http://news.bbc.co.uk/a", "bbc"),
     ("https://blog.tiontion.example.com/en/853/", "example"),
     ("http://localhost/x", "localhost"),
+    ("http://a.b.co.il/", "b"),
+    ("https://x.gov.br", "x"),
+    ("http://gov.br/", ""),
+    ("http://192.168.1.10/a", "192.168.1.10"),
+    ("www.facebook.com/x", "facebook"),
+    ("localhost:8080/x", "localhost"),
+    ("https://user:pw@News.Example.ORG.:443/", "example"),
+    ("", ""),
     (None, ""),
 ])
 def test_registered_domain(spark, url, dom):
@@ -32,6 +40,16 @@ def test_registered_domain(spark, url, dom):
     assert df.select(T.registered_domain("u").alias("d")).first()["d"] == dom
 
 
+@pytest.mark.parametrize("url,dom", [
+    ("http://a.b.kobe.jp/", "a"), ("http://city.kobe.jp", "city"), ("http://x.y.blogspot.com", "y"),
+    ("http://x.example.com", "example"), ("http://b.kobe.jp", ""), ("http://blogspot.com", ""),
+])
+def test_registered_domain_by_table(spark, url, dom):
+    df = spark.createDataFrame([(url,)], "u string")
+    table = ["com", "jp", "*.kobe.jp", "!city.kobe.jp", "blogspot.com"]
+    assert df.select(T.registered_domain("u", table).alias("d")).first()["d"] == dom
+
+
 def test_tokenize(spark):
     got = one(spark, T.tokenize(F.lit('Hello, World! It\'s "fine"; ok: (yes)?')))
     assert got == ["hello", ",", "world", "!", "it", "'", "s", "fine", "ok", "(", "yes", ")", "?"]
