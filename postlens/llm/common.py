@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.session import ensure_checkpoint_dir
+from postlens.session import ensure_checkpoint_dir, spread_text
 
 #: Rows per Arrow batch handed to a Python worker; with texts of a few
 #: kilobytes this keeps a batch at a few megabytes.
@@ -33,7 +33,10 @@ def held(key: tuple, make):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; documents are spread over tasks where a benchmark on
+    files of one row group asks for it (:func:`postlens.session.spread_text`)."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_text(rows) if name == "documents" else rows
 
 
 def small_batches(spark: SparkSession) -> None:
