@@ -15,8 +15,9 @@ Windows that lie next to each other and share a key string form a *piece*.
     The search stops at ``length``: rows with no boundary between them have at
     least that much in common, and the first of such rows in corpus order stays.
 3.  A key under which very many different pieces meet (a common line) would put
-    them all into one transform.  Such pieces are split into their windows,
-    which take the window itself as the key and go through step 1 again.
+    them all into one task and one transform.  Such pieces are split into their
+    windows, which take the window itself as the key: at once for keys that are
+    crowded in a sample, else after step 1.
 4.  The windows found are put together per document.
 """
 
@@ -34,6 +35,9 @@ LENGTH = 100
 KEY = 50
 #: Different pieces that a key may have in one transform.
 CROWD = 1024
+#: Documents of the sample that shows crowded keys, and the different pieces
+#: that make a key crowded in it.
+SAMPLE, SAMPLE_CROWD = 20_000, 64
 #: Bytes of text whose pieces are put together before they are dealt out.
 GATHER_BYTES = 32 << 20
 #: Text bytes behind one partition of dealt-out pieces.
@@ -201,13 +205,24 @@ def _settle(batches):
             yield _ranges(kind, some)
 
 
-def _text_occurrences(length: int, key: int):
-    """Occurrences from batches of (doc, tie, text)."""
+def _window_occurrences(single: Pieces, raw: list[bytes], docs, ties, starts) -> np.ndarray:
+    """Occurrences of the single windows of pieces, each its own key."""
+    ends = np.cumsum([len(b) for b in raw])
+    text, start, n, key_hash, piece_hash = single.find(np.frombuffer(b"".join(raw), np.uint8), ends)
+    occ = np.empty(len(text), _OCC)
+    occ["key"], occ["piece"], occ["n"] = key_hash, piece_hash, n
+    occ["doc"], occ["tie"], occ["start"] = docs[text], ties[text], starts[text] + start
+    return occ
+
+
+def _text_occurrences(length: int, key: int, crowded: np.ndarray):
+    """Occurrences from batches of (doc, tie, text); pieces under the keys
+    ``crowded`` (sorted hashes) are split into their windows."""
     finder: list[Pieces] = []
 
     def make(batch):
         if not finder:
-            finder.append(Pieces(length, key))
+            finder.extend([Pieces(length, key), Pieces(length, length)])
         docs, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         at = 0
         for keys, texts in text_slices([batch.select([0, 2])]):
@@ -218,6 +233,14 @@ def _text_occurrences(length: int, key: int):
             occ["key"], occ["piece"], occ["start"], occ["n"] = key_hash, piece_hash, start, n
             occ["doc"], occ["tie"] = docs[at + text], ties[at + text]
             at += len(keys)
+            if len(crowded) and len(occ):
+                where = np.minimum(np.searchsorted(crowded, key_hash), len(crowded) - 1)
+                hit = crowded[where] == key_hash
+                if hit.any():
+                    parts = [raw[t][s:s + m - 1 + length] for t, s, m in zip(text[hit], start[hit], n[hit])]
+                    some = occ[hit]
+                    occ = np.concatenate([occ[~hit], _window_occurrences(
+                        finder[1], parts, some["doc"], some["tie"], some["start"])])
             yield occ, int(ends[-1]) if len(ends) else 0
 
     return make
@@ -226,17 +249,10 @@ def _text_occurrences(length: int, key: int):
 def _piece_occurrences(length: int):
     """Occurrences of the single windows of pieces (key, doc, tie, start, bytes)."""
     def make(batch):
-        if not batch.num_rows:
-            return
-        finder = Pieces(length, length)
-        docs, ties, starts = (batch.column(i).to_numpy() for i in (1, 2, 3))
-        raw = batch.column(4).to_pylist()
-        ends = np.cumsum([len(b) for b in raw])
-        text, start, n, key_hash, piece_hash = finder.find(np.frombuffer(b"".join(raw), np.uint8), ends)
-        occ = np.empty(len(text), _OCC)
-        occ["key"], occ["piece"], occ["n"] = key_hash, piece_hash, n
-        occ["doc"], occ["tie"], occ["start"] = docs[text], ties[text], starts[text] + start
-        yield occ, 40 * int(ends[-1])
+        if batch.num_rows:
+            docs, ties, starts = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            raw = batch.column(4).to_pylist()
+            yield _window_occurrences(Pieces(length, length), raw, docs, ties, starts), 40 * sum(map(len, raw))
 
     return make
 
@@ -407,17 +423,38 @@ def remove_windows(raw: bytes, ranges: list[tuple[int, int]], length: int) -> tu
     return b"".join(kept), removed, spans
 
 
+def crowded_keys(rows: DataFrame, length: int, key: int, count: int) -> np.ndarray:
+    """Key hashes under which many different pieces meet already in a sample of
+    about ``SAMPLE`` documents, those of least hash: at most the sample's pieces
+    divided by ``SAMPLE_CROWD``.  It only decides by which of two exact ways a
+    piece goes, the same for all documents."""
+    step = 1 << 20
+    share = min(step, -(-SAMPLE * step // max(1, count)))
+    some = rows.where(F.pmod(F.xxhash64("doc", "tie"), F.lit(step)) < share)
+    make = _text_occurrences(length, key, np.zeros(0, np.uint64))
+
+    def run(batches):
+        for batch in batches:
+            for occ, _ in make(batch):
+                pairs = np.unique(np.stack([occ["key"], occ["piece"]], 1), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "piece"])
+
+    met = (some.mapInArrow(run, "key long, piece long").distinct().groupBy("key").count()
+           .where(F.col("count") >= SAMPLE_CROWD).select("key").toPandas())
+    return np.sort(met["key"].to_numpy(np.int64).view(np.uint64))
+
+
 def repeated_ranges(rows: DataFrame, length: int, key: int) -> DataFrame:
     """(doc, tie, start, n): runs of windows that also start earlier in the
     corpus, for ``rows`` (doc, tie, text)."""
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, total // PART_BYTES)
+    total, count = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    parts = max(8, (total or 0) // PART_BYTES)
     shards = 4 * parts
 
     def settle(dealt):
         return stored(dealt.repartition(parts, "shard").mapInArrow(_settle, _FOUND), "repeats")
 
-    make = _text_occurrences(length, key)
+    make = _text_occurrences(length, key, crowded_keys(rows, length, key, count))
     found = settle(rows.mapInArrow(lambda it: _deal(it, make, shards, GATHER_BYTES), _DEALT))
     asked = (found.where(F.col("kind") != REPEAT)
              .groupBy("doc", "tie").agg(F.collect_list(F.struct("kind", "key", "start", "n")).alias("asked")))

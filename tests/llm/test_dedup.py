@@ -183,3 +183,17 @@ def test_texts_without_repeats(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got.collect())[0] == (False, 0)
     assert suffix_dedup.drop_repeats(docs.where("false")).count() == 0
     assert all("�" not in (r["text"] or "") for r in got.collect())
+
+
+def test_crowded_keys_from_the_sample(spark):
+    # a line shorter than the windows, in very many texts with other neighbours
+    rng = np.random.default_rng(9)
+    line = "this very common line stands in all of the texts of the table, "
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 20)) + line * int(rng.integers(1, 4)) + " ".join(rng.choice(words, 20))
+             for _ in range(150)]
+    rows = documents(spark, texts).select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("tie"), "text")
+    assert len(suffix_dedup.crowded_keys(rows, 100, 50, 150)) > 0
+    got = suffix_dedup.suffix_dedup(documents(spark, texts), length=100)
+    check_cut({r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got.collect()},
+              range(150), texts, 100)
