@@ -32,6 +32,11 @@ def held(key: tuple, make):
     return _HELD[key]
 
 
+def let_go() -> None:
+    """Drop what this worker keeps; for operators that need the room."""
+    _HELD.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; documents are spread over tasks where a benchmark on
     files of one row group asks for it (:func:`postlens.session.spread_text`)."""
@@ -53,16 +58,16 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(keys, texts) lists of about ``SLICE_BYTES`` characters each; one very
-    long text is a slice of its own."""
+def text_slices(batches: Iterator[pa.RecordBatch], slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[list, list]]:
+    """(keys, texts) lists of about ``slice_bytes`` each; one very long text is
+    a slice of its own."""
     for batch in batches:
         keys, column = batch.column(0), batch.column(1)
         start, size = 0, 0
         lengths = pc.binary_length(column).to_pylist()
         for i, n in enumerate(lengths):
             size += n or 0
-            if size >= SLICE_BYTES or i + 1 == len(lengths):
+            if size >= slice_bytes or i + 1 == len(lengths):
                 yield keys[start:i + 1].to_pylist(), column[start:i + 1].to_pylist()
                 start, size = i + 1, 0
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import judged_rows, stored, with_groups
+from .common import judged_rows, let_go, stored, with_groups
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -71,7 +71,11 @@ def with_stats(docs: DataFrame, text_col: str, lang_col: str, source_col: str, k
     mark = "_"  # names that no column of the documents has
     while any(c.lower().startswith(mark) for c in docs.columns):
         mark += "_"
-    rows = judged_rows(docs, text_col, lambda: lambda texts: list(zip(*map(text_stats, texts))),
+    def judge():
+        let_go()
+        return lambda texts: list(zip(*map(text_stats, texts)))
+
+    rows = judged_rows(docs, text_col, judge,
                        ", ".join(mark + x for x in _STATS.split(", ")), keep)
     group = [F.coalesce(F.col(f"row.`{c}`").cast("string"), F.lit("\0")).alias(a)
              for c, a in ((lang_col, "lang"), (source_col, "source"))]

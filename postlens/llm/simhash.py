@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, stored, text_slices
+from .common import id_text, let_go, stored, text_slices
 from .components import components, local_roots
 
 SEED = 42
@@ -54,6 +54,7 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, fp): the fingerprint as a signed 64-bit number."""
     def run(batches):
+        let_go()
         for keys, texts in text_slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps)], ["key", "fp"])

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, text_slices
+from .common import let_go, small_batches, stored, text_slices
 
 LENGTH = 100
 KEY = 50
@@ -39,11 +39,13 @@ CROWD = 1024
 #: that make a key crowded in it.
 SAMPLE, SAMPLE_CROWD = 20_000, 64
 #: Bytes of text whose pieces are put together before they are dealt out.
-GATHER_BYTES = 32 << 20
+GATHER_BYTES = 16 << 20
+#: Bytes of text searched for pieces at a time (some 150 bytes of memory each).
+FIND_BYTES = 512 << 10
 #: Text bytes behind one partition of dealt-out pieces.
 PART_BYTES = 8 << 20
 #: Bytes of one transform, about.
-TRANSFORM_BYTES = 2 << 20
+TRANSFORM_BYTES = 1 << 20
 #: A byte that UTF-8 never has: it ends a piece in the transform.
 END = 0xFF
 
@@ -139,6 +141,7 @@ def _deal(batches, make, shards: int, limit: int):
     """Occurrences of the texts in ``batches``, gathered and dealt by key; of
     equal pieces gathered together only the first goes on, the others are
     repeats (shards below 0)."""
+    let_go()
     parts, size = [], 0
 
     def flush():
@@ -225,7 +228,7 @@ def _text_occurrences(length: int, key: int, crowded: np.ndarray):
             finder.extend([Pieces(length, key), Pieces(length, length)])
         docs, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         at = 0
-        for keys, texts in text_slices([batch.select([0, 2])]):
+        for keys, texts in text_slices([batch.select([0, 2])], FIND_BYTES):
             raw = [t.encode() for t in texts]
             ends = np.cumsum([len(b) for b in raw])
             text, start, n, key_hash, piece_hash = finder[0].find(np.frombuffer(b"".join(raw), np.uint8), ends)
