@@ -15,7 +15,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,7 +84,7 @@ SELECT w, p, id, live FROM state WHERE NOT live OR round = {LONG_ROUNDS} ORDER B
 """
 
 DECODE = """
-SELECT d, unhex(string_agg(hex, '' ORDER BY p)) AS bytes FROM ids JOIN vocabulary USING (id) GROUP BY d
+SELECT d, unhex(string_agg(hex, '' ORDER BY p)) AS bytes, count(*) AS n FROM ids JOIN vocabulary USING (id) GROUP BY d
 """
 
 
@@ -184,6 +183,8 @@ class Codec:
             self.db.register("ids", pa.table({"d": doc[a:a + QUERY_TOKENS], "p": np.arange(len(ids)), "id": ids}))
             found = self.db.execute(DECODE).fetchnumpy()
             self.db.unregister("ids")
+            if int(found["n"].sum()) != len(ids):
+                raise ValueError("ids outside the vocabulary")
             for d, b in zip(found["d"].tolist(), found["bytes"]):
                 parts.setdefault(d, []).append(b)
         for d, b in parts.items():
@@ -225,8 +226,6 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str =
         for batch in batches:
             keys, n, ids = batch.columns
             out = c.decode(ids.to_pylist())
-            if sum(map(len, out)) == 0 and pc.sum(n).as_py():
-                raise ValueError("ids outside the vocabulary")
             yield pa.RecordBatch.from_arrays([keys, n, ids, pa.array(out, pa.binary())],
                                              ["key", "n_tokens", "ids", "decoded"])
 

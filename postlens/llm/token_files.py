@@ -41,6 +41,8 @@ PERCENTILE = 0.95
 SEGMENT = 1 << 20
 #: Characters encoded together: the more, the fewer words are looked up again.
 GATHER = 8 << 20
+#: Stands for a null key.
+NO_KEY = -(1 << 63)
 KEPT = 1_500_000
 
 FILES = "part int, seq int, before long, n_tokens long, data binary"
@@ -259,7 +261,7 @@ def _segments(batches: Iterator[pa.RecordBatch], model: str, end_id: int) -> Ite
 
     for some, texts in gathered(text_slices(batches), GATHER):
         for key, found in zip(some, encoder.encode(texts)):
-            keys.append(-1 if key is None else key)
+            keys.append(NO_KEY if key is None else key)
             ids += [found, end]
             size += len(found) + 1
             if size >= SEGMENT:
@@ -274,13 +276,12 @@ def write_token_files(docs: DataFrame, model_path: str, path: str, id_col: str =
     """Encode whole texts, append ``end_id`` to each, and write segments to
     ``path`` in ascending order of the id (part by part, then ``seq``).
 
-    Null and empty texts hold the end id alone.  Rows with a null id are an
-    error: such a row has no place in the order.  Rows that repeat an id stand
-    next to each other in the order of their text hash.  Other columns are not
+    Null and empty texts hold the end id alone.  Null ids come first and are
+    null when read.  Rows that repeat an id stand next to each other in the
+    order of their text hash.  Other columns are not
     read; no rows give an empty table.
     """
-    rows = id_text(docs, id_col, text_col).withColumn(
-        "key", F.when(F.col("key").isNull(), F.raise_error(F.lit("null id"))).otherwise(F.col("key")))
+    rows = id_text(docs, id_col, text_col)
     # the text hash in the range key splits an id that very many rows share
     ordered = (rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("key", "tie")
                .sortWithinPartitions("key", "tie").select("key", "text"))
@@ -319,7 +320,7 @@ def _read(spark, path, schema, digest, name, kind) -> DataFrame:
                 ends = np.cumsum(lengths, dtype=np.int64)
                 ids = np.ascontiguousarray(ids, "<u4")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(start + ends - lengths, pa.int64()),
+                    [pa.array(keys, pa.int64(), mask=keys == NO_KEY), pa.array(start + ends - lengths, pa.int64()),
                      pa.array(lengths.astype(np.int64), pa.int64()),
                      pa.array([digest(ids[a:b]) for a, b in zip(ends - lengths, ends)], kind)],
                     ["key", "start", "n_tokens", name])

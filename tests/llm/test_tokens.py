@@ -75,7 +75,8 @@ def test_encode_decode(spark, tik):
 
 
 def test_wrong_id_is_an_error(spark):
-    bad = spark.createDataFrame([(1, np.array([99_999_999], "<u4").tobytes())], "doc_id long, ids binary")
+    bad = spark.createDataFrame([(0, np.array([5], "<u4").tobytes()), (1, np.array([7, 99_999_999], "<u4").tobytes())],
+                                "doc_id long, ids binary")
     with pytest.raises(Exception, match="outside the vocabulary"):
         byte_bpe.decode_ids(bad, RANKS, P.PATTERN).collect()
 
@@ -120,9 +121,11 @@ def test_token_files(spark):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
-def test_null_id_has_no_place(spark):
-    with pytest.raises(Exception, match="null id"):
-        token_files.write_token_files(documents(spark, ["a"], [None]), JSON, scratch(spark, "t"))
+def test_null_ids_come_first(spark):
+    path = scratch(spark, "t")
+    token_files.write_token_files(documents(spark, ["a", "b b", "c"], [-5, None, 7]), JSON, path)
+    rows = sorted(map(tuple, token_files.read_token_files(spark, path).select("start", "doc_id", "n_tokens").collect()))
+    assert rows == [(0, None, 3), (3, -5, 2), (5, 7, 2)]
 
 
 def test_digest_queries(spark, tik):
