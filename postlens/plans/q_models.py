@@ -10,7 +10,7 @@ from postlens.operators import metrics as M
 from postlens.operators import models as ML
 from postlens.operators import prepare as P
 from postlens.operators import splits as SP
-from postlens.plans.q_prepare import _EVENT_IMPACT_SQL, _r, event_impact
+from postlens.plans.q_prepare import _DOMAIN_SQL, _EVENT_IMPACT_SQL, _r, event_impact
 from postlens.plans.q_features import SPLIT_SQL, doc_split
 from postlens.plans.registry import query
 from postlens.sources import testviews as V
@@ -46,6 +46,33 @@ def linear_coefficients(spark, d):
     return ML.coefficients(model).select("feature", _r("coefficient", 4).alias("coefficient"))
 
 
+@query("impact_linear_domain", "MLJ1 MLJ3 PRJ8", V.with_sql(V.DOC_POSTS_SQL) + "," + _DOMAIN_SQL.replace(
+    "\nSELECT row_idx, CAST(group_id", ",\ncf AS (SELECT row_idx, CAST(group_id").rstrip() + f"""),
+s AS (SELECT cf.row_idx, cf.post_type, cf.domain, p.n_chars / nullif(avg(p.n_chars) OVER (PARTITION BY p.group_id), 0) AS score
+      FROM cf JOIN doc_posts p USING (row_idx)),
+tr AS (SELECT * FROM s WHERE score IS NOT NULL AND {SPLIT_SQL} = 'train')
+SELECT 'post_type' AS feature, post_type AS value, count(*) AS n, CAST(0.0 AS DOUBLE) AS mean_residual,
+       round(avg(score), 3) AS mean_prediction FROM tr GROUP BY ALL
+UNION ALL
+SELECT 'domain', domain, count(*), CAST(0.0 AS DOUBLE), round(avg(score), 3) FROM tr GROUP BY ALL
+""")
+def impact_linear_domain(spark, d):
+    """Least squares on post type and link domain together.  That it is the
+    least-squares fit shows in its residuals: over the rows of each category
+    they sum to 0, so the mean prediction is the mean score."""
+    posts = V.doc_posts(spark, d).withColumn("reactions_sum", F.col("n_chars").cast("double"))
+    c = P.category_features(P.impact(posts, "group_id"), "group_id", "Type", "Link")
+    train = SP.split_posts(c, "row_idx").where((F.col("split") == "train") & F.col("score").isNotNull())
+    model = ML.fit_impact_linear(train, ["post_type", "domain"], "score")
+    res = ML.score(train, model).select("post_type", "domain", "prediction", (F.col("score") - F.col("prediction")).alias("e"))
+    both = res.select("e", "prediction", F.explode(F.array(
+        F.struct(F.lit("post_type").alias("feature"), F.col("post_type").alias("value")),
+        F.struct(F.lit("domain").alias("feature"), F.col("domain").alias("value")))).alias("c"))
+    return both.groupBy("c.feature", "c.value").agg(
+        F.count(F.lit(1)).alias("n"), F.abs(F.round(F.avg("e"), 3)).alias("mean_residual"),
+        F.round(F.avg("prediction"), 3).alias("mean_prediction"))
+
+
 @query("impact_lasso", "MLJ2")
 def impact_lasso(spark, d):
     sp = _event_split(spark, d)
