@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, byte_bpe, chat, packing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
-from .common import scratch, small_batches, table
+from .common import scratch, table
 
 LLM_QUERIES: dict = {}
 LLM_ORACLES: dict = {}
