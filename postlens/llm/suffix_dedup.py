@@ -472,9 +472,11 @@ def repeated_ranges(rows: DataFrame, length: int, key: int) -> DataFrame:
     return ranges.select("doc", "tie", "start", "n")
 
 
-def cut_texts(docs: DataFrame, length: int, key: int, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+def cut_texts(docs: DataFrame, length: int, key: int, id_col: str, text_col: str, keep: list[str],
+              as_text: bool = False) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept): ``row`` holds the columns
-    ``keep`` of ``docs``."""
+    ``keep`` of ``docs``; ``kept`` is binary or, ``as_text``, a string without
+    the bytes of characters that were cut through."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"))
@@ -500,16 +502,17 @@ def cut_texts(docs: DataFrame, length: int, key: int, id_col: str, text_col: str
                 raw = unpack.decompress(packed)
                 left, gone, runs = remove_windows(raw, [(r["start"], r["n"]) for r in ranges or ()], length)
                 sizes.append(len(raw))
-                kept.append(left)
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 removed.append(gone)
                 spans.append(runs)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-                 pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+                 pa.array(kept, pa.string() if as_text else pa.binary())],
+                ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     packed = rows.mapInArrow(squeeze, f"doc long, tie long, packed binary, row {kind}")
     return (packed.join(per_doc, ["doc", "tie"], "left").select("row", "packed", "ranges")
-            .mapInArrow(cut, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))
+            .mapInArrow(cut, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, key: int = KEY, id_col: str = "doc_id",
@@ -533,7 +536,6 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, id_col:
     """``docs`` with the texts that :func:`suffix_dedup` leaves; the bytes of a
     character that was cut through go too.  Texts that lose nothing, null ones
     included, are as they were; other columns are as they are."""
-    clean_utf8 = F.pandas_udf(lambda raw: raw.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")
-    cut = cut_texts(docs, length, key, id_col, text_col, docs.columns)
-    return cut.select(*(F.when(F.col("n_removed") > 0, clean_utf8("kept")).otherwise(F.col(f"row.`{c}`")).alias(c)
+    cut = cut_texts(docs, length, key, id_col, text_col, docs.columns, as_text=True)
+    return cut.select(*(F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"row.`{c}`")).alias(c)
                         if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -83,7 +83,7 @@ def four_features(windows: list[str]):
         places, weight = _fours(length)
         if not len(places):
             continue
-        step = max(1, (1 << 20) // len(places))
+        step = max(1, (1 << 18) // len(places))
         for a in range(0, len(numbers), step):
             some = numbers[a:a + step]
             text = "".join(windows[i] for i in some)
