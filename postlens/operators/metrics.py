@@ -103,7 +103,7 @@ def align(gold: DataFrame, guess: DataFrame, key: str = "row_idx", strict: bool
         return g.join(p, on=key, how="inner").drop("__g", "__p")
     out = g.join(p, on=key, how="full")
     lone = F.col("__g").isNull() | F.col("__p").isNull()
-    failed = F.raise_error(F.concat(F.lit("gold and guess differ at "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    failed = F.raise_error(F.concat(F.lit("gold and guess differ in row count or keys, at "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
     return out.withColumn("gold", F.when(lone, failed).otherwise(F.col("gold"))).where(
         F.col("gold").isNotNull() | ~lone).drop("__g", "__p")
 
