@@ -45,6 +45,9 @@ HASH_BITS = 20
 LANDMARKS = 400
 #: Weight of the squared norm in the machine's loss.
 RIDGE = 1e-4
+#: Likelihood ratio (chi-square with one degree of freedom, p about 1e-8) that a
+#: window needs to count as toxic before there is a machine to judge it.
+EVIDENCE = 33.0
 #: Training uses at most this many labelled documents, those of least hash.
 TRAIN_DOCUMENTS = 20_000
 #: Windows taken to the driver for one fit, of each kind.
@@ -154,7 +157,7 @@ def unit_rows(windows: list[str], columns: np.ndarray | None = None) -> tuple[np
     return out, columns
 
 
-def fit_machine(positive: list[str], negative: list[str]) -> Machine:
+def fit_machine(positive: list[str], negative: list[str], weight_of: np.ndarray | None = None) -> Machine:
     """Nyström landmarks, then a linear machine with squared hinge loss."""
     landmarks: list[str] = []
     for source, share in ((positive, LANDMARKS * 3 // 4), (negative, LANDMARKS // 4)):
@@ -179,7 +182,8 @@ def fit_machine(positive: list[str], negative: list[str]) -> Machine:
                         for a in range(0, len(windows), 512)]).astype(np.float64) @ root
     x = np.hstack([x, np.ones((len(x), 1))])
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    c = np.r_[np.full(len(positive), 1 / max(1, len(positive))), np.full(len(negative), 1 / max(1, len(negative)))]
+    heavy = np.ones(len(positive)) if weight_of is None else weight_of
+    c = np.r_[heavy / max(1e-9, heavy.sum()), np.full(len(negative), 1 / max(1, len(negative)))]
     w, ridge = np.zeros(x.shape[1]), RIDGE * np.eye(x.shape[1])
     ridge[-1, -1] = 0
     for _ in range(50):  # Newton steps on the squared hinge
@@ -280,15 +284,18 @@ def _score(rows: DataFrame, machine: Machine, give: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(["key long", *more, f"{give} {kind}"]))
 
 
-def with_variants(windows: list[str]) -> list[str]:
+def with_variants(told: dict[str, int]) -> tuple[list[str], np.ndarray]:
     """Windows and, of each, one with a sign between its letters, one with a
-    letter put in and one with a letter doubled."""
-    out = list(windows)
-    for n, w in enumerate(windows):
-        if len(w) >= 4:
-            k = len(w) // 2
-            out += ["-".join(w), w[:k] + chr(97 + n * 7 % 26) + w[k:], w[:k] + w[k - 1] + w[k:]]
-    return list(dict.fromkeys(out))
+    letter put in and one with a letter doubled; the weight of each is the root
+    of the number of toxic sentences that hold the window."""
+    out: dict[str, float] = {}
+    for n, (w, times) in enumerate(told.items()):
+        k = len(w) // 2
+        for x in (w, "-".join(w), w[:k] + chr(97 + n * 7 % 26) + w[k:], w[:k] + w[k - 1] + w[k:]) if len(w) >= 4 else (w,):
+            out.setdefault(x, math.sqrt(times))
+    # the windows themselves come first: landmarks are chosen in this order
+    order = sorted(out, key=lambda x: x not in told)
+    return order, np.array([out[x] for x in order])
 
 
 def window_counts(labelled: DataFrame) -> DataFrame:
@@ -338,29 +345,36 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _fit_rounds(counts: DataFrame, n_pos: int, n_neg: int) -> Machine:
-    odds = F.log((F.col("n_pos") + 0.5) / (n_pos + 1.0)) - F.log((F.col("n_neg") + 0.5) / (n_neg + 1.0))
-    found = counts.where(F.length("window") >= 3).withColumn("odds", odds)
-    telling = found.where("odds > 3").withColumn("gain", F.col("n_pos") * F.col("odds"))
+    p, n = F.col("n_pos"), F.col("n_neg")
+    share = n_pos / (n_pos + n_neg)
+    odds = F.log((p + 0.5) / (n_pos + 1.0)) - F.log((n + 0.5) / (n_neg + 1.0))
+    # likelihood ratio of a window's counts against the share of toxic sentences
+    ratio = 2 * (p * F.log(F.greatest(p, F.lit(1)) / ((p + n) * share))
+                 + n * F.log(F.greatest(n, F.lit(1)) / ((p + n) * (1 - share))))
+    found = counts.where(F.length("window") >= 3).withColumn("odds", odds).withColumn("evidence", ratio)
 
     def take(df, *by):
-        return [r["window"] for r in df.orderBy(*by, "window").limit(FIT_WINDOWS).collect()]
-
-    told = take(telling.where("n_pos >= 4"), F.desc("gain")) or take(telling.where("n_pos >= 2"), F.desc("gain"))
-    clean = found.where("n_neg >= 1 and odds < 1")
-    negative = list(dict.fromkeys(take(clean, F.desc("n_neg")) + take(clean, F.xxhash64("window"))))
-    positive = with_variants(told)
-    machine = fit_machine(positive, negative)
-    keyed = found.select(F.xxhash64("window").alias("key"), F.col("window").alias("text"), "window", "n_pos", "n_neg")
+        return [(r["window"], r["n_pos"]) for r in df.orderBy(*by, "window").limit(FIT_WINDOWS).collect()]
+
+    telling = found.where("odds > 2.5")
+    told = dict(take(telling.where(F.col("evidence") > EVIDENCE), F.desc("evidence"))
+                or take(telling.where("n_pos >= 2"), F.desc("evidence")))
+    clean = found.where("n_neg >= 1 and odds < 0.5")
+    negative = [w for w, _ in dict.fromkeys(take(clean, F.desc("n_neg")) + take(clean, F.xxhash64("window")))]
+
+    def fit():
+        positive, weight = with_variants(told)
+        return fit_machine(positive, negative, weight)
+
+    machine = fit()
+    keyed = found.select(F.xxhash64("window").alias("key"), F.col("window").alias("text"), "window", "n_pos", "n_neg", "odds")
     for _ in range(ROUNDS - 1):
         # clean windows that it rejects, toxic ones that it now tells
         scored = stored(_score(keyed, machine, "decision"), "scored")
-        hard = take(scored.where("n_pos <= n_neg"), F.desc("decision"))
-        told += take(scored.where("n_neg = 0 and decision > 0.5"), F.desc("n_pos"), F.desc("decision"))
-        told = list(dict.fromkeys(told))
-        known = set(told)
-        negative = [w for w in dict.fromkeys(hard + negative) if w not in known]
-        positive = with_variants(told)
-        machine = fit_machine(positive, negative)
+        hard = take(scored.where("odds < 0.5"), F.desc("decision"))
+        told |= dict(take(scored.where("n_neg = 0 and n_pos >= 2 and decision > 0.5"), F.desc("n_pos"), F.desc("decision")))
+        negative = [w for w in dict.fromkeys([w for w, _ in hard] + negative) if w not in told]
+        machine = fit()
     return machine
 
 
