@@ -64,38 +64,125 @@ def canonical(value) -> str:
     return json.dumps(_whole(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-#: Steps that a chain of dependencies may take against the order of turns;
-#: messages further on, and those of cycles, keep their turn.
-STEPS = 32
+def _settle(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``nodes`` (conv_id, node, ``at``: place of its own) with ``at`` raised to
+    at least that of each node before it, one step deeper, and the nodes left
+    that follow or belong to a cycle (None: there are none).
+
+    A round takes the places of the nodes before; a node before that waits for
+    one node only is passed over, so a chain halves in each round and other
+    graphs lose at least their first layer.  A round in which no node is done
+    leaves cycles and what follows them."""
+    open_edges, waiting = stored(edges.withColumn("steps", F.lit(1).cast("long")), "open"), None
+    nodes = stored(nodes, "places")
+    while True:
+        waits = stored(open_edges.groupBy("conv_id", "node").agg(
+            F.count(F.lit(1)).alias("n"), F.min("before").alias("next"), F.max("steps").alias("more")), "waits")
+        left = waits.count()
+        if not left:
+            return nodes, None
+        if left == waiting:
+            return nodes, waits.select("conv_id", "node")
+        waiting = left
+        here = nodes.join(waits, ["conv_id", "node"], "left").select(
+            "conv_id", F.col("node").alias("before"), F.col("at").alias("b"), "n", "next", "more")
+        met = stored(open_edges.join(here, ["conv_id", "before"]), "met")
+        raised = met.groupBy("conv_id", "node").agg(
+            F.max(F.struct(F.col("b.due").alias("due"), (F.col("b.depth") + F.col("steps")).alias("depth"))).alias("b"))
+        nodes = stored(nodes.join(raised, ["conv_id", "node"], "left").select(
+            "conv_id", "node", F.greatest("at", "b").alias("at")), "places")
+        one = F.col("n") == 1
+        open_edges = stored(met.where("n is not null").select(
+            "conv_id", "node", F.when(one, F.col("next")).otherwise(F.col("before")).alias("before"),
+            (F.col("steps") + F.when(one, F.col("more")).otherwise(0)).alias("steps"))
+            .groupBy("conv_id", "node", "before").agg(F.max("steps").alias("steps")), "open")
+
+
+def cycle_members(nodes: list, befores: list) -> list:
+    """The nodes of links (node, before) that reach themselves."""
+    follow, back = {}, {}
+    for n, b in zip(nodes, befores):
+        follow.setdefault(n, []).append(b)
+        back.setdefault(b, []).append(n)
+    done, order = set(), []
+    for start in follow:  # nodes in the order in which a walk leaves them
+        walk = [] if start in done else [(start, iter(follow[start]))]
+        done.add(start)
+        while walk:
+            step = next((b for b in walk[-1][1] if b not in done), None)
+            if step is None:
+                order.append(walk.pop()[0])
+            else:
+                done.add(step)
+                walk.append((step, iter(follow.get(step, ()))))
+    seen, out = set(), []
+    for start in reversed(order):  # what reaches back to a start is of one strong component
+        group, at = [start] if start not in seen else [], 0
+        seen.add(start)
+        while at < len(group):
+            for n in back.get(group[at], ()):
+                if n not in seen:
+                    seen.add(n)
+                    group.append(n)
+            at += 1
+        if len(group) > 1 or group and start in follow.get(start, ()):
+            out += group
+    return out
+
+
+def _cyclic(edges: DataFrame, left: DataFrame) -> DataFrame:
+    """(conv_id, node): the members of cycles among the nodes ``left``.  What
+    merely follows a cycle is taken off first, so a task has the cycles of a
+    conversation and the ways between them."""
+    ends = left.select("conv_id", F.col("node").alias("before"))
+    core = stored(edges.join(left, ["conv_id", "node"], "left_semi").join(ends, ["conv_id", "before"], "left_semi"), "core")
+    turned = core.select("conv_id", F.col("before").alias("node"), F.col("node").alias("before"))
+    origin = F.struct(F.lit(0).cast("long").alias("due"), F.lit(0).cast("long").alias("depth")).alias("at")
+    _, held = _settle(left.select("conv_id", "node", origin), turned)
+    core = core.join(held, ["conv_id", "node"], "left_semi").join(
+        held.withColumnRenamed("node", "before"), ["conv_id", "before"], "left_semi").select("conv_id", "node", "before")
+
+    def members(links: pa.Table) -> pa.Table:
+        found = cycle_members(links.column("node").to_pylist(), links.column("before").to_pylist())
+        return pa.table({"conv_id": pa.array([links.column("conv_id")[0].as_py()] * len(found), pa.string()),
+                         "node": pa.array(found, pa.string())})
+
+    return stored(core.groupBy("conv_id").applyInArrow(members, "conv_id string, node string"), "cyclic")
 
 
 def raise_to_dependencies(messages: DataFrame) -> DataFrame:
     """``messages`` (conv_id, turn, ``node``, and ``after``: the nodes that must
     come before) with ``due`` and ``depth``: in the order of (due, depth, turn)
-    each message comes after all it depends on.  Where nothing is out of turn,
-    due is the turn and depth 0, and one round sees that nothing moves."""
+    each message comes after all it depends on, along chains of any length.
+    Where nothing is out of turn, due is the turn and depth 0.  Members of
+    cycles (``cyclic``) keep their turn; what follows them comes after them."""
     now = stored(messages, "messages")
-    edges = stored(now.select("conv_id", "node", F.explode("after").alias("before")).distinct(), "dependencies")
-    places = stored(now.groupBy("conv_id", "node").agg(F.max("turn").alias("due"))
-                    .withColumn("depth", F.lit(0)).withColumn("moved", F.lit(False)), "places")
-    for _ in range(2 * STEPS):  # a cycle of that many messages gets beyond STEPS everywhere
-        before = places.select("conv_id", F.col("node").alias("before"), F.struct("due", "depth").alias("b"))
-        # the latest of the messages that each one waits for
-        latest = stored(edges.join(before, ["conv_id", "before"]).groupBy("conv_id", "node").agg(F.max("b").alias("b")),
-                        "latest")
-        due, depth = F.col("b.due"), F.col("b.depth") + 1
-        late = F.coalesce((due > F.col("due")) | ((due == F.col("due")) & (depth > F.col("depth"))), F.lit(False))
-        places = stored(places.join(latest, ["conv_id", "node"], "left").select(
-            "conv_id", "node", F.when(late, due).otherwise(F.col("due")).alias("due"),
-            F.when(late, depth).otherwise(F.col("depth")).cast("int").alias("depth"), late.alias("moved")), "places")
-        if not places.where("moved").limit(1).count():
-            break
-    placed = now.join(places.withColumnRenamed("due", "late_due"), ["conv_id", "node"], "left")
-    cyclic = F.coalesce(F.col("depth") > STEPS, F.lit(False))
-    stuck = cyclic | F.col("late_due").isNull()
-    return placed.select(*now.columns, F.when(stuck, F.col("turn")).otherwise(F.col("late_due")).alias("due"),
-                         F.when(stuck, 0).otherwise(F.col("depth")).alias("depth"),
-                         cyclic.alias("cyclic"))
+    places = stored(now.groupBy("conv_id", "node").agg(F.max("turn").alias("late_due")), "places")
+    timed = places.where("late_due is not null")  # a null turn comes first and waits for nothing
+    edges = stored(now.select("conv_id", "node", F.explode("after").alias("before")).distinct()
+                   .join(timed, ["conv_id", "node"])
+                   .join(timed.select("conv_id", F.col("node").alias("before"), F.col("late_due").alias("b")),
+                         ["conv_id", "before"])
+                   .select("conv_id", "node", "before", (F.col("b") >= F.col("late_due")).alias("late")), "dependencies")
+    moved = stored(edges.where("late").select("conv_id").distinct(), "out-of-turn")
+    if not moved.limit(1).count():
+        return now.join(places.withColumnRenamed("late_due", "due"), ["conv_id", "node"]).select(
+            *now.columns, "due", F.lit(0).cast("long").alias("depth"), F.lit(False).alias("cyclic"))
+    edges = stored(edges.drop("late").join(moved, "conv_id", "left_semi"), "dependencies")
+    own = F.struct(F.col("late_due").alias("due"), F.lit(0).cast("long").alias("depth")).alias("at")
+    nodes = timed.join(moved, "conv_id", "left_semi").select("conv_id", "node", own)
+    settled, left = _settle(nodes, edges)
+    cyclic = None
+    if left is not None:
+        cyclic = _cyclic(edges, left).withColumn("cyclic", F.lit(True))
+        settled, _ = _settle(nodes, edges.join(cyclic, ["conv_id", "node"], "left_anti"))
+    placed = now.join(places, ["conv_id", "node"]).join(settled, ["conv_id", "node"], "left")
+    placed = placed.join(cyclic, ["conv_id", "node"], "left") if cyclic is not None else placed.withColumn("cyclic", F.lit(False))
+    stuck = F.coalesce("cyclic", F.lit(False))
+    return placed.select(*now.columns,
+                         F.when(stuck, F.col("turn")).otherwise(F.coalesce("at.due", "late_due")).alias("due"),
+                         F.when(stuck, F.lit(0)).otherwise(F.coalesce("at.depth", F.lit(0))).cast("long").alias("depth"),
+                         stuck.alias("cyclic"))
 
 
 def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:

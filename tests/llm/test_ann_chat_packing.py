@@ -111,6 +111,33 @@ def test_cycle_and_empty(spark):
     assert chats(spark, []) == []
 
 
+@pytest.mark.parametrize("newest_first", [False, True])
+def test_long_chain_is_no_cycle(spark, newest_first):
+    rows = []
+    for i in range(100):  # 200 messages, each after the one before
+        turns = (-2 * i, -2 * i - 1) if newest_first else (5, 5)
+        rows += [(1, turns[0], "a", None, f"k{i:03}", "add", "{}", [f"k{i - 1:03}"] if i else None),
+                 (1, turns[1], "t", str(i), f"k{i:03}", None, None, None)]
+    rows = [rows[i] for i in np.random.default_rng(0).permutation(200)]
+    got = chats(spark, rows)
+    assert [(r["call_id"], r["status"]) for r in got] == [
+        (f"k{i:03}", s) for i in range(100) for s in ("answered", "linked")]
+
+
+def test_branches_and_followers_of_a_cycle(spark):
+    call = lambda turn, k, needs: (1, turn, "a", None, k, "add", "{}", needs)
+    result = lambda turn, k: (1, turn, "t", k, k, None, None, None)
+    rows = [call(0, "x", ["y"]), call(1, "y", ["x"]), result(2, "x"), result(3, "y"),  # a cycle
+            call(0, "f", ["y"]), result(0, "f"), call(0, "g", ["f", "z"]), result(0, "g"),  # what follows it
+            call(9, "z", None), result(9, "z"), call(0, "d", ["z", "b"]), call(0, "b", ["z"]), result(0, "b"), result(0, "d"),
+            call(4, "p", ["g", "q"]), call(4, "q", ["p"]), result(4, "p"), result(4, "q")]  # a second cycle after both
+    got = chats(spark, rows)
+    place = {(r["call_id"], r["status"] in ("linked",) or r["role"] == "t"): r["position"] for r in got}
+    assert {r["call_id"] for r in got if r["status"] == "cyclic"} == {"x", "y", "p", "q"} and len(got) == len(rows)
+    for k, needs in (("f", "y"), ("g", "fz"), ("b", "z"), ("d", "zb")):
+        assert all(place[n, True] < place[k, False] for n in needs) and place[k, False] < place[k, True]
+
+
 def test_schema_words():
     assert chat.valid([1, 2], {"type": "array", "items": {"type": "integer"}, "maxItems": 2})
     assert not chat.valid([1, "2"], {"type": "array", "items": {"type": "integer"}})
