@@ -12,6 +12,9 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from fractions import Fraction
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,32 +26,124 @@ from .numbering import number_rows
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
-def valid(value, schema: dict) -> bool:
-    """Does a JSON value fit a schema?  Known words: type, enum, const,
-    required, properties, additionalProperties (false), items, minimum, maximum,
-    minLength, maxLength, minItems, maxItems; others do not restrict."""
+#: Words that hold one schema, a list of schemas, or schemas by name.
+_ONE = {"additionalProperties", "items", "not", "if", "then", "else", "contains", "propertyNames"}
+_LISTS = {"anyOf", "oneOf", "allOf", "prefixItems"}
+_NAMED = {"properties", "patternProperties", "$defs", "definitions"}
+_PLAIN = {"type", "enum", "const", "$ref", "required", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum",
+          "multipleOf", "minLength", "maxLength", "pattern", "minItems", "maxItems", "uniqueItems", "minContains",
+          "maxContains", "minProperties", "maxProperties", "dependentRequired"}
+#: Words that say nothing of the value.
+_NOTES = {"title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "$comment", "$schema",
+          "format", "contentEncoding", "contentMediaType"}
+
+
+def check_schema(schema, root=None) -> None:
+    """Raise ValueError for a word that :func:`valid` does not know, and for a
+    $ref that leads nowhere in the schema."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"no schema: {schema!r}")
+    unknown = schema.keys() - _ONE - _LISTS - _NAMED - _PLAIN - _NOTES
+    if unknown:
+        raise ValueError(f"schema words without a check: {sorted(unknown)}")
+    kinds = schema.get("type", [])
+    wrong = {*(kinds if isinstance(kinds, list) else [kinds])} - _TYPES.keys() - {"number", "integer"}
+    if wrong:
+        raise ValueError(f"unknown types: {sorted(wrong)}")
+    for word in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"):
+        if not _number(schema.get(word, 1)):
+            raise ValueError(f"{word} is no number: {schema[word]!r}")
+    seen = [schema]
+    while isinstance(seen[-1], dict) and "$ref" in seen[-1]:
+        seen.append(_pointed(root, seen[-1]["$ref"]))
+        if any(s is seen[-1] for s in seen[:-1]):
+            raise ValueError(f"$ref leads back to itself: {schema['$ref']}")
+    below = [schema[w] for w in _ONE & schema.keys()]
+    below += [s for w in _LISTS & schema.keys() for s in schema[w]]
+    below += [s for w in _NAMED & schema.keys() for s in schema[w].values()]
+    for s in below:
+        check_schema(s, root)
+    for p in [*schema.get("patternProperties", ()), *([schema["pattern"]] if "pattern" in schema else ())]:
+        re.compile(p)
+
+
+def _pointed(root, ref: str):
+    """The schema that a reference inside ``root`` (#/...) names."""
+    at = root
+    if ref != "#" and not ref.startswith("#/"):
+        raise ValueError(f"$ref to another document: {ref}")
+    for step in ref.split("/")[1:]:
+        step = unquote(step).replace("~1", "/").replace("~0", "~")
+        try:
+            at = at[int(step)] if isinstance(at, list) else at[step]
+        except (KeyError, IndexError, TypeError, ValueError):
+            raise ValueError(f"$ref leads nowhere: {ref}") from None
+    return at
+
+
+def _number(value) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def valid(value, schema, root=None) -> bool:
+    """Does a JSON value fit a schema?  Implemented are the words of _ONE,
+    _LISTS, _NAMED and _PLAIN ($ref inside the schema only); _NOTES do not
+    restrict, and any other word raises ValueError."""
+    if root is None:
+        check_schema(schema)
+        root = schema
+    if isinstance(schema, bool):
+        return schema
+
+    def fits(x, s) -> bool:
+        return valid(x, s, root)
+
+    number = _number(value)
     kind = schema.get("type")
     if kind is not None:
-        kinds = kind if isinstance(kind, list) else [kind]
-        number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        fits = any(number if k == "number" else number and value == math.floor(value) if k == "integer"
-                   else isinstance(value, _TYPES[k]) for k in kinds)
-        if not fits:
+        whole = number and (isinstance(value, int) or value.is_integer())
+        if not any(number if k == "number" else whole if k == "integer" else isinstance(value, _TYPES[k])
+                   for k in (kind if isinstance(kind, list) else [kind])):
             return False
-    if "enum" in schema and value not in schema["enum"] or "const" in schema and value != schema["const"]:
+    same = canonical(value) if {"enum", "const"} & schema.keys() else None
+    if "enum" in schema and same not in map(canonical, schema["enum"]) or "const" in schema and same != canonical(schema["const"]):
         return False
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return schema.get("minimum", value) <= value <= schema.get("maximum", value)
+    if "$ref" in schema and not fits(value, _pointed(root, schema["$ref"])):
+        return False
+    if not (all(fits(value, s) for s in schema.get("allOf", ())) and ("anyOf" not in schema or any(fits(value, s) for s in schema["anyOf"]))
+            and ("oneOf" not in schema or sum(fits(value, s) for s in schema["oneOf"]) == 1)
+            and not ("not" in schema and fits(value, schema["not"]))):
+        return False
+    if "if" in schema and not fits(value, schema.get("then" if fits(value, schema["if"]) else "else", True)):
+        return False
+    if number:
+        step = schema.get("multipleOf")
+        return (schema.get("minimum", value) <= value <= schema.get("maximum", value)
+                and schema.get("exclusiveMinimum", -math.inf) < value < schema.get("exclusiveMaximum", math.inf)
+                and (step is None or math.isfinite(value) and Fraction(str(value)) % Fraction(str(step)) == 0))
     if isinstance(value, str):
-        return schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf)
+        return (schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf)
+                and ("pattern" not in schema or re.search(schema["pattern"], value) is not None))
     if isinstance(value, list):
+        first = schema.get("prefixItems", ())
+        inside = sum(fits(x, schema["contains"]) for x in value) if "contains" in schema else None
         return (schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", math.inf)
-                and all(valid(x, schema.get("items", {})) for x in value))
+                and all(map(fits, value, first)) and all(fits(x, schema.get("items", True)) for x in value[len(first):])
+                and (inside is None or schema.get("minContains", 1) <= inside <= schema.get("maxContains", math.inf))
+                and not (schema.get("uniqueItems") and len(set(map(canonical, value))) < len(value)))
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
+        other = [k for k in value if k not in known and not any(re.search(p, k) for p in patterns)]
         return (all(k in value for k in schema.get("required", ()))
-                and (schema.get("additionalProperties", True) is not False or value.keys() <= known.keys())
-                and all(valid(value[k], s) for k, s in known.items() if k in value))
+                and schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", math.inf)
+                and all(x in value for k, needed in schema.get("dependentRequired", {}).items() if k in value for x in needed)
+                and all(fits(k, schema.get("propertyNames", True)) for k in value)
+                and all(fits(value[k], s) for k, s in known.items() if k in value)
+                and all(fits(x, s) for p, s in patterns.items() for k, x in value.items() if re.search(p, k))
+                and all(fits(value[k], schema.get("additionalProperties", True)) for k in other))
     return True
 
 
@@ -195,7 +290,8 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     its conversation share the id); a result is linked, orphan (no such call)
     or ambiguous; other messages are plain; messages in a dependency cycle are
     cyclic.  ``args_valid`` is null for messages that are no calls, false for
-    arguments that are no JSON, fail the schema, or name a tool without one.
+    arguments that are no JSON, fail the schema, or name a tool without one;
+    a schema with a word that is not implemented raises ValueError.
     ``line`` is the message as canonical JSON; null fields are left out, and
     arguments that are no JSON stay text.
 
@@ -205,6 +301,8 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     no rows give no rows.
     """
     small_batches(messages.sparkSession)
+    for schema in schemas.values():
+        check_schema(schema)
     m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role",
                         "content", "call_id", "name", "arguments", "needs")
     is_call, is_result = F.col("name").isNotNull(), F.col("name").isNull() & F.col("call_id").isNotNull()
@@ -242,7 +340,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 if name is not None:
                     try:
                         value = json.loads(arguments or "")
-                        ok = name in schemas and valid(value, schemas[name])
+                        ok = name in schemas and valid(value, schemas[name], schemas[name])
                     except ValueError:
                         value, ok = arguments, False
                     line["tool_call"] = {k: v for k, v in (("id", call_id), ("name", name), ("arguments", value))

@@ -146,6 +146,38 @@ def test_schema_words():
     assert not chat.valid(3, {"enum": [1, 2]}) and not chat.valid({"a": 1}, {"required": ["b"]})
 
 
+@pytest.mark.parametrize("good, bad, schema", [
+    ("ab1", "ab", {"pattern": "[0-9]$"}),
+    (3, "x", {"anyOf": [{"type": "integer"}, {"type": "null"}]}),
+    (3, 6, {"oneOf": [{"multipleOf": 3}, {"multipleOf": 2}]}),
+    (3, 9, {"allOf": [{"minimum": 1}, {"maximum": 5}]}),
+    (3, "x", {"not": {"type": "string"}}),
+    ({"a": {"a": {}}}, {"a": {"a": 1}}, {"$ref": "#/$defs/n", "$defs": {"n": {"type": "object", "properties": {"a": {"$ref": "#/$defs/n"}}}}}),
+    (1.5, 1, {"exclusiveMinimum": 1}),
+    (1.5, 2, {"exclusiveMaximum": 2}),
+    (0.3, 0.35, {"multipleOf": 0.1}),
+    ([1, True, "1"], [1, 1.0], {"uniqueItems": True}),
+    ({"x1": 1}, {"x1": "a"}, {"patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": False}),
+    ({"b": 1}, {"b": "1"}, {"additionalProperties": {"type": "integer"}}),
+    ([1, "a"], ["a", 1], {"prefixItems": [{"type": "integer"}], "items": {"type": "string"}}),
+    ({"a": 1, "b": 2}, {"a": 1}, {"dependentRequired": {"a": ["b"]}}),
+    (5, -5, {"if": {"type": "integer"}, "then": {"minimum": 0}}),
+    (1, True, {"enum": [1]}),
+])
+def test_more_schema_words(good, bad, schema):
+    assert chat.valid(good, schema) and not chat.valid(bad, schema)
+
+
+def test_unknown_schema_words_raise(spark):
+    for schema in ({"patern": "x"}, {"properties": {"a": {"unevaluatedItems": False}}}, {"$ref": "http://x/y"},
+                   {"$ref": "#/$defs/none"}, {"$ref": "#"}, {"minimum": 1, "exclusiveMinimum": True}):
+        with pytest.raises(ValueError):
+            chat.valid(1, schema)
+    with pytest.raises(ValueError):
+        chat.format_chats(spark.createDataFrame([], MESSAGES), {"add": {"dependentSchemas": {}}})
+    assert chat.valid(1, {"title": "t", "description": "d", "format": "int32", "default": 0})
+
+
 def test_query_lines_are_json(spark):
     talks = spark.read.parquet(f"{SF}/conversations.parquet")
     got = chat.format_chats(chat.exchanges(talks), chat.REPLY)
