@@ -1,11 +1,13 @@
 """Approximate nearest neighbours through learned partitions.
 
-On a bounded sample: the neighbour graph is cut into balanced parts by
-recursive spectral bisection with swaps, and a small classifier learns, from a
-vector alone, how its neighbours are spread over the parts.  Every row is then
-put into its most probable part; a query visits its most probable parts until
-they hold ``MASS`` of its probability, and the rows found there are ranked by
-their exact inner product.
+On a bounded sample: the graph of nearest neighbours by inner product is cut
+into balanced parts by recursive spectral bisection with swaps, and a small
+classifier learns, from a vector's direction and length, how its neighbours are
+spread over the parts.  Every row is put into its most probable part.  A second
+classifier learns from a query's direction alone (its length changes no order)
+in which parts the rows that it looks for have been put; a query visits its
+most probable parts until they hold ``MASS`` of its probability, and the rows
+found there are ranked by their exact inner product.
 """
 
 from __future__ import annotations
@@ -86,42 +88,59 @@ def balanced_parts(graph: np.ndarray, parts: int) -> np.ndarray:
 
 
 @dataclass
-class Router:
-    """Probabilities of the parts from a vector, by one hidden layer."""
+class Net:
+    """Probabilities of the parts from some numbers, by one hidden layer."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        z = np.maximum(_unit(x) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        z = np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _polar(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and logarithms of the lengths."""
+    most = abs(x).max(1, keepdims=True)
+    x = x / most
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / length, np.log(most) + np.log(length)
 
 
-def fit_router(x: np.ndarray, parts: int = PARTS) -> Router:
-    """Parts of the sample ``x`` and the classifier that finds them."""
-    x = np.unique(_unit(x), axis=0) * 1.0
+@dataclass
+class Router:
+    """Parts of rows (by direction and length) and of what queries look for."""
+
+    rows: Net
+    queries: Net
+    centre: float
+    spread: float
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        direction, size = _polar(x)
+        # lengths that are all but equal say nothing
+        size = (size - self.centre) / self.spread if self.spread > 1e-3 else np.zeros_like(size)
+        return np.hstack([direction, np.clip(size, -10, 10)])
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        return self.rows(self.inputs(x)).argmax(1)
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return self.queries(_polar(x)[0])
+
+
+def _new_net(d: int, parts: int, rng) -> Net:
+    return Net(rng.normal(0, (2 / d) ** 0.5 * 2, (d, HIDDEN)), np.zeros(HIDDEN),
+               rng.normal(0, 0.05, (HIDDEN, parts)), np.zeros(parts))
+
+
+def fit_net(x: np.ndarray, target: np.ndarray, rng) -> Net:
     n, d = x.shape
-    rng = np.random.default_rng(0)
-    x = x[rng.permutation(n)]
-    while parts > 1 and n < 4 * parts:
-        parts //= 2
-    w1, w2 = rng.normal(0, (2 / d) ** 0.5 * 2, (d, HIDDEN)), rng.normal(0, 0.05, (HIDDEN, parts))
-    router = Router(w1, np.zeros(HIDDEN), w2, np.zeros(parts))
-    if parts == 1:
-        return router
-    k = min(NEIGHBOURS, n - 1)
-    graph = nearest(x, k)
-    part = balanced_parts(graph, parts)
-    target = np.zeros((n, parts))
-    np.add.at(target, (np.repeat(np.arange(n), k), part[graph.ravel()]), 1 / k)
-    params = [router.w1, router.b1, router.w2, router.b2]
+    net = _new_net(d, target.shape[1], rng)
+    params = [net.w1, net.b1, net.w2, net.b2]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(EPOCHS):
         for a in range(0, n, 256):
@@ -138,7 +157,33 @@ def fit_router(x: np.ndarray, parts: int = PARTS) -> Router:
                 m[i] += 0.1 * (g - m[i])
                 v[i] += 0.001 * (g * g - v[i])
                 params[i] -= rate * (m[i] / (1 - 0.9 ** t)) / (np.sqrt(v[i] / (1 - 0.999 ** t)) + 1e-8)
-    return Router(*params)
+    return net
+
+
+def fit_router(x: np.ndarray, parts: int = PARTS) -> Router:
+    """Parts of the sample ``x`` and the classifiers that find them."""
+    x = np.unique(x, axis=0) * 1.0
+    n, d = x.shape
+    rng = np.random.default_rng(0)
+    x = x[rng.permutation(n)]
+    while parts > 1 and n < 4 * parts:
+        parts //= 2
+    size = _polar(x)[1]
+    router = Router(_new_net(d + 1, parts, rng), _new_net(d, parts, rng), float(size.mean()), float(size.std()))
+    if parts == 1:
+        return router
+    k = min(NEIGHBOURS, n - 1)
+    graph = nearest(x, k)
+
+    def spread_over(part: np.ndarray) -> np.ndarray:
+        target = np.zeros((n, parts))
+        np.add.at(target, (np.repeat(np.arange(n), k), part[graph.ravel()]), 1 / k)
+        return target
+
+    router.rows = fit_net(router.inputs(x), spread_over(balanced_parts(graph, parts)), rng)
+    # queries learn where rows are put, not where the cut had them
+    router.queries = fit_net(_polar(x)[0], spread_over(router.place(x)), rng)
+    return router
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -197,7 +242,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, mass: float = M
                 continue
             x = batch.column(1).values.slice(batch.column(1).offsets[0].as_py(), batch.num_rows * d)
             x = x.to_numpy().reshape(-1, d)
-            part = shared.value.probabilities(x).argmax(1)
+            part = shared.value.place(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(part.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())],
                 ["id", "part", "x"])
@@ -209,7 +254,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, mass: float = M
     n_queries = queries.count()
 
     def route(batches):
-        size = np.zeros(shared.value.w2.shape[1], np.int64)
+        size = np.zeros(shared.value.queries.w2.shape[1], np.int64)
         size[list(sizes)] = list(sizes.values())
         for batch in batches:
             if not batch.num_rows:

@@ -42,6 +42,18 @@ def test_recall(spark):
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
 
 
+def test_recall_of_unequal_lengths(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(40, 16))
+    x = np.concatenate([c + 0.2 * rng.normal(size=(75, 16)) for c in centres])
+    x *= np.exp(rng.normal(size=(len(x), 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = found(ann.neighbours(df)), plain_neighbours(list(range(len(x))), x, 20, 20)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+
+
 def test_balanced_parts():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(900, 8))
