@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, let_go, stored, text_slices
+from .common import id_text, let_go, stored, text_slices, with_groups
 from .components import components, local_roots
 
 SEED = 42
@@ -184,14 +184,19 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col:
     be reached over links of ``distance`` or fewer differing bits.
 
     Null, empty and blank texts have fingerprint zero and are linked like any
-    other.  Rows with equal ids are rows of the same component; null ids keep
+    other.  Rows with equal ids are linked too, so a component's id names one
+    component and each row of an id is in it; null ids link nothing, keep
     their row but never are a component's id (a component of null ids alone
     has a null one).  Other columns are not read; no rows give no rows.
     """
     rows = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     # equal fingerprints are merged before anything is dealt out
     distinct = stored(rows.groupBy("fp").agg(F.min("key").alias("first")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), distance))
+    # an id is one vertex whatever its rows hold: their fingerprints are linked
+    ids = stored(rows.where("key is not null").groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("most"))
+                 .where("b < most").select("key", "b"), "ids-of-several")
+    same_id = with_groups(rows, ids, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    roots = components(links(distinct.select("fp"), distance).unionByName(same_id))
     rooted = stored(distinct.join(roots.withColumnRenamed("a", "fp"), "fp", "left")
                     .withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
@@ -203,8 +208,9 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col:
 def drop_near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """One row of each component of :func:`simhash_groups`, the one of its
-    least id; all columns as they are.  Of rows that share that id, and of
-    components without an id, the row of least text hash stays."""
+    least id; all columns as they are.  Of rows that share that id (they are
+    linked, also where their texts differ), and of components without an id,
+    the row of least text hash stays."""
     groups = stored(simhash_groups(docs, shingle, distance, id_col, text_col), "components")
     stay = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows"))
     stay = stored(stay, "stay")

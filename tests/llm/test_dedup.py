@@ -98,6 +98,22 @@ def test_one_row_of_each_component_stays(spark, copies):
     assert simhash.drop_near_copies(docs.where("false")).count() == 0
 
 
+def test_rows_of_one_id_are_one_component(spark):
+    rng = np.random.default_rng(6)
+    a, b, c, d = ([f"V{int(x)}" for x in rng.integers(0, 5000, 300)] for _ in range(4))
+    texts = [" ".join(a), " ".join(b), " ".join(a).lower(), " ".join(b).lower(),  # id 1 has two texts that both lead
+             " ".join(c), " ".join(c).lower(), " ".join(d), " ".join(d).lower(), None, ""]  # id 6 is a copy of id 5, and d
+    ids = [1, 1, 2, 3, 5, 6, 6, 7, None, None]
+    docs = documents(spark, texts, ids)
+    groups = simhash.simhash_groups(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in groups if r["doc_id"]) == [
+        (1, 1), (1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (6, 5), (7, 5)]
+    assert {r["component_id"] for r in groups if r["doc_id"] is None} == {None}
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_copies(docs).collect()), key=str)
+    assert [i for i, _ in kept] == [1, 5, None] and kept[0][1] in texts[:2]
+    assert kept[1][1] == texts[4] and not kept[2][1]
+
+
 def plain_repeats(docs, length):
     """Removal masks of (place, bytes) in the order of their place."""
     seen, masks = set(), []
