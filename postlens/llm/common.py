@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +75,28 @@ def text_slices(batches: Iterator[pa.RecordBatch], slice_bytes: int = SLICE_BYTE
                 start, size = i + 1, 0
 
 
+def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a text column without nulls, and where each text starts."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[at[0]:at[-1]], at - at[0]
+
+
+def arrow_slices(batches: Iterator[pa.RecordBatch], text: int, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of about ``slice_bytes`` of the text in column ``text``; one very
+    long text is a part of its own."""
+    for batch in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            done = size[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(size, done + slice_bytes, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def gathered(slices: Iterator[tuple[list, list]], size: int) -> Iterator[tuple[list, list]]:
     """Slices put together to about ``size`` characters."""
     keys, texts, n = [], [], 0

@@ -16,23 +16,23 @@ sources is summed over the terms that occur, never over the whole vocabulary.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, scratch, small_batches, stored, text_slices, with_groups
+from .common import arrow_slices, small_batches, stored, utf8_bytes, with_groups
+from .numbering import number_rows
 
-#: Runs of letters A-Z, a-z and code points from 128 on, as UTF-8 bytes.
-TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
-_GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
+#: A-Z in lower case; bytes of terms (a-z, and from 128 on those of other code
+#: points) stay; all others are spaces.
+_BYTES = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 SEED = 0
-#: A task passes its counts on when it holds so many, or terms of so many bytes.
-HELD_COUNTS, HELD_BYTES = 150_000, 16 << 20
+#: A task passes its counts on when it holds so many, and tells a term again
+#: when it has met so many others, or terms of so many bytes.
+HELD_COUNTS, KNOWN_TERMS, KNOWN_BYTES = 1_000_000, 200_000, 16 << 20
 #: Kept counts handled together where sources are compared pair by pair, and
 #: numbers in one array of that step.
 BLOCK_COUNTS, ARRAY = 100_000, 1 << 20
@@ -41,105 +41,151 @@ FEW_DIGESTS = 500_000
 UNIT = 10 ** 9
 
 
-def _pieces(data: bytes):
-    """``data`` cut between terms into parts of about ``SLICE_BYTES``."""
-    start = 0
-    while len(data) - start > SLICE_BYTES:
-        gap = _GAP.search(data, start + SLICE_BYTES)
-        if gap is None:
-            break
-        yield data[start:gap.start()]
-        start = gap.end()
-    yield data[start:]
-
-
 def digest_of(term: bytes, bits: int) -> int:
     """The first ``bits`` bits of the term's XXH64, as a signed number."""
     d = xxhash.xxh64_intdigest(term, SEED) >> (64 - bits)
     return d - (1 << 64) if d >= 1 << 63 else d
 
 
+def _terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(text number, term number) of every term in order, and the terms."""
+    data, at = utf8_bytes(texts)
+    mapped = pa.py_buffer(_BYTES[data])
+    column = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(at), mapped])
+    split = pc.split_pattern(column, " ")
+    words = split.values.dictionary_encode()
+    index = words.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    terms = words.dictionary.cast(pa.large_binary()).to_pylist()
+    if b"" in terms:
+        there = index != terms.index(b"")
+        text, index = text[there], index[there]
+    return text, index, terms
+
+
+def _summed(group: np.ndarray, digest: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """One row for each (group, digest), with sums of the counts."""
+    order = np.lexsort((digest, group))
+    group, digest = group[order], digest[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(group) != 0) | (np.diff(digest) != 0)]) if len(group) else np.zeros(0, np.int64)
+    return [group[first], digest[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)]
+
+
+class _TaskCounts:
+    """Counts and terms of one task, passed on in rows of ``SCHEMA``."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.names: dict[tuple[str, str], int] = {}
+        self.held: list[list[np.ndarray]] = []
+        self.known: dict[bytes, int] = {}
+        self.known_bytes = 0
+
+    def batch(self, group, digest, term, n, docs) -> pa.RecordBatch:
+        lang, source = zip(*self.names) if self.names else ((), ())
+        at = pa.array(group) if group is not None else pa.nulls(len(digest), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(lang, pa.string()).take(at), pa.array(source, pa.string()).take(at), pa.array(digest),
+             pa.array(term, pa.binary()).cast(pa.string()) if term is not None else pa.nulls(len(digest), pa.string()),
+             *(pa.array(c) if c is not None else pa.nulls(len(digest), pa.int64()) for c in (n, docs))],
+            ["lang", "source", "digest", "term", "n", "docs"])
+
+    def add(self, part: pa.RecordBatch, with_terms: bool):
+        """Count a part (text, lang, source); gives rows that can go already."""
+        pairs = zip(part.column(1).to_pylist(), part.column(2).to_pylist())
+        group = np.array([self.names.setdefault(p, len(self.names)) for p in pairs], np.int64)
+        text, index, terms = _terms_of(part.column(0))
+        if self.known_bytes > KNOWN_BYTES or len(self.known) > KNOWN_TERMS:
+            self.known.clear()
+            self.known_bytes = 0
+        digest = np.fromiter((self.known.get(t, -1) if t in self.known else digest_of(t, self.bits) for t in terms), np.int64,
+                             len(terms))
+        new = [i for i, t in enumerate(terms) if t and t not in self.known]
+        self.known.update((terms[i], int(digest[i])) for i in new)
+        self.known_bytes += sum(len(terms[i]) for i in new)
+        size = max(1, len(terms))
+        in_text, n = np.unique(text * size + index, return_counts=True)
+        text, index = np.divmod(in_text, size)
+        at, place = np.unique(group[text] * size + index, return_inverse=True)
+        n, docs = np.bincount(place, n, len(at)).astype(np.int64), np.bincount(place, minlength=len(at))
+        of, index = np.divmod(at, size)
+        if with_terms:
+            yield self.batch(of, digest[index], [terms[i] for i in index.tolist()], n, docs)
+            return
+        if new:
+            yield self.batch(None, digest[new], [terms[i] for i in new], None, None)
+        self.held.append([of, digest[index], n, docs.astype(np.int64)])
+        if sum(len(h[0]) for h in self.held) > HELD_COUNTS:
+            self.held = [_summed(*(np.concatenate(c) for c in zip(*self.held)))]
+            if len(self.held[0][0]) > HELD_COUNTS // 2:
+                yield from self.told()
+
+    def told(self):
+        if self.held:
+            group, digest, n, docs = _summed(*(np.concatenate(c) for c in zip(*self.held)))
+            self.held = []
+            for a in range(0, len(group), 100_000):
+                b = a + 100_000
+                yield self.batch(group[a:b], digest[a:b], None, n[a:b], docs[a:b])
+
+
+SCHEMA = "lang string, source string, digest long, term string, n long, docs long"
+
+
 def _term_counts(docs: DataFrame, bits: int, with_terms: bool) -> DataFrame:
     """Per task, rows (lang, source, digest, term, n, docs) of its documents
     (text, lang, source).  With ``with_terms`` each row holds its term; else
-    terms come once each, as rows whose n is null."""
+    terms come by themselves, as rows whose n is null."""
     def run(batches):
-        n: dict = {}
-        many: dict = {}
-        bytes_of = [0]
-
-        def told():
-            digests = {t: digest_of(t, bits) for t in set().union(*n.values())} if n else {}
-            rows = [(lang, source, digests[t], t if with_terms else None, c, many[lang, source][t])
-                    for (lang, source), counts in n.items() for t, c in counts.items()]
-            if not with_terms:
-                rows += [(None, None, d, t, None, None) for t, d in digests.items()]
-            n.clear()
-            many.clear()
-            bytes_of[0] = 0
-            for a in range(0, len(rows), 50_000):
-                cols = list(zip(*rows[a:a + 50_000]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()),
-                     pa.array(cols[3], pa.binary()).cast(pa.string()), pa.array(cols[4], pa.int64()),
-                     pa.array(cols[5], pa.int64())], ["lang", "source", "digest", "term", "n", "docs"])
-
-        for batch in batches:
-            groups = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            at = 0
-            places = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(0)], ["key", "text"])
-            for some, texts in text_slices([places]):
-                for text in texts:
-                    group = groups[at]
-                    at += 1
-                    counts, docs_of = n.setdefault(group, Counter()), many.setdefault(group, Counter())
-                    seen: set = set()
-                    for part in _pieces(text.encode().lower()):  # of bytes, lower() changes A-Z alone
-                        terms = TERM.findall(part)
-                        counts.update(terms)
-                        seen.update(terms)
-                    bytes_of[0] += sum(map(len, seen.difference(docs_of)))
-                    docs_of.update(seen)
-                if bytes_of[0] > HELD_BYTES or sum(map(len, n.values())) > HELD_COUNTS:
-                    yield from told()
-        yield from told()
-
-    return docs.mapInArrow(run, "lang string, source string, digest long, term string, n long, docs long")
-
-
-def counted_terms(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, digest, split, n, docs): occurrences of each term in each
-    source and the documents that hold it; and (digest, split, term).  A term
-    is (digest, split): the split is 0 where one term has the digest, else its
-    number, from 1, among the terms that share it."""
-    spark = docs.sparkSession
-    path = scratch(spark, "term-counts")
-    _term_counts(docs, bits, False).withColumn("kind", F.when(F.col("n").isNull(), "terms").otherwise("counts")) \
-        .write.partitionBy("kind").parquet(path)
-    schema = "lang string, source string, digest long, term string, n long, docs long, kind string"
-    told = spark.read.schema(schema).parquet(path)
-    counts = told.where("kind = 'counts'").select("lang", "source", "digest", F.lit(0).alias("split"), "n", "docs")
-    met = told.where("kind = 'terms'").select("digest", "term")
-    ends = stored(met.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")), "term-digests")
+        counts = _TaskCounts(bits)
+        for part in arrow_slices(batches, 0):
+            yield from counts.add(part, with_terms)
+        yield from counts.told()
+
+    return docs.mapInArrow(run, SCHEMA)
+
+
+def counted_terms(docs: DataFrame, groups: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(lang_no, source_no, digest, split, n, docs): occurrences of each term in
+    each source and the documents that hold it; and (digest, split, term).  A
+    term is (digest, split): the split is 0 where one term has the digest, else
+    its number, from 1, among the terms that share it.  ``groups`` numbers the
+    sources (g, lang_no, source_no), so rows that are shuffled are all of the
+    same width."""
+    def numbered(rows: DataFrame) -> DataFrame:
+        rows = with_groups(rows.withColumn("g", F.struct("lang", "source")), groups, "g")
+        return rows.select("lang_no", "source_no", "digest", "split", "n", "docs")
+
+    told = stored(_term_counts(docs, bits, False), "term-counts")
+    counts = told.where("n is not null").withColumn("split", F.lit(0))
+    met = told.where("n is null").select("digest", "term")
+    # a task tells a term about once: nothing to sum up in front of the shuffle
+    ends = stored(met.repartition("digest").groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")),
+                  "term-digests")
     shared = ends.where("term <> last").select("digest")
     terms = ends.where("term = last").select("digest", F.lit(0).alias("split"), "term")
-    if not shared.isEmpty():
+    if shared.isEmpty():
+        counts = numbered(counts)
+    else:
         shared = stored(shared, "term-shared")
         split = stored(met.join(shared, "digest", "semi").distinct().withColumn(
             "split", F.row_number().over(Window.partitionBy("digest").orderBy("term"))).select("digest", "split", "term"),
             "term-splits")
-        again = _term_counts(docs, bits, True).join(split, ["digest", "term"])
-        counts = counts.join(shared, "digest", "anti").unionByName(
-            again.select("lang", "source", "digest", "split", "n", "docs"))
+        again = stored(_term_counts(docs, bits, True).join(split, ["digest", "term"]), "term-counts-again")
+        counts = numbered(counts.join(shared, "digest", "anti")).unionByName(numbered(again))
         terms = terms.unionByName(split)
-    sums = counts.groupBy("lang", "source", "digest", "split").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # a task has summed its rows already; a term has a row for each task and source at most
+    sums = (counts.repartition("lang_no", "digest", "split").groupBy("lang_no", "source_no", "digest", "split")
+            .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     return sums, terms
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
     """p of a count, exact also where 10^9 counts exceed a long."""
-    wide = F.lit(UNIT).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)")
-    return F.lit(1).cast("long") + F.call_function("div", wide, (total + kept).cast("decimal(20,0)"))
+    wide = F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)"),
+                           (total + kept).cast("decimal(20,0)"))
+    short = F.call_function("div", F.lit(UNIT) * (count + 1), total + kept)
+    return F.lit(1).cast("long") + F.when(count < UNIT, short).otherwise(wide)
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -152,11 +198,11 @@ def _floor_divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def common_terms(block: pa.Table) -> pa.Table:
-    """(lang, a, b, extra): summed over the block's terms that both sources
+    """(lang_no, a, b, extra): summed over the block's terms that both sources
     have, the divergence less what it is taken for where only one of them has
     the term, with least shares for the other."""
-    lang = block.column("lang")[0].as_py()
-    digest, split, source, p, least = (block.column(c).to_numpy() for c in ("digest", "split", "number", "p", "least"))
+    lang = block.column("lang_no")[0].as_py()
+    digest, split, source, p, least = (block.column(c).to_numpy() for c in ("digest", "split", "source_no", "p", "least"))
     order = np.lexsort((source, split, digest))
     digest, split, source, p, least = (x[order] for x in (digest, split, source.astype(np.int64), p, least))
     first = np.flatnonzero(np.r_[True, (np.diff(digest) != 0) | (np.diff(split) != 0)])
@@ -183,7 +229,7 @@ def common_terms(block: pa.Table) -> pa.Table:
     total = np.zeros(len(found), np.int64)
     if keys:
         np.add.at(total, place, np.concatenate(sums))
-    return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "a": pa.array((found >> 32).astype(np.int32)),
+    return pa.table({"lang_no": np.full(len(found), lang, np.int64), "a": pa.array((found >> 32).astype(np.int32)),
                      "b": pa.array((found & 0xFFFFFFFF).astype(np.int32)), "extra": pa.array(total)})
 
 
@@ -208,66 +254,73 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, text
     small_batches(spark)
     given = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in (
         (text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
-    counts, terms = counted_terms(given, bits)
-    of_term = Window.partitionBy("lang", "digest", "split")
+    sources = given.select("lang", "source").distinct()
+    langs = number_rows(sources.select("lang", F.lit(0).alias("one")).distinct(), ["one"], ["lang"], "lang_no").drop("one")
+    sources = stored(sources.join(langs, "lang").withColumn(
+        "source_no", F.row_number().over(Window.partitionBy("lang_no").orderBy("source")))
+        .withColumn("g", F.struct("lang", "source")), "term-source-numbers")
+    counts, terms = counted_terms(given, sources.select("g", "lang_no", "source_no"), bits)
+    of_term = Window.partitionBy("lang_no", "digest", "split")
     kept = stored(counts.withColumn("lang_docs", F.sum("docs").over(of_term)).withColumn("lang_n", F.sum("n").over(of_term))
                   .where(F.col("lang_docs") >= least_docs)
-                  .select("lang", "source", "digest", "split", "n", "lang_n"), "terms-kept")
+                  .select("lang_no", "source_no", "digest", "split", "n", "lang_n"), "terms-kept")
 
     # one row for each source of a language
-    sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("has"))
-    of_lang = kept.groupBy("lang", "digest", "split").agg(F.first("lang_n").alias("lang_n"), F.count(F.lit(1)).alias("rows")) \
-        .groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"), F.sum("rows").alias("rows"))
+    sums = kept.groupBy("lang_no", "source_no").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("has"))
+    # of a term's occurrences in the language, each source gives its own; a term counts once over its sources
+    of_source = sums.groupBy("lang_no").agg(F.sum("total").alias("lang_total"), F.sum("has").alias("rows"))
+    of_lang = kept.select("lang_no", "digest", "split").distinct().groupBy("lang_no").agg(F.count(F.lit(1)).alias("kept"))
     zero = F.lit(0).cast("long")
-    groups = given.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(of_lang, "lang", "left") \
-        .na.fill(0, ["total", "has", "kept", "lang_total", "rows"])
+    groups = sources.join(sums, ["lang_no", "source_no"], "left").join(of_source, "lang_no", "left") \
+        .join(of_lang, "lang_no", "left").na.fill(0, ["total", "has", "kept", "lang_total", "rows"])
     groups = stored(groups.withColumn("least", F.when(F.col("kept") > 0, share(zero, F.col("total"), F.col("kept"))))
-                    .withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("source")))
                     .withColumn("blocks", F.ceil((F.col("rows") + 1) / F.lit(BLOCK_COUNTS)).cast("int"))
-                    .withColumn("g", F.struct("lang", "source")), "term-sources")
+                    .withColumn("g", F.struct("lang_no", "source_no")), "term-sources")
 
-    shares = stored(with_groups(kept.withColumn("g", F.struct("lang", "source")).drop("lang", "source"), groups, "g").select(
-        "lang", "source", "number", "blocks", "least", "digest", "split",
-        share(F.col("n"), F.col("total"), F.col("kept")).alias("p"),
-        share(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q")), "term-shares")
+    shares = stored(with_groups(kept.withColumn("g", F.struct("lang_no", "source_no")), groups.drop("lang_no", "source_no"), "g")
+                    .select("lang_no", "source_no", "blocks", "least", "digest", "split",
+                            share(F.col("n"), F.col("total"), F.col("kept")).alias("p"),
+                            share(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q")), "term-shares")
+    names = groups.select("lang_no", "source_no", "lang", "source")
 
     # terms: ranks by value first, ties at the end included; then with the terms themselves
-    by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
+    by_value = Window.partitionBy("lang_no", "source_no").orderBy(F.desc("value"))
     more = (shares.where(F.col("p") > F.col("q")).withColumn("value", divergence(F.col("p"), F.col("q")))
             .withColumn("rank", F.rank().over(by_value)).where(F.col("rank") <= top))
-    more = stored(more.select("lang", "source", "digest", "split", "value"), "terms-first")
+    more = stored(more.select("lang_no", "source_no", "digest", "split", "value"), "terms-first")
     asked = stored(more.select("digest", "split").distinct(), "terms-asked")
     few = asked.count() <= FEW_DIGESTS
     found = terms.join(F.broadcast(asked) if few else asked, ["digest", "split"])
     by_item = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    term_part = (more.join(found, ["digest", "split"])
+    term_part = (more.join(found, ["digest", "split"]).join(names, ["lang_no", "source_no"])
                  .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
                  .withColumn("rank", F.row_number().over(by_item)).where(F.col("rank") <= top))
 
     # pairs: least shares on both sides, then what differs by one side's terms, then by both's
     wide = "decimal(38,0)"
-    other = groups.select("lang", F.col("number").alias("b"), F.col("least").alias("least_b"), F.col("has").alias("has_b"))
+    other = groups.select("lang_no", F.col("source_no").alias("b"), F.col("least").alias("least_b"), F.col("has").alias("has_b"))
     neither = F.col("kept") - F.col("has") - F.col("has_b")
-    both_least = groups.join(other, "lang").where(F.col("number") != F.col("b")).select(
-        "lang", F.col("number").alias("a"), "b",
+    both_least = groups.join(other, "lang_no").where(F.col("source_no") != F.col("b")).select(
+        "lang_no", F.col("source_no").alias("a"), "b",
         F.coalesce(neither.cast(wide) * divergence(F.col("least"), F.col("least_b")), F.lit(0)).cast(wide).alias("value"))
-    levels = stored(shares.groupBy("lang", F.col("number").alias("a"), "p").agg(F.count(F.lit(1)).alias("times")), "term-levels")
-    one = with_groups(levels, groups.groupBy("lang").agg(F.collect_list(F.struct("number", "least")).alias("others")), "lang") \
-        .select("lang", "a", "p", "times", F.inline("others")).where(F.col("a") != F.col("number")) \
-        .groupBy("lang", "a", F.col("number").alias("b")).agg(
+    levels = stored(shares.groupBy("lang_no", F.col("source_no").alias("a"), "p").agg(F.count(F.lit(1)).alias("times")),
+                    "term-levels")
+    others = groups.groupBy("lang_no").agg(F.collect_list(F.struct("source_no", "least")).alias("others"))
+    one = with_groups(levels, others, "lang_no") \
+        .select("lang_no", "a", "p", "times", F.inline("others")).where(F.col("a") != F.col("source_no")) \
+        .groupBy("lang_no", "a", F.col("source_no").alias("b")).agg(
             F.sum((F.col("times") * divergence(F.col("p"), F.col("least"))).cast(wide)).alias("out"),
             F.sum((F.col("times") * divergence(F.col("least"), F.col("p"))).cast(wide)).alias("back"))
     one = stored(one, "term-sides")
     block = F.pmod(F.xxhash64("digest", "split"), F.col("blocks")).cast("int")
-    both = shares.select("lang", block.alias("block"), "digest", "split", "number", "p", "least").groupBy("lang", "block") \
-        .applyInArrow(common_terms, "lang string, a int, b int, extra long")
-    pairs = both_least.unionByName(one.select("lang", "a", "b", F.col("out").cast(wide).alias("value"))) \
-        .unionByName(one.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").cast(wide).alias("value"))) \
-        .unionByName(both.select("lang", "a", "b", F.col("extra").cast(wide).alias("value"))) \
-        .groupBy("lang", "a", "b").agg(F.sum("value").cast("long").alias("value"))
-    names = groups.select("lang", "number", "source")
-    pair_part = (pairs.join(names.withColumnRenamed("number", "a"), ["lang", "a"])
-                 .join(names.select("lang", F.col("number").alias("b"), F.col("source").alias("item")), ["lang", "b"])
+    both = shares.select("lang_no", block.alias("block"), "digest", "split", "source_no", "p", "least") \
+        .groupBy("lang_no", "block").applyInArrow(common_terms, "lang_no long, a int, b int, extra long")
+    pairs = both_least.unionByName(one.select("lang_no", "a", "b", F.col("out").cast(wide).alias("value"))) \
+        .unionByName(one.select("lang_no", F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").cast(wide).alias("value"))) \
+        .unionByName(both.select("lang_no", "a", "b", F.col("extra").cast(wide).alias("value"))) \
+        .groupBy("lang_no", "a", "b").agg(F.sum("value").cast("long").alias("value"))
+    pair_part = (pairs.join(names.withColumnRenamed("source_no", "a"), ["lang_no", "a"])
+                 .join(names.select("lang_no", F.col("source_no").alias("b"), F.col("source").alias("item")), ["lang_no", "b"])
                  .select("lang", "source", F.lit("pair").alias("part"), "item", "value")
                  .withColumn("rank", F.row_number().over(by_item)))
     return pair_part.unionByName(term_part)

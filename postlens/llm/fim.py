@@ -10,7 +10,6 @@ count and a select inside one word.  No text is split into a list of units.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, id_text
+from .common import arrow_slices, id_text, utf8_bytes
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Of 100 texts, so many are rearranged at all, and of those so many as spm.
@@ -75,28 +74,6 @@ def unit_ends(data: np.ndarray, ends: np.ndarray) -> tuple[Ends, Ends]:
     return Ends(units), Ends(points)
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a text column without nulls, and where each text starts."""
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
-    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return whole[at[0]:at[-1]], at - at[0]
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of about ``SLICE_BYTES`` of text; one very long text is a part of
-    its own."""
-    for batch in batches:
-        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)), dtype=np.int64)
-        start = 0
-        while start < batch.num_rows:
-            done = size[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(size, done + SLICE_BYTES, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
-
-
 def draws(keys: list, seed: int) -> np.ndarray:
     """Four numbers below 2^32 per key, from the SHA-256 of ``seed:key``; a
     null key is the empty string."""
@@ -122,9 +99,9 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     p, s, m = (x.encode() for x in (PREFIX, SUFFIX, MIDDLE))
 
     def run(batches):
-        for part in _slices(batches):
+        for part in arrow_slices(batches, 1):
             keys, texts = part.column(0), part.column(1)
-            data, at = _bytes_of(texts)
+            data, at = utf8_bytes(texts)
             units, points = unit_ends(data, at[1:])
             start, end = at[:-1], at[1:]
             base = units.rank(start)
