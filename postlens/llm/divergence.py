@@ -86,9 +86,10 @@ class _TaskCounts:
         at = pa.array(group) if group is not None else pa.nulls(len(digest), pa.int64())
         return pa.RecordBatch.from_arrays(
             [pa.array(lang, pa.string()).take(at), pa.array(source, pa.string()).take(at), pa.array(digest),
+             pa.array(np.zeros(len(digest), np.int32)),
              pa.array(term, pa.binary()).cast(pa.string()) if term is not None else pa.nulls(len(digest), pa.string()),
              *(pa.array(c) if c is not None else pa.nulls(len(digest), pa.int64()) for c in (n, docs))],
-            ["lang", "source", "digest", "term", "n", "docs"])
+            ["lang", "source", "digest", "split", "term", "n", "docs"])
 
     def add(self, part: pa.RecordBatch, with_terms: bool):
         """Count a part (text, lang, source); gives rows that can go already."""
@@ -129,12 +130,12 @@ class _TaskCounts:
                 yield self.batch(group[a:b], digest[a:b], None, n[a:b], docs[a:b])
 
 
-SCHEMA = "lang string, source string, digest long, term string, n long, docs long"
+SCHEMA = "lang string, source string, digest long, split int, term string, n long, docs long"
 
 
 def _term_counts(docs: DataFrame, bits: int, with_terms: bool) -> DataFrame:
-    """Per task, rows (lang, source, digest, term, n, docs) of its documents
-    (text, lang, source).  With ``with_terms`` each row holds its term; else
+    """Per task, rows of ``SCHEMA`` for its documents (text, lang, source), all
+    of split 0.  With ``with_terms`` each row holds its term; else
     terms come by themselves, as rows whose n is null."""
     def run(batches):
         counts = _TaskCounts(bits)
@@ -157,7 +158,7 @@ def counted_terms(docs: DataFrame, groups: DataFrame, bits: int = 64) -> tuple[D
         return rows.select("lang_no", "source_no", "digest", "split", "n", "docs")
 
     told = stored(_term_counts(docs, bits, False), "term-counts")
-    counts = told.where("n is not null").withColumn("split", F.lit(0))
+    counts = told.where("n is not null")  # with a split that is no constant, which Spark would take for no key
     met = told.where("n is null").select("digest", "term")
     # a task tells a term about once: nothing to sum up in front of the shuffle
     ends = stored(met.repartition("digest").groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")),
@@ -171,7 +172,7 @@ def counted_terms(docs: DataFrame, groups: DataFrame, bits: int = 64) -> tuple[D
         split = stored(met.join(shared, "digest", "semi").distinct().withColumn(
             "split", F.row_number().over(Window.partitionBy("digest").orderBy("term"))).select("digest", "split", "term"),
             "term-splits")
-        again = stored(_term_counts(docs, bits, True).join(split, ["digest", "term"]), "term-counts-again")
+        again = stored(_term_counts(docs, bits, True).drop("split").join(split, ["digest", "term"]), "term-counts-again")
         counts = numbered(counts.join(shared, "digest", "anti")).unionByName(numbered(again))
         terms = terms.unionByName(split)
     # a task has summed its rows already; a term has a row for each task and source at most
