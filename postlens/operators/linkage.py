@@ -22,8 +22,9 @@ from postlens.session import cut_lineage
 
 #: Groups of one block of the search for nearest groups.
 BLOCK = 2_048
-#: So many groups, whatever the vocabulary's size, are merged in one task.
-LAST_GROUPS = 256
+#: So many groups, whatever the vocabulary's size, are merged in one task (their
+#: similarities take 32 MB).
+LAST_GROUPS = 2_048
 #: A merged group's number: its round above, the least leaf of it below.
 _ROUND = 1 << 40
 MERGES = "node long, l long, r long, similarity double, size long, l_size long, round int"
@@ -89,9 +90,11 @@ def _finish(first_round: int):
         alive = np.ones(len(node), bool)
         s = np.round(v @ v.T, 12)
         np.fill_diagonal(s, -np.inf)
+        near = s.argmax(1) if len(s) else np.zeros(0, np.int64)
+        top = s[np.arange(len(s)), near]
         for step in range(len(node) - 1):
-            i, j = divmod(int(s.argmax()), len(node))
-            i, j = min(i, j), max(i, j)
+            i = int(top.argmax())
+            i, j = sorted((i, int(near[i])))
             low[i] = min(s[i, j], low[i], low[j])
             new = (first_round + step) * _ROUND + min(node[i] % _ROUND, node[j] % _ROUND)
             out.append((int(new), int(node[i]), int(node[j]), float(low[i]), int(size[i] + size[j]), int(size[i]), first_round + step))
@@ -100,7 +103,12 @@ def _finish(first_round: int):
             s[i] = np.where(alive, np.round(v @ v[i], 12), -np.inf)
             s[i, i] = -np.inf
             s[:, i] = s[i]
-            s[j], s[:, j] = -np.inf, -np.inf
+            s[j], s[:, j], top[j] = -np.inf, -np.inf, -np.inf
+            # rows that lost their nearest look again, the others keep it
+            again = np.flatnonzero(alive & ((near == i) | (near == j)))
+            again = np.union1d(again, [i])
+            near[again] = s[again].argmax(1)
+            top[again] = s[again, near[again]]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
         cols = list(zip(*out)) or [()] * 7
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)],
@@ -134,12 +142,12 @@ def dendrogram(leaves: DataFrame, last_groups: int = LAST_GROUPS, block: int = B
         side = {p: groups.select(F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("size", "v", "low")))
                 for p in "lr"}
         new = cut_lineage(_merged(pairs.join(side["l"], "l").join(side["r"], "r"), round_))
-        gone = cut_lineage(new.select(F.explode(F.array("l", "r")).alias("node")))
+        gone = new.select(F.explode(F.array("l", "r")).alias("node"))
         merges = merges.unionByName(new.select("node", "l", "r", F.col("low").alias("similarity"), "size", "l_size",
                                                F.lit(round_).alias("round")))
         groups = cut_lineage(groups.join(gone, "node", "anti").unionByName(new.select("node", "size", "v", "low")))
-        near = cut_lineage(near.join(gone, "node", "anti").join(gone.withColumnRenamed("node", "other"), "other", "anti")
-                           .select("node", "other", "similarity"))
+        near = near.join(gone, "node", "anti").join(gone.withColumnRenamed("node", "other"), "other", "anti") \
+            .select("node", "other", "similarity")
         left = groups.count()
         if left == many:
             raise RuntimeError("no pair of groups is each other's nearest")
@@ -160,10 +168,12 @@ def places(merges: DataFrame) -> DataFrame:
                       .select("c.node", "up", "c.place"))
     while True:
         above = way.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("place").alias("more"))
-        if way.join(above, "up", "semi").isEmpty():
-            return way.select("node", "place")
         way = cut_lineage(way.join(above, "up", "left").select(
-            "node", F.coalesce("next", "up").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")))
+            "node", F.coalesce("next", "up").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"),
+            F.col("next").isNotNull().alias("moved")))
+        if way.where("moved").isEmpty():
+            return way.select("node", "place")
+        way = way.drop("moved")
 
 
 def cuts(merges: DataFrame, counts) -> DataFrame:

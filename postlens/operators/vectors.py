@@ -99,12 +99,13 @@ def times(table: DataFrame, column: str, small: np.ndarray, out: str, keep: list
     return table.select(*keep, column).mapInArrow(run, schema)
 
 
-def _basis(gram: np.ndarray) -> np.ndarray:
+def _basis(gram: np.ndarray) -> tuple[np.ndarray, bool]:
     """What makes the columns of a tall matrix with this Gram matrix
-    orthonormal; directions of no length are left out."""
+    orthonormal, directions of no length left out; and whether columns nearly
+    coincide, which loses digits."""
     value, vector = np.linalg.eigh(gram)
     there = value > 1e-12 * max(value[-1], 1e-300)
-    return vector[:, there] / np.sqrt(value[there])
+    return vector[:, there] / np.sqrt(value[there]), bool(value[there][0] < 1e-8 * value[-1])
 
 
 def factor(matrix: DataFrame, dim: int, tol: float = 1e-4, max_iter: int = 20, oversample: int = OVERSAMPLE):
@@ -123,7 +124,7 @@ def factor(matrix: DataFrame, dim: int, tol: float = 1e-4, max_iter: int = 20, o
     tall = cut_lineage(tokens.select("token", start.alias("q"), start.alias("y")))
     if tall.isEmpty():
         return tall.select("token", F.col("q").alias("vector")), np.zeros(0), np.zeros(0)
-    first = _basis(small_products(tall, width)[1])
+    first, _ = _basis(small_products(tall, width)[1])
     tall, width = cut_lineage(times(tall, "q", first, "q", ["token"])), first.shape[1]
     last = None
     for step in range(max_iter):
@@ -136,11 +137,12 @@ def factor(matrix: DataFrame, dim: int, tol: float = 1e-4, max_iter: int = 20, o
         if last is not None and len(last) == len(kept) and abs(kept - last).max() <= tol * abs(kept).max() or step + 1 == max_iter:
             break
         last = kept
-        turn = _basis(yy)
-        turned = cut_lineage(times(both, "y", turn, "q", ["token"]))
-        # once more: the first pass loses digits where columns nearly coincide
-        again = _basis(small_products(turned.withColumn("y", F.col("q")), turn.shape[1])[1])
-        tall, width = times(turned, "q", again, "q", ["token"]), again.shape[1]
+        turn, near = _basis(yy)
+        tall, width = times(both, "y", turn, "q", ["token"]), turn.shape[1]
+        if near:  # once more
+            tall = cut_lineage(tall)
+            turn, _ = _basis(small_products(tall.withColumn("y", F.col("q")), width)[1])
+            tall, width = times(tall, "q", turn, "q", ["token"]), turn.shape[1]
     # |M v - value v|^2 = v'M'M v - 2 value v'M v + value^2, from the small products
     left = np.einsum("ij,ik,kj->j", rotate, yy, rotate) - value ** 2
     residual = np.sqrt(np.maximum(left[:dim], 0)) / abs(value).max()
