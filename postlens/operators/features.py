@@ -71,10 +71,11 @@ def encode_text(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len: i
 
 
 def decode_tokens(ids: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """JN6: ids back to tokens, joined by a space in position order."""
+    """JN6: ids back to tokens, joined by a space in position order; a row
+    without ids is the empty string."""
     special = ids.sparkSession.createDataFrame([(UNK_ID, UNK), (PAD_ID, PAD)], "token_id int, token string")
     v = vocab.select("token_id", "token").unionByName(special)
-    ex = ids.select(key, F.posexplode("ids").alias("pos", "token_id"))
+    ex = ids.select(key, F.posexplode_outer("ids").alias("pos", "token_id"))
     toks = ex.join(v, on="token_id", how="left")
     return (toks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("__s"))
             .select(key, F.array_join(F.transform("__s", lambda s: s["token"]), " ").alias("decoded")))

@@ -28,13 +28,17 @@ def with_reactions_sum(df: DataFrame, cols=REACTION_COLUMNS, out: str = "reactio
 
 
 def with_group_avg(df: DataFrame, group: str, value: str = "reactions_sum",
-                   out: str = "reactions_groupavg", spread: str | None = None, salts: int = 16) -> DataFrame:
+                   out: str = "reactions_groupavg", spread: str | bool | None = None, salts: int = 16,
+                   key: str = "row_idx") -> DataFrame:
     """WIN1: mean of ``value`` over the row's group, repeated on every row.
 
     The means are a partial aggregate joined back by salted keys, so a group
     that holds a third of all rows is summed and joined by many tasks (a
-    window would buffer it in one).  Rows are spread by their position, which
-    reads no further column, or by the column ``spread``.  With ``salts=1`` the
+    window would buffer it in one).  Rows are spread by the column ``spread``,
+    else by ``key`` where they have one, so that a task that is run again deals
+    its rows alike.  Rows without a key, or with ``spread=False``, are spread by
+    position, which reads no further column: for rows straight from a scan,
+    whose order is fixed, and not for rows behind a shuffle.  With ``salts=1`` the
     join is on the group alone: for posts stored in buckets of the group, which
     it then joins without any exchange.  Rows whose group is null get no mean.
     """
@@ -43,7 +47,9 @@ def with_group_avg(df: DataFrame, group: str, value: str = "reactions_sum",
              .groupBy(group).agg(F.avg(value).alias(out)))
     if salts == 1:
         return df.join(means, on=group, how="left")
-    return salted_join(df, means, group, "left", spread, salts)
+    if spread is None and key in df.columns:
+        spread = key
+    return salted_join(df, means, group, "left", spread or None, salts)
 
 
 def with_impact_score(df: DataFrame, value: str = "reactions_sum", avg: str = "reactions_groupavg",
@@ -59,9 +65,9 @@ def with_impact_label(df: DataFrame, score: str = "score", threshold: float = 1.
 
 
 def impact(df: DataFrame, group: str, value: str = "reactions_sum", threshold: float = 1.0,
-           salts: int = 16) -> DataFrame:
+           salts: int = 16, spread: str | bool | None = None) -> DataFrame:
     """WIN1 + PRJ2 + PRJ3 in one call."""
-    out = with_group_avg(df, group, value, salts=salts)
+    out = with_group_avg(df, group, value, spread=spread, salts=salts)
     out = with_impact_score(out, value)
     return with_impact_label(out, threshold=threshold)
 

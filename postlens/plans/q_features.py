@@ -134,15 +134,16 @@ def encode_text(spark, d):
 @query("decode_tokens", "JN6 STR12", _TOKENS_SQL + """,
 dec AS (SELECT t.row_idx, list(coalesce(v.token, '<unk>') ORDER BY t.pos) AS toks
         FROM tok t LEFT JOIN vocab v USING (token) GROUP BY t.row_idx)
-SELECT row_idx, md5(array_to_string(toks, ' ')) AS decoded_md5, CAST(len(toks) AS BIGINT) AS n_tokens FROM dec
+SELECT row_idx, md5(coalesce(array_to_string(toks, ' '), '')) AS decoded_md5,
+       CAST(coalesce(len(toks), 0) AS BIGINT) AS n_tokens FROM ds LEFT JOIN dec USING (row_idx)
 """)
 def decode_tokens(spark, d):
     ds = doc_split(spark, d)
     vocab = train_vocab(spark, d)
-    seq = FE.encode_text(ds, "row_idx", "Text", vocab).where(F.size("ids") > 0)
+    seq = FE.encode_text(ds, "row_idx", "Text", vocab)
     dec = FE.decode_tokens(seq, vocab, "row_idx")
-    return dec.select("row_idx", F.md5("decoded").alias("decoded_md5"),
-                      F.size(F.split("decoded", " ")).cast("long").alias("n_tokens"))
+    n = F.when(F.col("decoded") == "", 0).otherwise(F.size(F.split("decoded", " ")))
+    return dec.select("row_idx", F.md5("decoded").alias("decoded_md5"), n.cast("long").alias("n_tokens"))
 
 
 _CATS = ["group_id", "post_type", "domain"]

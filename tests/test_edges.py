@@ -170,3 +170,28 @@ def test_more_centroids_than_a_block(spark):
     a = X.centroid_similarity(df, "k", "label", "v").orderBy("k").collect()
     assert a == X.centroid_similarity(df, "k", "label", "v", block=2).orderBy("k").collect()
     assert all(r.nearest_label == r.label for r in a)
+
+
+def test_rows_that_repeat_stay_with_more_centroids_than_a_block(spark):
+    df = spark.createDataFrame([(1, i, [float(i), 1.0]) for i in (0, 1, 2, 2, 2)] + [(1, 2, [5.0, -1.0])],
+                               "k long, label int, v array<double>")
+    a, b = (sorted(map(tuple, X.centroid_similarity(df, "k", "label", "v", block=n).collect())) for n in (1024, 2))
+    assert len(a) == 6 and [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in a] == \
+        [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in b]
+
+
+def test_salts_of_keyed_rows_do_not_depend_on_their_order(spark):
+    """A task that is run again after a lost executor must deal its rows alike."""
+    rows = spark.range(2000).select(F.col("id").alias("row_idx"), (F.col("id") % 3).alias("g"), F.col("id").alias("v"))
+    p = P.with_group_avg(rows, "g", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" not in p and "xxhash64(" in p
+    for mixed in (rows, rows.orderBy(F.rand(1)), rows.repartition(7)):
+        out = P.with_group_avg(mixed, "g", "v")
+        assert out.count() == 2000 and out.select("row_idx").distinct().count() == 2000
+
+
+def test_rows_without_ids_decode_to_nothing(spark):
+    from postlens.operators import features as FE
+    ids = spark.createDataFrame([(0, [2, 0]), (1, []), (2, None)], "row_idx long, ids array<int>")
+    vocab = spark.createDataFrame([("a", 2)], "token string, token_id int")
+    assert sorted(map(tuple, FE.decode_tokens(ids, vocab, "row_idx").collect())) == [(0, "a <unk>"), (1, ""), (2, "")]
