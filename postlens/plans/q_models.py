@@ -80,6 +80,31 @@ def impact_lasso(spark, d):
     return ML.coefficients(model)
 
 
+LASSO_ALPHA = 0.1
+
+
+@query("lasso_certificate", "MLJ2", _EVENT_TRAIN_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+c AS (SELECT "Type" AS value, count(*)::DOUBLE AS n, avg(score) AS m FROM tr GROUP BY 1),
+t AS (SELECT {LASSO_ALPHA} * sum(n) AS a FROM c),
+it AS (SELECT 0 AS i, (SELECT min(m) FROM c) AS lo, (SELECT max(m) FROM c) AS hi
+       UNION ALL
+       SELECT i + 1, CASE WHEN f > 0 THEN mid ELSE lo END, CASE WHEN f > 0 THEN hi ELSE mid END
+       FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+                    (SELECT sum(n * greatest(least(m - (lo + hi) / 2, a / n), -a / n)) FROM c, t) AS f FROM it WHERE i < 60)),
+b AS (SELECT lo AS b FROM it WHERE i = 60)
+SELECT 'Type' AS feature, value, round(sign(m - b) * greatest(abs(m - b) - a / n, 0), 3) AS coefficient, true AS gap_small
+FROM c, b, t
+""")
+def lasso_certificate(spark, d):
+    """Lasso of the impact score on the post type.  In SQL: each type's mean,
+    moved towards the intercept by alpha n / n_type, with the intercept at which
+    the residuals add up to 0."""
+    from postlens.operators.lasso import fit_lasso, lasso_weights
+    model = fit_lasso(_event_split(spark, d).where(F.col("split") == "train"), ["Type"], "score", LASSO_ALPHA, 1e-8)
+    return lasso_weights(model).select("feature", "value", _r("coefficient", 3).alias("coefficient"),
+                                       F.lit(bool(model.gap <= 1e-6)).alias("gap_small"))
+
+
 FIXED_W = [((i % 9) - 4) / 20.0 for i in range(64)]
 
 
