@@ -159,6 +159,19 @@ def canonical(value) -> str:
     return json.dumps(_whole(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def read_arguments(text: str | None, schema: dict | None) -> tuple:
+    """(value, valid) of a call's arguments.  What is no JSON (also numbers that
+    are not finite, and escapes of half a character) or nested too deep to read
+    stays the text, and is not valid; so are arguments without a schema."""
+    try:
+        value = json.loads(text or "")
+        json.dumps(value, allow_nan=False, ensure_ascii=False).encode()
+        canonical(value)
+        return value, schema is not None and valid(value, schema, schema)
+    except (ValueError, RecursionError):
+        return text, False
+
+
 def _settle(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``nodes`` (conv_id, node, ``at``: place of its own) with ``at`` raised to
     at least that of each node before it, one step deeper, and the nodes left
@@ -338,11 +351,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 line = {"role": role, "content": content}
                 ok = None
                 if name is not None:
-                    try:
-                        value = json.loads(arguments or "")
-                        ok = name in schemas and valid(value, schemas[name], schemas[name])
-                    except ValueError:
-                        value, ok = arguments, False
+                    value, ok = read_arguments(arguments, schemas.get(name))
                     line["tool_call"] = {k: v for k, v in (("id", call_id), ("name", name), ("arguments", value))
                                          if v is not None}
                 elif call_id is not None:

@@ -298,3 +298,19 @@ def test_pipeline(spark, staged):
         assert after[i]["text"] == kept and after[i]["n_chars"] == len(kept)
     tokens = {r["doc_id"]: r["n"] for r in packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
     assert tokens.keys() == after.keys()
+
+
+@pytest.mark.parametrize("arguments", ["[" * 100_000, '{"text":' * 3000, '{"a":"\\ud800"}', '{"a":1e400}', '{"a":NaN}', "[-Infinity]",
+                                       "1" * 10_000, "", "nope", None])
+def test_arguments_that_are_no_json_stay_text(arguments):
+    value, ok = chat.read_arguments(arguments, {"type": ["object", "array", "number", "string"]})
+    assert (value, ok) == (arguments, False)
+    json.loads(chat.canonical({"arguments": value}), parse_constant=lambda c: pytest.fail(c))
+
+
+def test_odd_arguments_do_not_end_the_job(spark):
+    odd = ["[" * 100_000, '{"a":"\\ud800"}', '{"a":1e400}', '{"a":NaN}']
+    rows = [(1, i, "user", None, f"c{i}", "add", a, []) for i, a in enumerate(odd)]
+    got = chat.format_chats(spark.createDataFrame(rows, MESSAGES), SCHEMAS).orderBy("turn").collect()
+    assert [r["args_valid"] for r in got] == [False] * 4
+    assert [json.loads(r["line"])["tool_call"]["arguments"] for r in got] == odd
