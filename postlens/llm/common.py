@@ -34,10 +34,12 @@ def held(key: tuple, make):
 
 
 def let_go() -> None:
-    """Drop what this worker keeps; for operators that need the room.  (One
-    Python step to a stage also matters: a stage of two has two workers for
-    each task, and later tasks take turns among all of them.)"""
+    """Drop what this worker keeps, and give back what Arrow holds free; for
+    operators that need the room.  (One Python step to a stage also matters: a
+    stage of two has two workers for each task, and later tasks take turns among
+    all of them.)"""
     _HELD.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,15 +15,18 @@ from pyspark.sql import functions as F
 
 from .common import gathered, id_text, stored, text_slices
 from .numbering import number_rows
-from .token_files import GATHER, library_encoder
+from .token_files import GATHER, KEPT_BYTES, library_encoder
 
 
-def token_lengths(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_lengths(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
+                  kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """(key, length): tokens of each whole text and one for its end.  Null and
-    empty texts have length 1."""
+    empty texts have length 1; rows of one id and null ids have a row each;
+    other columns are not read; no rows give no rows.  ``kept_bytes``: half of
+    what a worker keeps of words and their ids; with less, more are worked out again."""
     def run(batches):
-        encoder = library_encoder(model_path)
-        for keys, texts in gathered(text_slices(batches), GATHER):
+        encoder = library_encoder(model_path, kept_bytes)
+        for keys, texts in gathered(text_slices(batches), GATHER // 2):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array([len(x) + 1 for x in encoder.encode(texts)], pa.int64())],
                 ["key", "length"])

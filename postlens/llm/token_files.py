@@ -43,7 +43,10 @@ SEGMENT = 1 << 20
 GATHER = 8 << 20
 #: Stands for a null key.
 NO_KEY = -(1 << 63)
-KEPT = 1_500_000
+#: A worker keeps words and their ids in two halves of so many bytes; when the
+#: newer one is full, the older one goes, but for the words that were used since.
+#: An entry costs some bytes beside its own.
+KEPT_BYTES, ENTRY_BYTES = 100 << 20, 200
 
 FILES = "part int, seq int, before long, n_tokens long, data binary"
 
@@ -65,7 +68,7 @@ class LibraryEncoder:
     tokens, and models that split otherwise, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,10 +80,25 @@ class LibraryEncoder:
                        and "use_regex=True" in kind and self.library.normalizer is None and len(line) == 1)
         self.line = np.array(line, "<u4").tobytes()
         self._ids: dict[str, bytes] = {"": b""}
+        self._older: dict[str, bytes] = {}
+        self._kept, self._most = 0, kept_bytes
         # a text is plain if no two spaces or line ends meet and none is first or last
         odd = [r"^$", r"^[ \n]", r"[ \n][ \n]", r"[ \n]$", *(re.escape(t) for t in self.added)]
         self._odd = "|".join(f"(?:{x})" for x in odd)
 
+    def _known(self, word: str) -> bytes | None:
+        ids = self._ids.get(word)
+        if ids is None:
+            ids = self._older.get(word)
+            if ids is not None:
+                self._keep(word, ids)
+        return ids
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        self._ids[word] = ids
+        self._kept += len(word) + len(ids) + ENTRY_BYTES
+        return ids
+
     def _pieces(self, text: str) -> bytes:
         """Ids of a text without strings of added tokens: the library's
         pre-tokenizer and model, without its offsets."""
@@ -103,12 +121,12 @@ class LibraryEncoder:
             return self._letters(word)
         if word[-1] in ",." and word[:-1].isalpha():
             # the sign is a piece of its own
-            core = self._ids.get(word[:-1])
+            core = self._known(word[:-1])
             if core is None:
-                core = self._ids[word[:-1]] = self._letters(word[:-1])
-            sign = self._ids.get("\0" + word[-1])
+                core = self._keep(word[:-1], self._letters(word[:-1]))
+            sign = self._known("\0" + word[-1])
             if sign is None:
-                sign = self._ids["\0" + word[-1]] = self._pieces(word[-1])
+                sign = self._keep("\0" + word[-1], self._pieces(word[-1]))
             return core + sign
         line = word[0] == "\n"
         rest = word[1:] if line else word
@@ -134,20 +152,21 @@ class LibraryEncoder:
             lines = pc.binary_join_element_wise("", column.take(pa.array(at)), "\n")
             split = pc.split_pattern(pc.replace_substring(lines, "\n", " \n"), " ")
             words = split.values.dictionary_encode()
-            known, different = self._ids, words.dictionary.to_pylist()
-            if len(known) > KEPT:
-                known.clear()
-                known[""] = b""
-            found = list(map(known.get, different))
+            if self._kept > self._most:
+                self._older, self._ids, self._kept = self._ids, {"": b""}, 0
+            different = words.dictionary.to_pylist()
+            found = list(map(self._ids.get, different))
             odd = []
             for i, ids in enumerate(found):
                 if ids is None:
-                    ids = self._word(different[i])
+                    ids = self._older.get(different[i])
+                    if ids is None:
+                        ids = self._word(different[i])
                     if ids is None:
                         odd.append(i)
                         found[i] = b""
                     else:
-                        found[i] = known[different[i]] = ids
+                        found[i] = self._keep(different[i], ids)
             size = np.fromiter(map(len, found), np.int64, len(found)) // 4
             first = np.cumsum(size) - size
             ids = np.frombuffer(b"".join(found), "<u4")
@@ -170,8 +189,8 @@ class LibraryEncoder:
         return out
 
 
-def library_encoder(path: str) -> LibraryEncoder:
-    return held(("library", path), lambda: LibraryEncoder(path))
+def library_encoder(path: str, kept_bytes: int = KEPT_BYTES) -> LibraryEncoder:
+    return held(("library", path, kept_bytes), lambda: LibraryEncoder(path, kept_bytes))
 
 
 def pack_segment(keys: list[int], ids: list[np.ndarray]) -> bytes:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, id_text, judged_rows, small_batches, stored, text_slices
+from .common import held, let_go, id_text, judged_rows, small_batches, stored, text_slices
 
 DECAY = 0.6
 #: Longest spread of a letter four; windows this long are cut with half overlap.
@@ -307,6 +307,7 @@ def window_counts(labelled: DataFrame) -> DataFrame:
                  .groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")))
 
     def run(batches):
+        let_go()
         for batch in batches:
             counts: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
