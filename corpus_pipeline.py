@@ -46,7 +46,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences in length buckets and batches."""
-    lengths = packing.token_lengths(docs, vocabulary("byte_bpe_50k.json"))
+    # the workers of earlier stages hold memory still: a smaller store of words
+    lengths = packing.token_lengths(docs, vocabulary("byte_bpe_50k.json"), kept_bytes=24 << 20)
     return packing.pack(lengths, longest=4096, buckets=16, budget=65_536).withColumnRenamed("key", "doc_id")
 
 
