@@ -46,7 +46,7 @@ NO_KEY = -(1 << 63)
 #: A worker keeps words and their ids in two halves of so many bytes; when the
 #: newer one is full, the older one goes, but for the words that were used since.
 #: An entry costs some bytes beside its own.
-KEPT_BYTES, ENTRY_BYTES = 100 << 20, 200
+KEPT_BYTES, ENTRY_BYTES = 256 << 20, 200
 
 FILES = "part int, seq int, before long, n_tokens long, data binary"
 
