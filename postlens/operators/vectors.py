@@ -5,9 +5,9 @@ IDs: FEA6.
 
 Pairs of tokens at most ``window`` places apart are counted, weighted by
 shifted positive pointwise mutual information, and the symmetric table is
-factored by subspace iteration: the tall matrix is a table (token, numbers),
-multiplied by a join and sums, and made orthonormal through its small Gram
-matrix.  The driver sees matrices of ``dim`` by ``dim`` numbers only.
+factored by subspace iteration: the table is packed once in a grid of cells, the
+tall matrix is multiplied with it part by part, and made orthonormal through its
+small Gram matrix.  The driver sees matrices of ``dim`` by ``dim`` numbers only.
 """
 
 from __future__ import annotations
@@ -17,15 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlens.operators import blocks as BL
+from postlens.operators.grid import from_parts, grid, mapped, summed, to_parts, unpacked
 from postlens.session import cut_lineage
 
 OVERSAMPLE = 8
 
 
-def pair_counts(rows: DataFrame, tokens: str = "tokens", window: int = 2) -> DataFrame:
+def pair_counts(rows: DataFrame, tokens: str = "tokens", window: int = 2, vocab: DataFrame | None = None) -> DataFrame:
     """(a, b, n) with a <= b: how often the tokens stand at most ``window``
     places apart in a row.  Pairs are made inside each row's own array and
-    summed before they are shuffled."""
+    summed before they are shuffled.  Of rows stored in blocks with a ``vocab``,
+    a and b are the ids of its tokens, and pairs with other tokens are left out:
+    a block's pairs are summed as pairs of numbers."""
+    if vocab is not None:
+        return _id_pairs(rows, window, vocab)
     t, n = F.col(tokens), F.size(tokens)
     lists = [F.zip_with(F.slice(t, 1, F.greatest(n - d, F.lit(0))), F.slice(t, d + 1, F.greatest(n - d, F.lit(0))),
                         lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
@@ -34,6 +40,24 @@ def pair_counts(rows: DataFrame, tokens: str = "tokens", window: int = 2) -> Dat
             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _id_pairs(stored: DataFrame, window: int, vocab: DataFrame) -> DataFrame:
+    def run(rows, known):
+        row, toks = BL.tokens_of(rows)
+        at = BL.places(toks, known.column("token"))
+        ids = np.where(at >= 0, known.column("token_id").to_numpy()[at] if known.num_rows else -1, -1).astype(np.int64)
+        pairs = []
+        for d in range(1, window + 1):
+            x, y = ids[:-d], ids[d:]
+            there = (row[:-d] == row[d:]) & (x >= 0) & (y >= 0)
+            pairs.append(np.minimum(x, y)[there] << 32 | np.maximum(x, y)[there])
+        pair, n = np.unique(np.concatenate(pairs), return_counts=True)
+        return pa.table({"a": (pair >> 32).astype(np.int32), "b": (pair & 0xFFFFFFFF).astype(np.int32), "n": n.astype(np.int64)})
+
+    each = BL.met(stored.select("block", "toks"), BL.exploded(stored, "block"), vocab.select("token", "token_id"), "token",
+                  run, "a int, b int, n long")
+    return each.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
 def association(counts: DataFrame, vocab: DataFrame, shift: float = 1.0, token: str = "token") -> DataFrame:
     """(a, b, x), both orders: log(n(a,b) N / (n(a) n(b))) - log(shift) where
     that is above 0, over pairs of vocabulary tokens; n(a) and N are sums of the
@@ -55,48 +79,24 @@ def association(counts: DataFrame, vocab: DataFrame, shift: float = 1.0, token:
 
 def multiply(matrix: DataFrame, tall: DataFrame, width: int) -> DataFrame:
     """(a, y): the table ``matrix`` (a, b, x) times ``tall`` (token, q)."""
-    j = matrix.join(tall.select(F.col("token").alias("b"), "q"), "b")
-    sums = j.groupBy("a").agg(*(F.sum(F.col("x") * F.get("q", F.lit(i))).alias(f"y{i}") for i in range(width)))
-    return sums.select("a", F.array(*(F.col(f"y{i}") for i in range(width))).alias("y"))
+    cells = grid(matrix, "a", "b", "x")
+    v = to_parts(cells.columns, cells.n_columns, tall, "token", "q", width)
+    return from_parts(cells.rows, cells.times(v, width), "a", matrix.schema["a"].dataType.simpleString(), "y", width)
 
 
-def _dense(column: pa.ListArray, n: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+def small_products(pairs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """q'y and y'y of a table (q, y) of packed parts: each task sums its rows,
+    the driver gets 2 x width x width numbers."""
+    def run(q, y):
+        q, y = unpacked(q, width), unpacked(y, width)
+        return np.stack([q.T @ y, y.T @ y])
 
+    return tuple(summed(pairs.select("q", "y"), run, 2 * width * width).reshape(2, width, width))
 
-def small_products(pairs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """q'y and y'y of a table (q, y): each task sums its rows, the driver gets
-    2 x width x width numbers."""
-    def run(batches):
-        qy, yy = np.zeros((width, width)), np.zeros((width, width))
-        for batch in batches:
-            if batch.num_rows:
-                q, y = (_dense(batch.column(i), batch.num_rows) for i in (0, 1))
-                qy += q.T @ y
-                yy += y.T @ y
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * width * width)), pa.array(np.r_[qy.ravel(), yy.ravel()])],
-                                         ["i", "s"])
-
-    sums = pairs.select("q", "y").mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
-    flat = np.zeros(2 * width * width)
-    for r in sums:
-        flat[r["i"]] = r["s"]
-    return flat[:width * width].reshape(width, width), flat[width * width:].reshape(width, width)
-
-
-def times(table: DataFrame, column: str, small: np.ndarray, out: str, keep: list[str]) -> DataFrame:
-    """``keep`` and ``out`` = ``column`` times a small matrix, row by row."""
-    schema = ", ".join([*(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` array<double>"])
-
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            done = _dense(batch.column(len(keep)), n) @ small if n else np.zeros((0, small.shape[1]))
-            offsets = np.arange(0, n * small.shape[1] + 1, small.shape[1], dtype=np.int32) if n else np.zeros(1, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(keep)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(done.ravel()))], [*keep, out])
-
-    return table.select(*keep, column).mapInArrow(run, schema)
+
+def times(table: DataFrame, column: str, width: int, small: np.ndarray, out: str) -> DataFrame:
+    """(part, out): the packed ``column`` times a small matrix."""
+    return mapped(table, lambda x: (unpacked(x, width) @ small,), [column], [out])
 
 
 def _basis(gram: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -117,18 +117,20 @@ def factor(matrix: DataFrame, dim: int, tol: float = 1e-4, max_iter: int = 20, o
     largest, or after ``max_iter`` products; a residual is |M v - value v| over
     the largest value.
     """
-    matrix = cut_lineage(matrix)
+    cells = grid(matrix, "a", "b", "x", square=True)
     width = dim + oversample
+    of_kind = matrix.schema["a"].dataType.simpleString()
     tokens = matrix.select(F.col("a").alias("token")).distinct()
     start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.xxhash64("token", i) / F.lit(2.0 ** 63))
-    tall = cut_lineage(tokens.select("token", start.alias("q"), start.alias("y")))
+    tall = cut_lineage(to_parts(cells.rows, cells.n_rows, tokens.select("token", start.alias("q")), "token", "q", width)
+                       .withColumnRenamed("v", "q"))
     if tall.isEmpty():
-        return tall.select("token", F.col("q").alias("vector")), np.zeros(0), np.zeros(0)
-    first, _ = _basis(small_products(tall, width)[1])
-    tall, width = cut_lineage(times(tall, "q", first, "q", ["token"])), first.shape[1]
+        return tokens.select("token", F.array().cast("array<double>").alias("vector")), np.zeros(0), np.zeros(0)
+    first, _ = _basis(small_products(tall.withColumn("y", F.col("q")), width)[1])
+    tall, width = cut_lineage(times(tall, "q", width, first, "q")), first.shape[1]
     last = None
     for step in range(max_iter):
-        both = cut_lineage(multiply(matrix, tall, width).withColumnRenamed("a", "token").join(tall, "token"))
+        both = cut_lineage(cells.times(tall.withColumnRenamed("q", "v"), width).withColumnRenamed("v", "y").join(tall, "part"))
         qy, yy = small_products(both, width)
         value, rotate = np.linalg.eigh((qy + qy.T) / 2)
         order = np.argsort(-abs(value), kind="stable")
@@ -138,16 +140,15 @@ def factor(matrix: DataFrame, dim: int, tol: float = 1e-4, max_iter: int = 20, o
             break
         last = kept
         turn, near = _basis(yy)
-        tall, width = times(both, "y", turn, "q", ["token"]), turn.shape[1]
+        tall, width = cut_lineage(times(both, "y", width, turn, "q")), turn.shape[1]
         if near:  # once more
-            tall = cut_lineage(tall)
             turn, _ = _basis(small_products(tall.withColumn("y", F.col("q")), width)[1])
-            tall, width = times(tall, "q", turn, "q", ["token"]), turn.shape[1]
+            tall, width = cut_lineage(times(tall, "q", width, turn, "q")), turn.shape[1]
     # |M v - value v|^2 = v'M'M v - 2 value v'M v + value^2, from the small products
     left = np.einsum("ij,ik,kj->j", rotate, yy, rotate) - value ** 2
     residual = np.sqrt(np.maximum(left[:dim], 0)) / abs(value).max()
-    vectors = times(both, "q", rotate[:, :dim] * np.sqrt(abs(value[:dim])), "vector", ["token"])
-    return vectors, value[:dim], residual
+    vectors = times(both, "q", width, rotate[:, :dim] * np.sqrt(abs(value[:dim])), "vector")
+    return from_parts(cells.rows, vectors, "token", of_kind, "vector", len(value[:dim]), "vector"), value[:dim], residual
 
 
 def token_vectors(rows: DataFrame, vocab: DataFrame, tokens: str = "tokens", dim: int = 16, window: int = 2,

@@ -7,16 +7,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postlens.functions import text as T
+from postlens.operators import blocks as BL
 from postlens.operators import explain as X
-from postlens.operators import features as FE
 from postlens.operators import gradient as GR
 from postlens.operators import linkage as L
 from postlens.operators import metrics as M
 from postlens.operators import prepare as P
 from postlens.operators import sage as G
 from postlens.operators import vectors as VE
-from postlens.plans.q_explain import (_DS_Y_SQL, _groups_sql, BASE, K, WEIGHT_SEED, Y_EXPRS, doc_groups)
-from postlens.plans.q_features import _DOC_SPLIT_SQL, _PUNCT_SQL, _STOP_SQL, _TOKENS_SQL, doc_split
+from postlens.plans.q_explain import (_DS_Y_SQL, _groups_sql, BASE, K, WEIGHT_SEED, Y_EXPRS, doc_groups, group_weight)
+from postlens.plans.q_features import _DOC_SPLIT_SQL, _PUNCT_SQL, _STOP_SQL, _TOKENS_SQL, doc_split, doc_stored, stored_vocab
 from postlens.plans.q_prepare import _r
 from postlens.plans.registry import query
 from postlens.session import cut_lineage
@@ -62,8 +62,8 @@ nn AS (SELECT count(*)::DOUBLE AS n FROM y),""" + _stop_sql(ROUNDS))
 def sage_threshold(spark, d):
     """Random orders of the rule groups, one a row and round, until the largest
     error is under the threshold; an additive score of fixed weights."""
-    a, _ = doc_groups(spark, d, K)
-    contrib = a.groupBy("row_idx", "group_order").agg(F.sum(X.token_weight("token", WEIGHT_SEED) / 100.0).alias("c"))
+    a, _ = doc_groups(spark, d, K, group_weight())
+    contrib = a.groupBy("row_idx", "group_order").agg(F.sum("weight").alias("c"))
     targets = doc_split(spark, d).select("row_idx", Y_EXPRS["length"][1]().alias("y"))
     return _told(G.sage_values(contrib, targets, "row_idx", BASE, "y", thresh=THRESH, max_rounds=ROUNDS))
 
@@ -118,15 +118,11 @@ pmi AS (SELECT pr.a, pr.b, ln(n * (SELECT sum(n)::DOUBLE FROM pr) / (x.na::DOUBL
 pos_ AS (SELECT * FROM pmi WHERE x > 1e-12)"""
 
 
-def _train_tokens(spark, d):
-    """The tokens of each training row, made once for vocabulary and pairs."""
-    return cut_lineage(doc_split(spark, d).where(F.col("split") == "train").select("row_idx", T.tokenize("Text").alias("tokens")))
-
-
 def _association(spark, d):
-    rows = _train_tokens(spark, d)
-    vocab = FE.build_vocab(rows.select(F.explode("tokens").alias("token")), 10)
-    table = VE.association(VE.pair_counts(rows, "tokens", WINDOW), vocab)
+    """((a, b, x) of token ids, vocabulary) of the training rows' tokens."""
+    rows = doc_stored(spark, d).where(F.col("split") == "train")
+    vocab = stored_vocab(rows)
+    table = VE.association(VE.pair_counts(rows, window=WINDOW, vocab=vocab), vocab, token="token_id")
     return cut_lineage(table.where(F.col("x") > 1e-12)), vocab
 
 
@@ -136,8 +132,9 @@ SELECT a AS token, count(*) AS n_beside, round(sum(x), 4) AS association FROM po
 def token_association(spark, d):
     """What the token vectors are factored from: shifted positive pointwise
     mutual information of tokens at most two places apart."""
-    table, _ = _association(spark, d)
-    return table.groupBy(F.col("a").alias("token")).agg(F.count(F.lit(1)).alias("n_beside"), _r(F.sum("x"), 4).alias("association"))
+    table, vocab = _association(spark, d)
+    each = table.groupBy(F.col("a").alias("token_id")).agg(F.count(F.lit(1)).alias("n_beside"), _r(F.sum("x"), 4).alias("association"))
+    return each.join(vocab.select("token_id", "token"), "token_id").select("token", "n_beside", "association")
 
 
 @query("token_vectors", "FEA6", f"""
@@ -174,6 +171,7 @@ def _learned_groups(spark, d, counts, tokens):
     without a vector."""
     table, vocab = _association(spark, d)
     vectors, _, _ = VE.factor(table, DIM, tol=1e-3, max_iter=12)
+    vectors = vectors.withColumnRenamed("token", "token_id").join(vocab.select("token_id", "token"), "token_id").select("token", "vector")
     classes = X.classify_tokens(tokens)
     content = classes.where(F.col("token_class") == "content").select("token")
     leaves = cut_lineage(vectors.join(content, "token").join(vocab.select("token", F.col("token_id").cast("long").alias("leaf")), "token"))
@@ -198,7 +196,7 @@ FROM n, (SELECT unnest({CLUSTER_COUNTS}) AS k) k
 def token_groups_tree(spark, d):
     """Every distinct token has one group at each of the 14 counts; ``n_split``
     counts groups whose tokens lie in several groups of the next smaller count."""
-    toks = doc_split(spark, d).select(F.explode(F.array_distinct(T.tokenize("Text"))).alias("token")).distinct()
+    toks = BL.exploded(doc_stored(spark, d)).distinct()
     g = _learned_groups(spark, d, CLUSTER_COUNTS, toks)
     learned = g.where("learned")
     w = Window.partitionBy("token").orderBy("num_clusters")
