@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.session import cut_lineage
+from postlens.session import stored
 
 #: Groups of one block of the search for nearest groups.
 BLOCK = 2_048
 #: So many groups, whatever the vocabulary's size, are merged in one task (their
-#: similarities take 32 MB).
-LAST_GROUPS = 2_048
+#: similarities take 128 MB).
+LAST_GROUPS = 4_096
 #: A merged group's number: its round above, the least leaf of it below.
 _ROUND = 1 << 40
 MERGES = "node long, l long, r long, similarity double, size long, l_size long, round int"
@@ -127,7 +127,7 @@ def dendrogram(leaves: DataFrame, last_groups: int = LAST_GROUPS, block: int = B
     merge like others, ties go to smaller numbers.
     """
     spark = leaves.sparkSession
-    groups = cut_lineage(leaves.select("node", "size", "v", "low"))
+    groups = stored(leaves.select("node", "size", "v", "low"))
     merges = spark.createDataFrame([], MERGES)
     near, round_ = None, 1
     many = groups.count()
@@ -135,17 +135,17 @@ def dendrogram(leaves: DataFrame, last_groups: int = LAST_GROUPS, block: int = B
         blocks = -(-many // block)
         stale = groups if near is None else groups.join(near, "node", "anti")
         found = nearest_groups(stale, groups, blocks)
-        near = cut_lineage(found if near is None else near.unionByName(found))
+        near = stored(found if near is None else near.unionByName(found))
         back = near.select(F.col("node").alias("other"), F.col("other").alias("node"))
         pairs = near.join(back, ["node", "other"]).where(F.col("node") < F.col("other")) \
             .select(F.col("node").alias("l"), F.col("other").alias("r"), "similarity")
         side = {p: groups.select(F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("size", "v", "low")))
                 for p in "lr"}
-        new = cut_lineage(_merged(pairs.join(side["l"], "l").join(side["r"], "r"), round_))
+        new = stored(_merged(pairs.join(side["l"], "l").join(side["r"], "r"), round_))
         gone = new.select(F.explode(F.array("l", "r")).alias("node"))
         merges = merges.unionByName(new.select("node", "l", "r", F.col("low").alias("similarity"), "size", "l_size",
                                                F.lit(round_).alias("round")))
-        groups = cut_lineage(groups.join(gone, "node", "anti").unionByName(new.select("node", "size", "v", "low")))
+        groups = stored(groups.join(gone, "node", "anti").unionByName(new.select("node", "size", "v", "low")))
         near = near.join(gone, "node", "anti").join(gone.withColumnRenamed("node", "other"), "other", "anti") \
             .select("node", "other", "similarity")
         left = groups.count()
@@ -155,7 +155,7 @@ def dendrogram(leaves: DataFrame, last_groups: int = LAST_GROUPS, block: int = B
     if many > 1:  # at most ``last_groups`` rows
         last = groups.groupBy(F.lit(0).alias("one")).applyInArrow(_finish(round_), MERGES)
         merges = merges.unionByName(last)
-    return cut_lineage(merges)
+    return stored(merges)
 
 
 def places(merges: DataFrame) -> DataFrame:
@@ -164,11 +164,11 @@ def places(merges: DataFrame) -> DataFrame:
     along the way to the root, in steps of doubling length."""
     left = F.struct(F.col("l").alias("node"), F.lit(0).cast("long").alias("place"))
     right = F.struct(F.col("r").alias("node"), F.col("l_size").alias("place"))
-    way = cut_lineage(merges.select(F.explode(F.array(left, right)).alias("c"), F.col("node").alias("up"))
-                      .select("c.node", "up", "c.place"))
+    way = stored(merges.select(F.explode(F.array(left, right)).alias("c"), F.col("node").alias("up"))
+                 .select("c.node", "up", "c.place"))
     while True:
         above = way.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("place").alias("more"))
-        way = cut_lineage(way.join(above, "up", "left").select(
+        way = stored(way.join(above, "up", "left").select(
             "node", F.coalesce("next", "up").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"),
             F.col("next").isNotNull().alias("moved")))
         if way.where("moved").isEmpty():
@@ -184,7 +184,7 @@ def cuts(merges: DataFrame, counts) -> DataFrame:
     of a smaller one.  Fewer leaves than ``k`` are a group each.
     """
     counts = sorted(set(counts))
-    at = cut_lineage(places(merges))
+    at = stored(places(merges))
     top = merges.orderBy("similarity", F.desc("node")).limit(max(counts) - 1)
     from pyspark.sql import Window
     # fewer rows than the largest count

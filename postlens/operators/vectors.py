@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from postlens.operators import blocks as BL
 from postlens.operators.grid import from_parts, grid, mapped, summed, to_parts, unpacked
-from postlens.session import cut_lineage
+from postlens.session import cut_lineage, stored
 
 OVERSAMPLE = 8
 
@@ -122,15 +122,15 @@ def factor(matrix: DataFrame, dim: int, tol: float = 1e-4, max_iter: int = 20, o
     of_kind = matrix.schema["a"].dataType.simpleString()
     tokens = matrix.select(F.col("a").alias("token")).distinct()
     start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.xxhash64("token", i) / F.lit(2.0 ** 63))
-    tall = cut_lineage(to_parts(cells.rows, cells.n_rows, tokens.select("token", start.alias("q")), "token", "q", width)
+    tall = stored(to_parts(cells.rows, cells.n_rows, tokens.select("token", start.alias("q")), "token", "q", width)
                        .withColumnRenamed("v", "q"))
     if tall.isEmpty():
         return tokens.select("token", F.array().cast("array<double>").alias("vector")), np.zeros(0), np.zeros(0)
     first, _ = _basis(small_products(tall.withColumn("y", F.col("q")), width)[1])
-    tall, width = cut_lineage(times(tall, "q", width, first, "q")), first.shape[1]
+    tall, width = stored(times(tall, "q", width, first, "q")), first.shape[1]
     last = None
     for step in range(max_iter):
-        both = cut_lineage(cells.times(tall.withColumnRenamed("q", "v"), width).withColumnRenamed("v", "y").join(tall, "part"))
+        both = stored(cells.times(tall.withColumnRenamed("q", "v"), width).withColumnRenamed("v", "y").join(tall, "part"))
         qy, yy = small_products(both, width)
         value, rotate = np.linalg.eigh((qy + qy.T) / 2)
         order = np.argsort(-abs(value), kind="stable")
@@ -140,10 +140,10 @@ def factor(matrix: DataFrame, dim: int, tol: float = 1e-4, max_iter: int = 20, o
             break
         last = kept
         turn, near = _basis(yy)
-        tall, width = cut_lineage(times(both, "y", width, turn, "q")), turn.shape[1]
+        tall, width = stored(times(both, "y", width, turn, "q")), turn.shape[1]
         if near:  # once more
             turn, _ = _basis(small_products(tall.withColumn("y", F.col("q")), width)[1])
-            tall, width = cut_lineage(times(tall, "q", width, turn, "q")), turn.shape[1]
+            tall, width = stored(times(tall, "q", width, turn, "q")), turn.shape[1]
     # |M v - value v|^2 = v'M'M v - 2 value v'M v + value^2, from the small products
     left = np.einsum("ij,ik,kj->j", rotate, yy, rotate) - value ** 2
     residual = np.sqrt(np.maximum(left[:dim], 0)) / abs(value).max()

@@ -19,7 +19,7 @@ from postlens.plans.q_explain import (_DS_Y_SQL, _groups_sql, BASE, K, WEIGHT_SE
 from postlens.plans.q_features import _DOC_SPLIT_SQL, _PUNCT_SQL, _STOP_SQL, _TOKENS_SQL, doc_split, doc_stored, stored_vocab
 from postlens.plans.q_prepare import _r
 from postlens.plans.registry import query
-from postlens.session import cut_lineage
+from postlens.session import cut_lineage, stored
 from postlens.sources import testviews as V
 
 # The error threshold and the cluster counts of the reference's sweep.
@@ -118,9 +118,10 @@ pmi AS (SELECT pr.a, pr.b, ln(n * (SELECT sum(n)::DOUBLE FROM pr) / (x.na::DOUBL
 pos_ AS (SELECT * FROM pmi WHERE x > 1e-12)"""
 
 
-def _association(spark, d):
-    """((a, b, x) of token ids, vocabulary) of the training rows' tokens."""
-    rows = doc_stored(spark, d).where(F.col("split") == "train")
+def _association(spark, d, held=None):
+    """((a, b, x) of token ids, vocabulary) of the training rows' tokens;
+    ``held``: the stored tokens, if there are any yet."""
+    rows = (doc_stored(spark, d) if held is None else held).where(F.col("split") == "train")
     vocab = stored_vocab(rows)
     table = VE.association(VE.pair_counts(rows, window=WINDOW, vocab=vocab), vocab, token="token_id")
     return cut_lineage(table.where(F.col("x") > 1e-12)), vocab
@@ -165,22 +166,22 @@ def token_vectors(spark, d):
                        F.get(ordered, F.col("component")).alias("in_order"))
 
 
-def _learned_groups(spark, d, counts, tokens):
+def _learned_groups(spark, d, counts, tokens, held=None):
     """(token, num_clusters, group_order) of every distinct token: clusters of
     content tokens cut from one tree, then the fixed groups, then tokens
     without a vector."""
-    table, vocab = _association(spark, d)
+    table, vocab = _association(spark, d, held)
     vectors, _, _ = VE.factor(table, DIM, tol=1e-3, max_iter=12)
     vectors = vectors.withColumnRenamed("token", "token_id").join(vocab.select("token_id", "token"), "token_id").select("token", "vector")
     classes = X.classify_tokens(tokens)
     content = classes.where(F.col("token_class") == "content").select("token")
-    leaves = cut_lineage(vectors.join(content, "token").join(vocab.select("token", F.col("token_id").cast("long").alias("leaf")), "token"))
+    leaves = stored(vectors.join(content, "token").join(vocab.select("token", F.col("token_id").cast("long").alias("leaf")), "token"))
     cut = L.cuts(L.dendrogram(L.unit_vectors(leaves)), counts)
     clustered = cut.join(leaves.select(F.col("leaf").alias("node"), "token"), "node").select("token", "num_clusters", "cluster")
     every = classes.withColumn("num_clusters", F.explode(F.array(*(F.lit(k) for k in counts))))
     fixed = F.create_map(*[x for i, g in enumerate([*X.FIXED_GROUPS, X.RARE_GROUP]) for x in (F.lit(g), F.lit(i))])
     named = F.when(F.col("token_class") == "content", F.lit(X.RARE_GROUP)).otherwise(F.col("token_class"))
-    return cut_lineage(every.join(clustered, ["token", "num_clusters"], "left").select(
+    return stored(every.join(clustered, ["token", "num_clusters"], "left").select(
         "token", "num_clusters", F.coalesce("cluster", F.col("num_clusters") + F.element_at(fixed, named)).alias("group_order"),
         F.col("cluster").isNotNull().alias("learned")))
 
@@ -196,8 +197,8 @@ FROM n, (SELECT unnest({CLUSTER_COUNTS}) AS k) k
 def token_groups_tree(spark, d):
     """Every distinct token has one group at each of the 14 counts; ``n_split``
     counts groups whose tokens lie in several groups of the next smaller count."""
-    toks = BL.exploded(doc_stored(spark, d)).distinct()
-    g = _learned_groups(spark, d, CLUSTER_COUNTS, toks)
+    held = doc_stored(spark, d)
+    g = _learned_groups(spark, d, CLUSTER_COUNTS, BL.exploded(held).distinct(), held)
     learned = g.where("learned")
     w = Window.partitionBy("token").orderBy("num_clusters")
     coarser = learned.withColumn("up", F.lag("group_order").over(w)).groupBy("num_clusters", "group_order").agg(
