@@ -2,9 +2,11 @@
 
 IDs: MLJ4, MLJ5, MLJ6, MLJ7 (weights as a table), FEA4 (text as term rows).
 
-Rows are term rows (row, term, x); weights are a table (term, w) with one
-number for each output.  A step joins the terms with the current direction and
-sums per row, joins the rows' errors back and sums per term.  The driver sees a
+Rows are term rows (row, term, x), packed once in the cells of a grid; weights
+are a table (term, w) with one number for each output.  A step multiplies the
+cells with the current direction, which gives sums per row, and with the rows'
+errors, which gives sums per term; the terms are not shuffled again.  The driver
+sees a
 handful of numbers for each output: intercepts, step lengths, squared lengths
 of gradients.  Several models (squared error, binary or several classes) are
 fitted in the same passes over the terms.
@@ -23,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.text import tokenize
+from postlens.operators.grid import Grid, from_parts, grid, mapped, summed, to_parts, unpacked
 from postlens.operators.skew import salted_join
-from postlens.session import cut_lineage
+from postlens.session import stored
 
 #: Newton steps on the intercepts alone, at the end.
 INTERCEPT_STEPS = 5
@@ -102,28 +105,25 @@ def weighted(counts: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return salted_join(counts, table, "term", "inner", key).select(key, "term", (F.col("n") * F.col("idf")).alias("x"))
 
 
-def _sums(column: str, width: int, scale=None) -> list:
-    each = [F.get(column, F.lit(i)) for i in range(width)]
-    return [F.sum(e if scale is None else F.col(scale) * e).alias(f"s{i}") for i, e in enumerate(each)]
-
-
-def _packed(width: int):
-    return F.array(*(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(width)))
-
-
-def row_scores(terms: DataFrame, weights: DataFrame, key: str, column: str, width: int) -> DataFrame:
-    """(key, z): sums over each row's terms of x times the weights."""
-    joined = salted_join(terms, weights.select("term", column), "term", "inner", key)
-    return joined.groupBy(key).agg(*_sums(column, width, "x")).select(key, _packed(width).alias("z"))
+@dataclass
+class TermGrid:
+    """Rows and their terms, packed: ``rows`` with a number ``__row`` each, and
+    the terms in cells.  Rows of one key all have its terms."""
 
+    rows: DataFrame
+    cells: Grid
 
-def _dense(column: pa.Array, n: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    def scores(self, weights: DataFrame, column: str, width: int) -> DataFrame:
+        """(part, v) of the rows: sums of x times the weights, terms without one left out."""
+        tall = to_parts(self.cells.columns, self.cells.n_columns, weights, "term", column, width)
+        return self.cells.times(tall, width)
 
 
-def _lists(x: np.ndarray) -> pa.ListArray:
-    n, width = x.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(x).ravel()))
+def term_grid(terms: DataFrame, rows: DataFrame, key: str = "row_idx") -> TermGrid:
+    """``terms`` (key, term, x) of ``rows`` (key, *labels) in cells."""
+    held = stored(rows.withColumn("__row", F.monotonically_increasing_id()))
+    mine = stored(terms.join(held.select(key, "__row"), key).select("__row", "term", F.col("x").cast("double").alias("x")))
+    return TermGrid(held, grid(mine, "__row", "term", "x", held))
 
 
 class _Losses:
@@ -197,45 +197,34 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def _summed(rows: DataFrame, run, size: int) -> np.ndarray:
-    """Sums over all tasks of the ``size`` numbers that ``run`` gives for a batch."""
-    def task(batches):
-        total = np.zeros(size)
-        for batch in batches:
-            if batch.num_rows:
-                total += run(batch).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "s"])
-
-    out = np.zeros(size)
-    for r in rows.mapInArrow(task, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
-        out[r["i"]] = r["s"]
-    return out
-
-
-def fit_heads(terms: DataFrame, rows: DataFrame, heads: list[Head], key: str = "row_idx", l2: float = 0.01,
+def fit_heads(terms, rows: DataFrame, heads: list[Head], key: str = "row_idx", l2: float = 0.01,
               tol: float = 1e-3, max_steps: int = 60) -> Fitted:
     """Least mean loss + l2 / 2 |w|^2 for each head, with an intercept that is
     not penalised; squared loss is half the squared error.
 
-    ``terms``: (key, term, x), at most one row per key and term; ``rows``: (key,
-    *labels), each key once; rows without terms have the intercept alone.  A
+    ``terms``: (key, term, x), at most one row per key and term, or the grid of
+    the rows; ``rows``: (key, *labels); rows without terms have the intercept
+    alone.  A
     head is done when its gradient is ``tol`` of what it was at the start; the
     loop ends when all are, or after ``max_steps``.
     """
     losses = _Losses(heads)
     width, n_heads = losses.width, len(heads)
     head_of = np.concatenate([[i] * h.outputs for i, h in enumerate(heads)])
-    labels = F.array(*(F.coalesce(F.col(h.label).cast("double"), F.lit(float("nan"))) for h in heads))
-    zeros = F.array(*(F.lit(0.0) for _ in range(width)))
-    state = cut_lineage(rows.select(key, labels.alias("y"), zeros.alias("q"), zeros.alias("z")))
-    terms = cut_lineage(terms.join(state.select(key), key, "semi").select(key, "term", F.col("x").cast("double").alias("x")))
-    n = np.maximum(1.0, _summed(state.select("y"), lambda b: (~np.isnan(_dense(b.column(0), b.num_rows))).sum(0), n_heads))[head_of]
-    squares = terms.groupBy("term").agg(F.sum(F.col("x") * F.col("x")).alias("__s"))
+    held = terms if isinstance(terms, TermGrid) else term_grid(terms, rows, key)
+    cells = held.cells
+    state = stored(mapped(_labels(held, heads), lambda y: (y, np.zeros((len(unpacked(y, n_heads)), width)),
+                                                           np.zeros((len(unpacked(y, n_heads)), width))), ["y"], ["y", "q", "z"]))
+    n = _label_counts(state, n_heads)[head_of]
     curve = np.array([1.0 if heads[i].loss == "squared" else 0.25 for i in head_of])
-    scale = F.array(*(F.lit(1.0) / (F.col("__s") * F.lit(float(c / k)) + F.lit(l2)) for c, k in zip(curve, n)))
+
+    def first(squares):
+        none = np.zeros((len(unpacked(squares, 1)), width))
+        return none, none, none, 1.0 / (unpacked(squares, 1) * (curve / n) + l2)
+
     # w: weights, g: gradient, d: direction, m: scale
-    table = cut_lineage(squares.select("term", zeros.alias("w"), zeros.alias("g"), zeros.alias("d"), scale.alias("m")))
-    b, gb, db = np.zeros(width), np.zeros(width), np.zeros(width)
+    table = stored(mapped(cells.squares(), first, ["v"], ["w", "g", "d", "m"]))
+    b, gb, db, move = (np.zeros(width) for _ in range(4))
     done = np.zeros(n_heads, bool)
     history, start, last = [], None, None
 
@@ -243,28 +232,25 @@ def fit_heads(terms: DataFrame, rows: DataFrame, heads: list[Head], key: str = "
         return np.bincount(head_of, x, n_heads)
 
     for step in range(max_steps + 1):
-        # gradient at the current weights
-        def errors(batches):
-            for batch in batches:
-                y, q = (_dense(batch.column(i), batch.num_rows) for i in (1, 2))
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(losses.errors(y, q) / n)], [key, "e"])
-
-        kind = state.schema[key].dataType.simpleString()
-        error = state.select(key, "y", "q").mapInArrow(errors, f"`{key}` {kind}, e array<double>")
-        back = terms.join(error, key).groupBy("term").agg(*_sums("e", width, "x")).select("term", _packed(width).alias("xe"))
-        ridge = F.zip_with("xe", "w", lambda e, w: e + l2 * w)
-        table = cut_lineage(table.join(back, "term").select("term", "w", ridge.alias("new"), "g", "d", "m", "xe"))
-        gb_new = _summed(state.select("y", "q"), lambda x: losses.errors(
-            _dense(x.column(0), x.num_rows), _dense(x.column(1), x.num_rows)).sum(0), width) / n
-
-        def products(batch):
-            new, old, d, m, w = (_dense(batch.column(i), batch.num_rows) for i in range(5))
-            down = m * new
-            return np.stack([(x * y).sum(0) for x, y in ((new, new), (new, down), (old, down), (w, down), (w, d), (down, down),
-                                                         (down, d), (d, d))])
+        # gradient at the current weights; ``move`` is the step from the stored ones
+        def errors(y, q, z, move=move):
+            return losses.errors(unpacked(y, n_heads), unpacked(q, width) + move * unpacked(z, width)) / n
+
+        back = cells.back(mapped(state, lambda *x: (errors(*x),), ["y", "q", "z"], ["v"]), width)
 
-        nn, nmn, nmo, w_down, w_d, down2, down_d, d2 = _summed(
-            table.select("new", "g", "d", "m", "w"), products, 8 * width).reshape(8, width)
+        def gradient(xe, w, old, d, m, move=move):
+            old, d, m = (unpacked(x, width) for x in (old, d, m))
+            w = unpacked(w, width) + move * d
+            new = unpacked(xe, width) + l2 * w
+            down = m * new
+            products = np.stack([(x * y).sum(0) for x, y in ((new, new), (new, down), (old, down), (w, down), (w, d), (down, down),
+                                                             (down, d), (d, d))])
+            return w, new, d, m, products
+
+        table = stored(mapped(table.join(back, "part"), gradient, ["v", "w", "g", "d", "m"], ["w", "g", "d", "m", "s"]))
+        gb_new = summed(state.select("y", "q", "z"), lambda *x: errors(*x).sum(0), width)
+        nn, nmn, nmo, w_down, w_d, down2, down_d, d2 = summed(
+            table.select("s"), lambda s: unpacked(s, width), 8 * width).reshape(8, width)
         length = np.sqrt(per_head(nn + gb_new ** 2))
         start = length if start is None else start
         history.append(length / np.maximum(start, 1e-300))
@@ -278,55 +264,62 @@ def fit_heads(terms: DataFrame, rows: DataFrame, heads: list[Head], key: str = "
         turn, still = beta[head_of], np.where(done[head_of], 0.0, 1.0)
         gb, db = gb_new, still * (-gb_new + turn * db)
 
-        def direction(batches, turn=turn, still=still):
-            for batch in batches:
-                w, new, d, m = (_dense(batch.column(i), batch.num_rows) for i in range(1, 5))
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(w), _lists(new), _lists(still * (-m * new + turn * d)),
-                                                  _lists(m)], ["term", "w", "g", "d", "m"])
+        def direction(w, new, d, m, turn=turn, still=still):
+            return w, new, still * (-unpacked(m, width) * unpacked(new, width) + turn * unpacked(d, width)), m
 
-        table = table.select("term", "w", "new", "d", "m").mapInArrow(
-            direction, "term string, w array<double>, g array<double>, d array<double>, m array<double>")
-        scored = row_scores(terms, table, key, "d", width).withColumnRenamed("z", "__z")
-        shift = F.array(*(F.lit(float(x)) for x in db))
-        state = cut_lineage(state.drop("z").join(scored, key, "left").select(
-            key, "y", "q", F.zip_with(F.coalesce("__z", zeros), shift, lambda z, s: z + s).alias("z")))
+        table = mapped(table, direction, ["w", "g", "d", "m"], ["w", "g", "d", "m"])
+        at_zero = np.zeros((n_heads, 1))
+
+        def ahead(y, q, z, along, move=move, db=db):
+            q = unpacked(q, width) + move * unpacked(z, width)
+            z = (unpacked(along, width) if along.is_valid else 0.0) + db + np.zeros_like(q)
+            return y, q, z, losses.slopes(unpacked(y, n_heads), q, z, at_zero)
+
+        scored = cells.times(table.select("part", F.col("d").alias("v")), width)
+        state = stored(mapped(state.join(scored, "part", "left"), ahead, ["y", "q", "z", "v"], ["y", "q", "z", "s"]))
 
         # products of the new direction, still * (turn * d - down), from those of its parts
         wd = per_head(still * (turn * w_d - w_down))
         dd = per_head(still * (turn ** 2 * d2 - 2 * turn * down_d + down2))
         rows_of = np.array([n[np.flatnonzero(head_of == i)[0]] for i in range(n_heads)])
 
-        def slopes(steps):
-            raw = _summed(state.select("y", "q", "z"), lambda x: losses.slopes(
-                *(_dense(x.column(i), x.num_rows) for i in range(3)), steps), n_heads * steps.shape[1] * 2)
+        def slopes(raw, steps):
             raw = raw.reshape(n_heads, -1, 2) / rows_of[:, None, None]
             return raw[..., 0] + l2 * (wd[:, None] + steps * dd[:, None]), raw[..., 1] + l2 * dd[:, None]
 
-        first, second = (x[:, 0] for x in slopes(np.zeros((n_heads, 1))))
-        guess = np.where(second > 0, -first / np.where(second > 0, second, 1), 0.0)
+        raw = summed(state.select("s"), lambda s: unpacked(s, 2), n_heads * 2)
+        first_slope, second = (x[:, 0] for x in slopes(raw, at_zero))
+        guess = np.where(second > 0, -first_slope / np.where(second > 0, second, 1), 0.0)
         steps = guess[:, None] * _STEPS
-        slope, _ = slopes(steps)
-        size = np.array([_zero(np.r_[0, s], np.r_[f, v]) for s, f, v in zip(steps, first, slope)])
+        raw = summed(state.select("y", "q", "z"), lambda y, q, z: losses.slopes(
+            unpacked(y, n_heads), unpacked(q, width), unpacked(z, width), steps), n_heads * steps.shape[1] * 2)
+        slope, _ = slopes(raw, steps)
+        size = np.array([_zero(np.r_[0, s], np.r_[f, v]) for s, f, v in zip(steps, first_slope, slope)])
         size = np.where(done, 0.0, size)
         move = size[head_of]
         b = b + move * db
-        moved = F.array(*(F.lit(float(x)) for x in move))
-
-        def ahead(a: str, c: str):
-            return F.zip_with(F.zip_with(c, moved, lambda x, s: x * s), a, lambda x, y: y + x)
-
-        state = state.withColumn("q", ahead("q", "z"))
-        table = table.withColumn("w", ahead("w", "d"))
     # the intercepts alone, to the place where the errors add up to 0: passes over the rows only
     moved = np.zeros(width)
     for _ in range(INTERCEPT_STEPS):
-        def at_moved(batch, moved=moved):
-            y, q = (_dense(batch.column(i), batch.num_rows) for i in (0, 1))
-            return np.stack([losses.errors(y, q + moved).sum(0), losses.curvature(y, q + moved).sum(0)])
+        def at_moved(y, q, z, moved=moved, move=move):
+            y, q = unpacked(y, n_heads), unpacked(q, width) + move * unpacked(z, width) + moved
+            return np.stack([losses.errors(y, q).sum(0), losses.curvature(y, q).sum(0)])
 
-        error, bend = _summed(state.select("y", "q"), at_moved, 2 * width).reshape(2, width)
+        error, bend = summed(state.select("y", "q", "z"), at_moved, 2 * width).reshape(2, width)
         moved = moved - np.where(bend > 0, error / np.where(bend > 0, bend, 1), 0.0)
-    return Fitted(heads, table.select("term", "w"), b + moved, history)
+    weights = from_parts(cells.columns, table.select("part", "w"), "term", "string", "w", width, "w")
+    return Fitted(heads, weights, b + moved, history)
+
+
+def _labels(held: TermGrid, heads: list[Head]) -> DataFrame:
+    """(part, y) of the rows: a label for each head, not a number where there is none."""
+    labels = F.array(*(F.coalesce(F.col(h.label).cast("double"), F.lit(float("nan"))) for h in heads))
+    return to_parts(held.cells.rows, held.cells.n_rows, held.rows.select("__row", labels.alias("y")), "__row", "y",
+                    len(heads)).withColumnRenamed("v", "y")
+
+
+def _label_counts(state: DataFrame, n_heads: int) -> np.ndarray:
+    return np.maximum(1.0, summed(state.select("y"), lambda y: (~np.isnan(unpacked(y, n_heads))).sum(0).astype(float), n_heads))
 
 
 def _zero(steps: np.ndarray, slopes: np.ndarray) -> float:
@@ -340,38 +333,42 @@ def _zero(steps: np.ndarray, slopes: np.ndarray) -> float:
     return float(steps[k - 1] + (steps[k] - steps[k - 1]) * (-a / (c - a) if c > a else 0.0))
 
 
-def predict(terms: DataFrame, rows: DataFrame, model: Fitted, key: str = "row_idx") -> DataFrame:
+def predict(terms, rows: DataFrame, model: Fitted, key: str = "row_idx") -> DataFrame:
     """``rows`` with ``scores``: one number for each output, also for rows
-    without terms; terms outside the model are left out."""
+    without terms; terms outside the model are left out.  ``terms``: (key, term,
+    x), or the grid of these rows."""
     width = len(model.intercepts)
+    held = terms if isinstance(terms, TermGrid) else term_grid(terms, rows, key)
     zeros = F.array(*(F.lit(0.0) for _ in range(width)))
     shift = F.array(*(F.lit(float(x)) for x in model.intercepts))
-    scored = row_scores(terms, model.weights, key, "w", width)
-    return rows.join(scored, key, "left").withColumn(
-        "scores", F.zip_with(F.coalesce("z", zeros), shift, lambda z, s: z + s)).drop("z")
+    scored = from_parts(held.cells.rows, held.scores(model.weights, "w", width), "__row", "long", "z", width)
+    return held.rows.join(scored, "__row", "left").withColumn(
+        "scores", F.zip_with(F.coalesce("z", zeros), shift, lambda z, s: z + s)).drop("z", "__row")
 
 
-def gradient_lengths(terms: DataFrame, rows: DataFrame, model: Fitted, l2: float, key: str = "row_idx") -> np.ndarray:
+def gradient_lengths(terms, rows: DataFrame, model: Fitted, l2: float, key: str = "row_idx") -> np.ndarray:
     """Length of each head's gradient at its weights, worked out anew from the
     predictions."""
     losses = _Losses(model.heads)
+    width, n_heads = losses.width, len(model.heads)
     head_of = np.concatenate([[i] * h.outputs for i, h in enumerate(model.heads)])
-    labels = F.array(*(F.coalesce(F.col(h.label).cast("double"), F.lit(float("nan"))) for h in model.heads))
-    scored = cut_lineage(predict(terms, rows, model, key).select(key, labels.alias("y"), "scores"))
-    n = np.maximum(1.0, _summed(scored.select("y"), lambda x: (~np.isnan(_dense(x.column(0), x.num_rows))).sum(0),
-                                len(model.heads)))[head_of]
-
-    def errors(batches):
-        for batch in batches:
-            e = losses.errors(*(_dense(batch.column(i), batch.num_rows) for i in (1, 2))) / n
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(e)], [key, "e"])
-
-    kind = scored.schema[key].dataType.simpleString()
-    error = cut_lineage(scored.mapInArrow(errors, f"`{key}` {kind}, e array<double>"))
-    width = losses.width
-    back = terms.join(error, key).groupBy("term").agg(*_sums("e", width, "x")).select("term", _packed(width).alias("xe"))
-    full = model.weights.join(back, "term", "left").select(
-        F.zip_with(F.coalesce("xe", F.array(*(F.lit(0.0) for _ in range(width)))), "w", lambda e, w: e + l2 * w).alias("g"))
-    square = _summed(full, lambda x: (_dense(x.column(0), x.num_rows) ** 2).sum(0), width)
-    flat = _summed(error.select("e"), lambda x: _dense(x.column(0), x.num_rows).sum(0), width)
-    return np.sqrt(np.bincount(head_of, square + flat ** 2, len(model.heads)))
+    held = terms if isinstance(terms, TermGrid) else term_grid(terms, rows, key)
+    cells, b = held.cells, model.intercepts
+    given = _labels(held, model.heads).join(held.scores(model.weights, "w", width), "part", "left")
+
+    def errors(y, z):
+        y = unpacked(y, n_heads)
+        return y, losses.errors(y, (unpacked(z, width) if z.is_valid else 0.0) + b + np.zeros((len(y), width)))
+
+    state = stored(mapped(given, errors, ["y", "v"], ["y", "e"]))
+    n = _label_counts(state, n_heads)[head_of]
+    back = cells.back(state.select("part", F.col("e").alias("v")), width)
+    weights = to_parts(cells.columns, cells.n_columns, model.weights, "term", "w", width).withColumnRenamed("v", "w")
+    square = summed(weights.join(back, "part").select("v", "w"),
+                    lambda e, w: ((unpacked(e, width) / n + l2 * unpacked(w, width)) ** 2).sum(0), width)
+    # a term that no row has is in the penalty alone
+    there = cells.columns.select(F.explode("names").alias("term"))
+    absent = model.weights.join(there, "term", "anti").select(*(F.sum(F.pow(l2 * F.get("w", F.lit(k)), 2)).alias(f"s{k}") for k in range(width)))
+    square = square + np.array([x or 0.0 for x in absent.first()])
+    flat = summed(state.select("e"), lambda e: unpacked(e, width).sum(0), width) / n
+    return np.sqrt(np.bincount(head_of, square + flat ** 2, n_heads))

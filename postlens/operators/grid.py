@@ -54,7 +54,8 @@ def mapped(parts: DataFrame, run, given: list[str], made: list[str]) -> DataFram
     def task(batches):
         for batch in batches:
             for part, *values in zip(*batch.columns):
-                out = [x if isinstance(x, bytes) else packed(x) for x in run(*values)]
+                # values that are handed on stay packed
+                out = [x.as_py() if isinstance(x, pa.Scalar) else packed(x) for x in run(*values)]
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in out)],
                                                  ["part", *made])
 

@@ -231,7 +231,8 @@ def _fit(rows, counts, heads, l2, tol, max_steps):
     mine = counts.join(train.select("row_idx"), "row_idx", "semi")
     table = cut_lineage(GR.term_table(mine, train, "row_idx", 10))
     terms = cut_lineage(GR.weighted(counts, table, "row_idx"))
-    return GR.fit_heads(terms, train, heads, "row_idx", l2, tol, max_steps), terms, table
+    held = GR.term_grid(terms, train, "row_idx")
+    return GR.fit_heads(held, train, heads, "row_idx", l2, tol, max_steps), terms, table, held
 
 
 TEXT_HEADS = [("score", "squared", 1), ("party", "binary", 1), ("impact", "binary", 1), ("stance", "classes", 3)]
@@ -263,11 +264,11 @@ def text_heads(spark, d):
     rows, counts = _text_rows(spark, d)
     n_targets = rows.agg(F.max("target")).first()[0]  # one code for each label
     heads = [GR.Head(n, n, loss, k) for n, loss, k in [*TEXT_HEADS, ("target", "classes", int(n_targets or 0) + 1)]]
-    model, terms, table = _fit(rows, counts, heads, 1.0, 0.05, 15)
+    model, _, table, held = _fit(rows, counts, heads, 1.0, 0.05, 15)
     train = rows.where(F.col("split") == "train")
-    scored = cut_lineage(GR.predict(terms, train, model))
+    scored = stored(GR.predict(held, train, model))
     start = GR.Fitted(heads, model.weights.withColumn("w", F.transform("w", lambda x: x * 0)), model.intercepts * 0)
-    ratio = GR.gradient_lengths(terms, train, model, 1.0) / GR.gradient_lengths(terms, train, start, 1.0)
+    ratio = GR.gradient_lengths(held, train, model, 1.0) / GR.gradient_lengths(held, train, start, 1.0)
     out = None
     for i, h in enumerate(heads):
         at = list(model.slots(h.name))
@@ -302,7 +303,7 @@ def sage_sweep_tree(spark, d):
     everything shown, which is worked out from the models' own predictions."""
     rows, counts = _text_rows(spark, d)
     heads = [GR.Head("score", "score", "squared"), GR.Head("party", "party", "squared")]
-    model, terms, _ = _fit(rows, counts, heads, 1.0, 0.05, 8)
+    model, terms, _, _ = _fit(rows, counts, heads, 1.0, 0.05, 8)
     shown = rows.where((F.col("split") == "test") & F.col("score").isNotNull())
     scored = cut_lineage(GR.predict(terms, shown, model))
     mine = terms.join(shown.select("row_idx"), "row_idx", "semi")
