@@ -34,3 +34,12 @@ def test_places_do_not_multiply_estimates(spark):
     at = L.places(spark.createDataFrame(rows, L.MERGES))
     assert digits(at) < 64
     assert {r.node: r.place for r in at.collect() if r.node < L._ROUND} == {k: k for k in range(n)}
+
+
+def test_a_tree_has_the_size_of_its_rows_whatever_the_leaves_come_from(spark):
+    wide = spark.range(3).select((F.col("id") % 1).alias("one")).distinct()
+    leaves = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(8)], "leaf long, vector array<double>")
+    for i in range(4):
+        leaves = leaves.crossJoin(wide.withColumnRenamed("one", f"o{i}"))
+    merges = L.dendrogram(L.unit_vectors(leaves))
+    assert digits(merges) < 32 and merges.count() == 7
