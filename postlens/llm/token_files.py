@@ -39,14 +39,18 @@ BLOCK = 512
 PERCENTILE = 0.95
 #: Ids in a segment, about; a document is never split.
 SEGMENT = 1 << 20
-#: Characters encoded together: the more, the fewer words are looked up again.
-GATHER = 8 << 20
+#: Characters encoded together: the more, the fewer words are looked up again,
+#: and the larger the arrays of their places (some 40 bytes a character).
+GATHER = 4 << 20
 #: Stands for a null key.
 NO_KEY = -(1 << 63)
 #: A worker keeps words and their ids in two halves of so many bytes; when the
 #: newer one is full, the older one goes, but for the words that were used since.
 #: An entry costs some bytes beside its own.
 KEPT_BYTES, ENTRY_BYTES = 256 << 20, 200
+#: The half of a worker that writes files: beside it an executor sorts whole
+#: texts, and the words of earlier jobs are still held when the next one begins.
+FILE_KEPT_BYTES = 128 << 20
 
 FILES = "part int, seq int, before long, n_tokens long, data binary"
 
@@ -268,7 +272,7 @@ def unpack_segment(data: bytes, block: int | None = None) -> tuple[np.ndarray, n
 
 
 def _segments(batches: Iterator[pa.RecordBatch], model: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, part = library_encoder(model), TaskContext.get().partitionId()
+    encoder, part = library_encoder(model, FILE_KEPT_BYTES), TaskContext.get().partitionId()
     end = np.array([end_id], "<u4")
     keys, ids, size, seq, before = [], [], 0, 0, 0
 

@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -137,3 +138,34 @@ def test_digest_queries(spark, tik):
         ids = np.array(tik.encode_ordinary(texts[r["doc_id"]]), "<u4").tobytes()
         assert r["ids_sha256"] == hashlib.sha256(ids).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_a_file_writer_is_bounded(spark, monkeypatch):
+    """Two workers beside a heap of 1.8 GB in 3 GB: each its words in two halves
+    and the arrays of one gathering."""
+    seen = []
+
+    class Encoder:
+        def encode(self, texts):
+            seen.append(sum(map(len, texts)))
+            return [np.zeros(1, "<u4") for _ in texts]
+
+    def encoder(path, kept_bytes=token_files.KEPT_BYTES):
+        seen.append(-kept_bytes)
+        return Encoder()
+
+    monkeypatch.setattr(token_files, "library_encoder", encoder)
+    monkeypatch.setattr(token_files.TaskContext, "get", lambda: type("Context", (), {"partitionId": lambda self: 0})())
+    batch = pa.table({"key": range(2000), "text": ["x" * 10_000] * 2000}).to_batches()
+    assert sum(r["n_tokens"][0].as_py() for r in token_files._segments(iter(batch), "model", 0)) == 4000
+    kept, gathered = -seen[0], max(seen)
+    assert 2 * (2 * kept + 40 * gathered) < (3000 << 20) * 0.4 * 0.8
+
+
+def test_kept_words_stay_in_their_bytes():
+    encoder = token_files.LibraryEncoder(JSON, kept_bytes=1 << 20)
+    rng = np.random.default_rng(3)
+    for _ in range(12):
+        encoder.encode([" ".join("".join(w) for w in rng.choice(list("abcdefgh"), (3000, 8)))])
+        held = sum(len(w) + len(i) + token_files.ENTRY_BYTES for d in (encoder._ids, encoder._older) for w, i in d.items())
+        assert held < 2 * (1 << 20) + 2 * 3000 * (token_files.ENTRY_BYTES + 60)
