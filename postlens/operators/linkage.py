@@ -189,9 +189,15 @@ def cuts(merges: DataFrame, counts) -> DataFrame:
     from pyspark.sql import Window
     # fewer rows than the largest count
     ranked = top.withColumn("nth", F.row_number().over(Window.orderBy("similarity", F.desc("node"))))
-    borders = ranked.select(F.col("r").alias("node"), "nth").join(at, "node").agg(
-        F.collect_list(F.struct("nth", "place")).alias("borders"))
-    leaves = at.where(F.col("node") < _ROUND).crossJoin(F.broadcast(borders))  # one row
-    each = leaves.withColumn("num_clusters", F.explode(F.array(*(F.lit(k) for k in counts))))
-    passed = F.filter("borders", lambda b: (b["nth"] < F.col("num_clusters")) & (b["place"] <= F.col("place")))
-    return each.select("node", "num_clusters", F.size(passed).alias("cluster"))
+    borders = [tuple(r) for r in ranked.select(F.col("r").alias("node"), "nth").join(at, "node").select("nth", "place").collect()]
+    first = {k: np.array(sorted(place for nth, place in borders if nth < k), np.int64) for k in counts}
+
+    def run(batches):
+        for batch in batches:
+            place = batch.column(1).to_numpy()
+            for k in counts:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(np.full(len(place), k, np.int32)),
+                     pa.array(np.searchsorted(first[k], place, side="right").astype(np.int32))], ["node", "num_clusters", "cluster"])
+
+    return at.where(F.col("node") < _ROUND).mapInArrow(run, "node long, num_clusters int, cluster int")

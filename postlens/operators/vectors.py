@@ -127,7 +127,8 @@ def factor(matrix: DataFrame, dim: int, tol: float = 1e-4, max_iter: int = 20, o
     if tall.isEmpty():
         return tokens.select("token", F.array().cast("array<double>").alias("vector")), np.zeros(0), np.zeros(0)
     first, _ = _basis(small_products(tall.withColumn("y", F.col("q")), width)[1])
-    tall, width = stored(times(tall, "q", width, first, "q")), first.shape[1]
+    # made of a stored table, for a product and a join
+    tall, width = times(tall, "q", width, first, "q"), first.shape[1]
     last = None
     for step in range(max_iter):
         both = stored(cells.times(tall.withColumnRenamed("q", "v"), width).withColumnRenamed("v", "y").join(tall, "part"))
@@ -140,10 +141,10 @@ def factor(matrix: DataFrame, dim: int, tol: float = 1e-4, max_iter: int = 20, o
             break
         last = kept
         turn, near = _basis(yy)
-        tall, width = stored(times(both, "y", width, turn, "q")), turn.shape[1]
+        tall, width = times(both, "y", width, turn, "q"), turn.shape[1]
         if near:  # once more
             turn, _ = _basis(small_products(tall.withColumn("y", F.col("q")), width)[1])
-            tall, width = stored(times(tall, "q", width, turn, "q")), turn.shape[1]
+            tall, width = times(tall, "q", width, turn, "q"), turn.shape[1]
     # |M v - value v|^2 = v'M'M v - 2 value v'M v + value^2, from the small products
     left = np.einsum("ij,ik,kj->j", rotate, yy, rotate) - value ** 2
     residual = np.sqrt(np.maximum(left[:dim], 0)) / abs(value).max()

@@ -19,7 +19,7 @@ from postlens.plans.q_explain import (_DS_Y_SQL, _groups_sql, BASE, K, WEIGHT_SE
 from postlens.plans.q_features import _DOC_SPLIT_SQL, _PUNCT_SQL, _STOP_SQL, _TOKENS_SQL, doc_split, doc_stored, stored_vocab
 from postlens.plans.q_prepare import _r
 from postlens.plans.registry import query
-from postlens.session import cut_lineage, stored
+from postlens.session import beside, cut_lineage, stored
 from postlens.sources import testviews as V
 
 # The error threshold and the cluster counts of the reference's sweep.
@@ -173,7 +173,7 @@ def _learned_groups(spark, d, counts, tokens, held=None):
     table, vocab = _association(spark, d, held)
     vectors, _, _ = VE.factor(table, DIM, tol=1e-3, max_iter=12)
     vectors = vectors.withColumnRenamed("token", "token_id").join(vocab.select("token_id", "token"), "token_id").select("token", "vector")
-    classes = X.classify_tokens(tokens)
+    classes = stored(X.classify_tokens(tokens))
     content = classes.where(F.col("token_class") == "content").select("token")
     leaves = stored(vectors.join(content, "token").join(vocab.select("token", F.col("token_id").cast("long").alias("leaf")), "token"))
     cut = L.cuts(L.dendrogram(L.unit_vectors(leaves)), counts)
@@ -186,6 +186,12 @@ def _learned_groups(spark, d, counts, tokens, held=None):
         F.col("cluster").isNotNull().alias("learned")))
 
 
+def _tree_groups(spark, d):
+    """:func:`_learned_groups` of all tokens at the 14 counts."""
+    held = doc_stored(spark, d)
+    return _learned_groups(spark, d, CLUSTER_COUNTS, BL.exploded(held).distinct(), held)
+
+
 @query("token_groups_tree", "EXP1 EXP5 FLT7 FEA6", _PMI_SQL + f""",
 cls AS (SELECT token, CASE WHEN token IN ({_STOP_SQL}) THEN 'stop_words' WHEN contains('{_PUNCT_SQL}', token) THEN 'punctuation'
                WHEN regexp_full_match(token, '[{T.UNICODE_DIGITS}]+') THEN 'digits' WHEN contains(token, '#') THEN 'syllables'
@@ -197,8 +203,7 @@ FROM n, (SELECT unnest({CLUSTER_COUNTS}) AS k) k
 def token_groups_tree(spark, d):
     """Every distinct token has one group at each of the 14 counts; ``n_split``
     counts groups whose tokens lie in several groups of the next smaller count."""
-    held = doc_stored(spark, d)
-    g = _learned_groups(spark, d, CLUSTER_COUNTS, BL.exploded(held).distinct(), held)
+    g = _tree_groups(spark, d)
     learned = g.where("learned")
     w = Window.partitionBy("token").orderBy("num_clusters")
     coarser = learned.withColumn("up", F.lag("group_order").over(w)).groupBy("num_clusters", "group_order").agg(
@@ -301,14 +306,14 @@ def sage_sweep_tree(spark, d):
     vectors, two fitted linear models, one pass over the tokens.  The values of
     a setting add up to the loss with nothing shown less the loss with
     everything shown, which is worked out from the models' own predictions."""
+    learned = beside(spark, _tree_groups, spark, d)
     rows, counts = _text_rows(spark, d)
     heads = [GR.Head("score", "score", "squared"), GR.Head("party", "party", "squared")]
     model, terms, _, _ = _fit(rows, counts, heads, 1.0, 0.05, 8)
     shown = rows.where((F.col("split") == "test") & F.col("score").isNotNull())
     scored = cut_lineage(GR.predict(terms, shown, model))
     mine = terms.join(shown.select("row_idx"), "row_idx", "semi")
-    tokens = counts.select(F.substring("term", 3, 1 << 30).alias("token")).distinct()
-    groups = _learned_groups(spark, d, CLUSTER_COUNTS, tokens)
+    groups = learned.result()
     # tokens meet the finest groups once; those of smaller counts are unions of them
     fine = groups.where(F.col("num_clusters") == CLUSTER_COUNTS[-1]).select("token", F.col("group_order").alias("fine"))
     unions = groups.join(fine, "token").select("fine", "num_clusters", "group_order").distinct()
