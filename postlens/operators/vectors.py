@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from postlens.operators import blocks as BL
 from postlens.operators.grid import from_parts, grid, mapped, summed, to_parts, unpacked
-from postlens.session import cut_lineage, stored
+from postlens.operators.pairs import PairCells
+from postlens.session import cut_lineage, forget, stored
 
 OVERSAMPLE = 8
 
@@ -77,8 +78,10 @@ def association(counts: DataFrame, vocab: DataFrame, shift: float = 1.0, token:
             .crossJoin(F.broadcast(total)).select("a", "b", x.alias("x")).where(F.col("x") > 0))
 
 
-def multiply(matrix: DataFrame, tall: DataFrame, width: int) -> DataFrame:
-    """(a, y): the table ``matrix`` (a, b, x) times ``tall`` (token, q)."""
+def multiply(matrix, tall: DataFrame, width: int) -> DataFrame:
+    """(a, y): the table ``matrix`` (a, b, x), or its cells, times ``tall`` (token, q)."""
+    if isinstance(matrix, PairCells):
+        return matrix.named(matrix.times(matrix.tall(tall, "token", "q", width), width), "a", "y", width)
     cells = grid(matrix, "a", "b", "x")
     v = to_parts(cells.columns, cells.n_columns, tall, "token", "q", width)
     return from_parts(cells.rows, cells.times(v, width), "a", matrix.schema["a"].dataType.simpleString(), "y", width)
@@ -108,30 +111,39 @@ def _basis(gram: np.ndarray) -> tuple[np.ndarray, bool]:
     return vector[:, there] / np.sqrt(value[there]), bool(value[there][0] < 1e-8 * value[-1])
 
 
-def factor(matrix: DataFrame, dim: int, tol: float = 1e-4, max_iter: int = 20, oversample: int = OVERSAMPLE):
-    """The ``dim`` eigenvalues of largest size of a symmetric table (a, b, x)
-    and its vectors: ((token, vector), values, residuals).
+def factor(matrix, dim: int, tol: float = 1e-4, max_iter: int = 20, oversample: int = OVERSAMPLE):
+    """The ``dim`` eigenvalues of largest size of a symmetric table (a, b, x),
+    or of its cells, and its vectors: ((token, vector), values, residuals).
 
     A vector is the row of the eigenvectors times the roots of the values'
     sizes.  The loop ends when no kept value changes by more than ``tol`` of the
     largest, or after ``max_iter`` products; a residual is |M v - value v| over
     the largest value.
     """
-    cells = grid(matrix, "a", "b", "x", square=True)
     width = dim + oversample
-    of_kind = matrix.schema["a"].dataType.simpleString()
-    tokens = matrix.select(F.col("a").alias("token")).distinct()
-    start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.xxhash64("token", i) / F.lit(2.0 ** 63))
-    tall = stored(to_parts(cells.rows, cells.n_rows, tokens.select("token", start.alias("q")), "token", "q", width)
-                       .withColumnRenamed("v", "q"))
-    if tall.isEmpty():
-        return tokens.select("token", F.array().cast("array<double>").alias("vector")), np.zeros(0), np.zeros(0)
+    if isinstance(matrix, PairCells):
+        cells, spark, tokens = matrix, matrix.cells.sparkSession, None
+        tall = stored(cells.start(width))
+        empty = tall.isEmpty() or not small_products(tall.withColumn("y", F.col("q")), width)[1].any()
+    else:
+        cells, spark = grid(matrix, "a", "b", "x", square=True), matrix.sparkSession
+        tokens = matrix.select(F.col("a").alias("token")).distinct()
+        start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.xxhash64("token", i) / F.lit(2.0 ** 63))
+        tall = stored(to_parts(cells.rows, cells.n_rows, tokens.select("token", start.alias("q")), "token", "q", width)
+                           .withColumnRenamed("v", "q"))
+        empty = tall.isEmpty()
+    if empty:
+        none = spark.createDataFrame([], "token int, vector array<double>") if tokens is None else tokens.select(
+            "token", F.array().cast("array<double>").alias("vector"))
+        return none, np.zeros(0), np.zeros(0)
     first, _ = _basis(small_products(tall.withColumn("y", F.col("q")), width)[1])
     # made of a stored table, for a product and a join
     tall, width = times(tall, "q", width, first, "q"), first.shape[1]
-    last = None
+    last, before = None, None
     for step in range(max_iter):
         both = stored(cells.times(tall.withColumnRenamed("q", "v"), width).withColumnRenamed("v", "y").join(tall, "part"))
+        forget(spark, before)
+        before = both
         qy, yy = small_products(both, width)
         value, rotate = np.linalg.eigh((qy + qy.T) / 2)
         order = np.argsort(-abs(value), kind="stable")
@@ -149,6 +161,9 @@ def factor(matrix: DataFrame, dim: int, tol: float = 1e-4, max_iter: int = 20, o
     left = np.einsum("ij,ik,kj->j", rotate, yy, rotate) - value ** 2
     residual = np.sqrt(np.maximum(left[:dim], 0)) / abs(value).max()
     vectors = times(both, "q", width, rotate[:, :dim] * np.sqrt(abs(value[:dim])), "vector")
+    if tokens is None:
+        return cells.named(vectors, "token", "vector", len(value[:dim]), "vector"), value[:dim], residual
+    of_kind = matrix.schema["a"].dataType.simpleString()
     return from_parts(cells.rows, vectors, "token", of_kind, "vector", len(value[:dim]), "vector"), value[:dim], residual
 
 

@@ -3,20 +3,21 @@ vectors and groups, all group counts from one tree, weights as a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postlens.functions import text as T
-from postlens.operators import blocks as BL
 from postlens.operators import explain as X
 from postlens.operators import gradient as GR
 from postlens.operators import linkage as L
 from postlens.operators import metrics as M
+from postlens.operators import packed as PK
 from postlens.operators import prepare as P
 from postlens.operators import sage as G
 from postlens.operators import vectors as VE
+from postlens.operators.pairs import pair_cells
 from postlens.plans.q_explain import (_DS_Y_SQL, _groups_sql, BASE, K, WEIGHT_SEED, Y_EXPRS, doc_groups, group_weight)
-from postlens.plans.q_features import _DOC_SPLIT_SQL, _PUNCT_SQL, _STOP_SQL, _TOKENS_SQL, doc_split, doc_stored, stored_vocab
+from postlens.plans.q_features import _DOC_SPLIT_SQL, _PUNCT_SQL, _STOP_SQL, _TOKENS_SQL, doc_split, packed_vocab
+from postlens.plans.q_features import doc_packed as doc_stored
 from postlens.plans.q_prepare import _r
 from postlens.plans.registry import query
 from postlens.session import beside, cut_lineage, stored
@@ -119,12 +120,11 @@ pos_ AS (SELECT * FROM pmi WHERE x > 1e-12)"""
 
 
 def _association(spark, d, held=None):
-    """((a, b, x) of token ids, vocabulary) of the training rows' tokens;
-    ``held``: the stored tokens, if there are any yet."""
-    rows = (doc_stored(spark, d) if held is None else held).where(F.col("split") == "train")
-    vocab = stored_vocab(rows)
-    table = VE.association(VE.pair_counts(rows, window=WINDOW, vocab=vocab), vocab, token="token_id")
-    return cut_lineage(table.where(F.col("x") > 1e-12)), vocab
+    """(cells of pairs of token ids, vocabulary) of the training rows' tokens;
+    ``held``: the packed tokens, if there are any yet."""
+    held = doc_stored(spark, d) if held is None else held
+    vocab = packed_vocab(held)
+    return pair_cells(held, vocab, WINDOW), vocab
 
 
 @query("token_association", "FEA6", _PMI_SQL + """
@@ -133,8 +133,9 @@ SELECT a AS token, count(*) AS n_beside, round(sum(x), 4) AS association FROM po
 def token_association(spark, d):
     """What the token vectors are factored from: shifted positive pointwise
     mutual information of tokens at most two places apart."""
-    table, vocab = _association(spark, d)
-    each = table.groupBy(F.col("a").alias("token_id")).agg(F.count(F.lit(1)).alias("n_beside"), _r(F.sum("x"), 4).alias("association"))
+    cells, vocab = _association(spark, d)
+    each = cells.named(cells.each, "token_id", "x", 2).select("token_id", F.get("x", F.lit(0)).cast("long").alias("n_beside"),
+                                                              _r(F.get("x", F.lit(1)), 4).alias("association"))
     return each.join(vocab.select("token_id", "token"), "token_id").select("token", "n_beside", "association")
 
 
@@ -166,30 +167,28 @@ def token_vectors(spark, d):
                        F.get(ordered, F.col("component")).alias("in_order"))
 
 
-def _learned_groups(spark, d, counts, tokens, held=None):
-    """(token, num_clusters, group_order) of every distinct token: clusters of
-    content tokens cut from one tree, then the fixed groups, then tokens
-    without a vector."""
+def _learned_groups(spark, d, counts, held):
+    """(token, groups, learned) of every distinct token, its group at each of the
+    ``counts``: clusters of content tokens cut from one tree, then the fixed
+    groups, then tokens without a vector."""
     table, vocab = _association(spark, d, held)
     vectors, _, _ = VE.factor(table, DIM, tol=1e-3, max_iter=12)
-    vectors = vectors.withColumnRenamed("token", "token_id").join(vocab.select("token_id", "token"), "token_id").select("token", "vector")
-    classes = stored(X.classify_tokens(tokens))
+    vectors = vectors.withColumnRenamed("token", "token_id").join(vocab.select("token_id", "token"), "token_id")
+    classes = stored(X.classify_tokens(PK.block_words(held).select("token").distinct()))
     content = classes.where(F.col("token_class") == "content").select("token")
-    leaves = stored(vectors.join(content, "token").join(vocab.select("token", F.col("token_id").cast("long").alias("leaf")), "token"))
-    cut = L.cuts(L.dendrogram(L.unit_vectors(leaves)), counts)
-    clustered = cut.join(leaves.select(F.col("leaf").alias("node"), "token"), "node").select("token", "num_clusters", "cluster")
-    every = classes.withColumn("num_clusters", F.explode(F.array(*(F.lit(k) for k in counts))))
+    leaves = stored(vectors.join(content, "token").select("token", "vector", F.col("token_id").cast("long").alias("leaf")))
+    cut = L.cut_lists(L.dendrogram(L.unit_vectors(leaves)), counts)
+    clustered = cut.join(leaves.select(F.col("leaf").alias("node"), "token"), "node").select("token", "clusters")
     fixed = F.create_map(*[x for i, g in enumerate([*X.FIXED_GROUPS, X.RARE_GROUP]) for x in (F.lit(g), F.lit(i))])
     named = F.when(F.col("token_class") == "content", F.lit(X.RARE_GROUP)).otherwise(F.col("token_class"))
-    return stored(every.join(clustered, ["token", "num_clusters"], "left").select(
-        "token", "num_clusters", F.coalesce("cluster", F.col("num_clusters") + F.element_at(fixed, named)).alias("group_order"),
-        F.col("cluster").isNotNull().alias("learned")))
+    other = F.array(*(F.lit(k) + F.element_at(fixed, named) for k in counts))
+    return stored(classes.join(clustered, "token", "left").select(
+        "token", F.coalesce("clusters", other).alias("groups"), F.col("clusters").isNotNull().alias("learned")))
 
 
 def _tree_groups(spark, d):
     """:func:`_learned_groups` of all tokens at the 14 counts."""
-    held = doc_stored(spark, d)
-    return _learned_groups(spark, d, CLUSTER_COUNTS, BL.exploded(held).distinct(), held)
+    return _learned_groups(spark, d, CLUSTER_COUNTS, doc_stored(spark, d))
 
 
 @query("token_groups_tree", "EXP1 EXP5 FLT7 FEA6", _PMI_SQL + f""",
@@ -203,14 +202,14 @@ FROM n, (SELECT unnest({CLUSTER_COUNTS}) AS k) k
 def token_groups_tree(spark, d):
     """Every distinct token has one group at each of the 14 counts; ``n_split``
     counts groups whose tokens lie in several groups of the next smaller count."""
-    g = _tree_groups(spark, d)
-    learned = g.where("learned")
-    w = Window.partitionBy("token").orderBy("num_clusters")
-    coarser = learned.withColumn("up", F.lag("group_order").over(w)).groupBy("num_clusters", "group_order").agg(
-        F.countDistinct("up").alias("ups"))
-    split = coarser.groupBy("num_clusters").agg(F.sum(F.when(F.col("ups") > 1, 1).otherwise(0)).alias("n_split"))
+    wide = _tree_groups(spark, d)
+    at = F.explode(F.arrays_zip(F.array(*(F.lit(k) for k in CLUSTER_COUNTS)).alias("num_clusters"), F.col("groups").alias("group_order"),
+                                F.concat(F.array(F.lit(None).cast("int")), F.slice("groups", 1, len(CLUSTER_COUNTS) - 1)).alias("up")))
+    g = wide.select("learned", at.alias("at")).select("learned", "at.*")  # a token is one row of ``wide``
+    split = g.where("learned").groupBy("num_clusters", "group_order").agg(F.countDistinct("up").alias("ups")).groupBy("num_clusters").agg(
+        F.sum(F.when(F.col("ups") > 1, 1).otherwise(0)).alias("n_split"))
     return g.groupBy("num_clusters").agg(
-        F.countDistinct("token").alias("n_tokens"), F.countDistinct(F.when(F.col("learned"), F.col("token"))).alias("n_learned"),
+        F.count("group_order").alias("n_tokens"), F.count(F.when(F.col("learned"), F.lit(1))).alias("n_learned"),
         F.countDistinct(F.when(F.col("learned"), F.col("group_order"))).alias("n_clusters")).join(split, "num_clusters")
 
 
@@ -315,8 +314,9 @@ def sage_sweep_tree(spark, d):
     mine = terms.join(shown.select("row_idx"), "row_idx", "semi")
     groups = learned.result()
     # tokens meet the finest groups once; those of smaller counts are unions of them
-    fine = groups.where(F.col("num_clusters") == CLUSTER_COUNTS[-1]).select("token", F.col("group_order").alias("fine"))
-    unions = groups.join(fine, "token").select("fine", "num_clusters", "group_order").distinct()
+    fine = groups.select("token", F.get("groups", F.lit(len(CLUSTER_COUNTS) - 1)).alias("fine"))
+    at = F.explode(F.arrays_zip(F.array(*(F.lit(k) for k in CLUSTER_COUNTS)).alias("num_clusters"), F.col("groups").alias("group_order")))
+    unions = groups.select(F.get("groups", F.lit(len(CLUSTER_COUNTS) - 1)).alias("fine"), at.alias("at")).select("fine", "at.*").distinct()
     named = fine.select(F.concat(F.lit("t:"), "token").alias("term"), "fine")
     from postlens.operators.skew import salted_join
     per_term = salted_join(mine, model.weights.join(named, "term"), "term", "inner", "row_idx")
