@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from postlens.functions.text import tokenize
 from postlens.operators.grid import Grid, from_parts, grid, mapped, summed, to_parts, unpacked
 from postlens.operators.skew import salted_join
-from postlens.session import stored
+from postlens.session import forget, stored
 
 #: Newton steps on the intercepts alone, at the end.
 INTERCEPT_STEPS = 5
@@ -118,6 +118,14 @@ class TermGrid:
         tall = to_parts(self.cells.columns, self.cells.n_columns, weights, "term", column, width)
         return self.cells.times(tall, width)
 
+    def packed_rows(self, values, width: int) -> DataFrame:
+        """(part, v): an array for each row, packed."""
+        return to_parts(self.cells.rows, self.cells.n_rows, self.rows.select("__row", values.alias("y")), "__row", "y", width)
+
+    def by_row(self, tall: DataFrame, column: str, width: int) -> DataFrame:
+        """(__row, column): the packed ``tall`` (part, v) row by row."""
+        return from_parts(self.cells.rows, tall, "__row", "long", column, width)
+
 
 def term_grid(terms: DataFrame, rows: DataFrame, key: str = "row_idx") -> TermGrid:
     """``terms`` (key, term, x) of ``rows`` (key, *labels) in cells."""
@@ -223,7 +231,8 @@ def fit_heads(terms, rows: DataFrame, heads: list[Head], key: str = "row_idx", l
         return none, none, none, 1.0 / (unpacked(squares, 1) * (curve / n) + l2)
 
     # w: weights, g: gradient, d: direction, m: scale
-    table = stored(mapped(cells.squares(), first, ["v"], ["w", "g", "d", "m"]))
+    table = table_before = stored(mapped(cells.squares(), first, ["v"], ["w", "g", "d", "m"]))
+    spark, state_before = table.sparkSession, None
     b, gb, db, move = (np.zeros(width) for _ in range(4))
     done = np.zeros(n_heads, bool)
     history, start, last = [], None, None
@@ -248,6 +257,8 @@ def fit_heads(terms, rows: DataFrame, heads: list[Head], key: str = "row_idx", l
             return w, new, d, m, products
 
         table = stored(mapped(table.join(back, "part"), gradient, ["v", "w", "g", "d", "m"], ["w", "g", "d", "m", "s"]))
+        forget(spark, table_before, state_before)
+        table_before, state_before = table, state
         gb_new = summed(state.select("y", "q", "z"), lambda *x: errors(*x).sum(0), width)
         nn, nmn, nmo, w_down, w_d, down2, down_d, d2 = summed(
             table.select("s"), lambda s: unpacked(s, width), 8 * width).reshape(8, width)
@@ -314,8 +325,7 @@ def fit_heads(terms, rows: DataFrame, heads: list[Head], key: str = "row_idx", l
 def _labels(held: TermGrid, heads: list[Head]) -> DataFrame:
     """(part, y) of the rows: a label for each head, not a number where there is none."""
     labels = F.array(*(F.coalesce(F.col(h.label).cast("double"), F.lit(float("nan"))) for h in heads))
-    return to_parts(held.cells.rows, held.cells.n_rows, held.rows.select("__row", labels.alias("y")), "__row", "y",
-                    len(heads)).withColumnRenamed("v", "y")
+    return held.packed_rows(labels, len(heads)).withColumnRenamed("v", "y")
 
 
 def _label_counts(state: DataFrame, n_heads: int) -> np.ndarray:
@@ -341,7 +351,7 @@ def predict(terms, rows: DataFrame, model: Fitted, key: str = "row_idx") -> Data
     held = terms if isinstance(terms, TermGrid) else term_grid(terms, rows, key)
     zeros = F.array(*(F.lit(0.0) for _ in range(width)))
     shift = F.array(*(F.lit(float(x)) for x in model.intercepts))
-    scored = from_parts(held.cells.rows, held.scores(model.weights, "w", width), "__row", "long", "z", width)
+    scored = held.by_row(held.scores(model.weights, "w", width), "z", width)
     return held.rows.join(scored, "__row", "left").withColumn(
         "scores", F.zip_with(F.coalesce("z", zeros), shift, lambda z, s: z + s)).drop("z", "__row")
 

@@ -13,6 +13,7 @@ from postlens.operators import metrics as M
 from postlens.operators import packed as PK
 from postlens.operators import prepare as P
 from postlens.operators import sage as G
+from postlens.operators import terms as TE
 from postlens.operators import vectors as VE
 from postlens.operators.pairs import pair_cells
 from postlens.plans.q_explain import (_DS_Y_SQL, _groups_sql, BASE, K, WEIGHT_SEED, Y_EXPRS, doc_groups, group_weight)
@@ -186,9 +187,9 @@ def _learned_groups(spark, d, counts, held):
         "token", F.coalesce("clusters", other).alias("groups"), F.col("clusters").isNotNull().alias("learned")))
 
 
-def _tree_groups(spark, d):
+def _tree_groups(spark, d, held=None):
     """:func:`_learned_groups` of all tokens at the 14 counts."""
-    return _learned_groups(spark, d, CLUSTER_COUNTS, doc_stored(spark, d))
+    return _learned_groups(spark, d, CLUSTER_COUNTS, doc_stored(spark, d) if held is None else held)
 
 
 @query("token_groups_tree", "EXP1 EXP5 FLT7 FEA6", _PMI_SQL + f""",
@@ -214,7 +215,7 @@ def token_groups_tree(spark, d):
 
 
 def _text_rows(spark, d):
-    """(row_idx, split, labels...) and the rows' term counts, tokenised once."""
+    """(row_idx, split, labels...) of every row; its text is in the packed tokens."""
     docs = doc_split(spark, d).withColumn("reactions_sum", F.col("n_chars").cast("double"))
     docs = P.impact(docs, "group_id")
     labels = V.table(spark, d, "labels").select(F.col("doc_id").alias("row_idx"), "toxic", "quality")
@@ -223,20 +224,16 @@ def _text_rows(spark, d):
     langs = M.target_codes(docs.select("row_idx", F.col("Type").alias("Target")))
     rows = docs.join(labels, "row_idx", "left").join(langs.select(F.col("Target").alias("Type"), "target_id"), "Type", "left")
     stance = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 0).when(F.col("toxic").isNotNull(), 2)
-    rows = cut_lineage(rows.select("row_idx", "split", "Type", "score", F.col("impact").cast("double").alias("impact"),
+    return cut_lineage(rows.select("row_idx", "split", "Type", "score", F.col("impact").cast("double").alias("impact"),
                                    (F.col("Type") == "en").cast("double").alias("party"), stance.cast("double").alias("stance"),
-                                   F.col("target_id").cast("double").alias("target"), "Text"))
-    counts = cut_lineage(GR.term_rows(rows, "row_idx", "Text", []))
-    return rows.drop("Text"), counts
+                                   F.col("target_id").cast("double").alias("target")))
 
 
-def _fit(rows, counts, heads, l2, tol, max_steps):
+def _fit(rows, tokens, heads, l2, tol, max_steps):
     train = rows.where(F.col("split") == "train")
-    mine = counts.join(train.select("row_idx"), "row_idx", "semi")
-    table = cut_lineage(GR.term_table(mine, train, "row_idx", 10))
-    terms = cut_lineage(GR.weighted(counts, table, "row_idx"))
-    held = GR.term_grid(terms, train, "row_idx")
-    return GR.fit_heads(held, train, heads, "row_idx", l2, tol, max_steps), terms, table, held
+    table = cut_lineage(TE.term_idf(tokens, "row_idx", train, 10))
+    held = TE.packed_terms(tokens, table, train)
+    return GR.fit_heads(held, train, heads, "row_idx", l2, tol, max_steps), table, held
 
 
 TEXT_HEADS = [("score", "squared", 1), ("party", "binary", 1), ("impact", "binary", 1), ("stance", "classes", 3)]
@@ -265,10 +262,10 @@ def text_heads(spark, d):
     """Four models on one text space whose vocabulary and weights are tables.
     An intercept that is not penalised makes the mean prediction over the
     training rows the mean label; the gradient is worked out anew."""
-    rows, counts = _text_rows(spark, d)
+    rows = _text_rows(spark, d)
     n_targets = rows.agg(F.max("target")).first()[0]  # one code for each label
     heads = [GR.Head(n, n, loss, k) for n, loss, k in [*TEXT_HEADS, ("target", "classes", int(n_targets or 0) + 1)]]
-    model, _, table, held = _fit(rows, counts, heads, 1.0, 0.05, 15)
+    model, table, held = _fit(rows, doc_stored(spark, d), heads, 1.0, 0.05, 15)
     train = rows.where(F.col("split") == "train")
     scored = stored(GR.predict(held, train, model))
     start = GR.Fitted(heads, model.weights.withColumn("w", F.transform("w", lambda x: x * 0)), model.intercepts * 0)
@@ -305,35 +302,37 @@ def sage_sweep_tree(spark, d):
     vectors, two fitted linear models, one pass over the tokens.  The values of
     a setting add up to the loss with nothing shown less the loss with
     everything shown, which is worked out from the models' own predictions."""
-    learned = beside(spark, _tree_groups, spark, d)
-    rows, counts = _text_rows(spark, d)
+    held = beside(spark, doc_stored, spark, d)
+    learned = beside(spark, lambda: _tree_groups(spark, d, held.result()))
+    rows, tokens = _text_rows(spark, d), held.result()
     heads = [GR.Head("score", "score", "squared"), GR.Head("party", "party", "squared")]
-    model, terms, _, _ = _fit(rows, counts, heads, 1.0, 0.05, 8)
+    model, table, _ = _fit(rows, tokens, heads, 1.0, 0.05, 8)
     shown = rows.where((F.col("split") == "test") & F.col("score").isNotNull())
-    scored = cut_lineage(GR.predict(terms, shown, model))
-    mine = terms.join(shown.select("row_idx"), "row_idx", "semi")
+    scored = cut_lineage(GR.predict(TE.packed_terms(tokens, table, shown), shown, model))
     groups = learned.result()
     # tokens meet the finest groups once; those of smaller counts are unions of them
-    fine = groups.select("token", F.get("groups", F.lit(len(CLUSTER_COUNTS) - 1)).alias("fine"))
+    fine = F.get("groups", F.lit(len(CLUSTER_COUNTS) - 1)).alias("fine")
     at = F.explode(F.arrays_zip(F.array(*(F.lit(k) for k in CLUSTER_COUNTS)).alias("num_clusters"), F.col("groups").alias("group_order")))
-    unions = groups.select(F.get("groups", F.lit(len(CLUSTER_COUNTS) - 1)).alias("fine"), at.alias("at")).select("fine", "at.*").distinct()
-    named = fine.select(F.concat(F.lit("t:"), "token").alias("term"), "fine")
-    from postlens.operators.skew import salted_join
-    per_term = salted_join(mine, model.weights.join(named, "term"), "term", "inner", "row_idx")
-    label = F.explode(F.array(F.struct(F.lit("score").alias("label"), F.get("w", F.lit(0)).alias("w")),
-                              F.struct(F.lit("party").alias("label"), F.get("w", F.lit(1)).alias("w")))).alias("l")
-    by_fine = cut_lineage(per_term.select("row_idx", "fine", "x", label).groupBy("row_idx", "fine", F.col("l.label").alias("label"))
-                          .agg(F.sum(F.col("x") * F.col("l.w")).alias("c")))
-    # at most 60 fine groups at 14 counts
-    contrib = by_fine.join(F.broadcast(unions), "fine").groupBy("row_idx", "label", "num_clusters", "group_order").agg(
-        F.sum("c").alias("c"))
+    unions = {}  # at most 60 fine groups at 14 counts
+    for r in groups.select(fine, at.alias("at")).select("fine", "at.*").distinct().collect():
+        unions.setdefault(r["num_clusters"], {})[r["fine"]] = r["group_order"]
+    named = groups.select(F.concat(F.lit("t:"), "token").alias("term"), "token", fine)
+    weight = model.weights.join(table, "term").join(named, "term").select(
+        "token", "fine", F.transform("w", lambda w: w * F.col("idf")).alias("w"))
+    sums = stored(TE.group_sums(tokens, weight, shown, "row_idx", 2))
+
+    def items(label, at):
+        return F.struct(F.lit(label).alias("label"), F.transform("items", lambda x: F.struct(
+            x["fine"].alias("group_order"), F.get(x["c"], F.lit(at)).alias("c"))).alias("items"))
+
+    contrib = sums.select("row_idx", F.explode(F.array(items("score", 0), items("party", 1))).alias("l")).select("row_idx", "l.*")
     b = model.intercepts
     targets = scored.select("row_idx", F.explode(F.array(
         F.struct(F.lit("score").alias("label"), F.col("score").alias("y"), F.lit(float(b[0])).alias("base"), F.get("scores", F.lit(0)).alias("p")),
         F.struct(F.lit("party").alias("label"), F.col("party").alias("y"), F.lit(float(b[1])).alias("base"), F.get("scores", F.lit(1)).alias("p"))))
         .alias("t")).select("row_idx", "t.*")
     values = G.sage_values(contrib, targets.select("row_idx", "label", "y", "base"), "row_idx", "base", "y",
-                           by=["num_clusters", "label"], thresh=THRESH, max_rounds=64)
+                           by=["num_clusters", "label"], thresh=THRESH, max_rounds=64, unions=("num_clusters", unions))
     gap = targets.groupBy("label").agg(F.avg(F.pow(F.col("base") - F.col("y"), 2) - F.pow(F.col("p") - F.col("y"), 2)).alias("gap"))
     per = values.groupBy("num_clusters", "label").agg(F.sum("sage").alias("total"), F.max("rounds").alias("rounds"),
                                                       F.min("converged").alias("converged"), F.max("std_err").alias("err"))
