@@ -62,8 +62,8 @@ def test_unions_give_the_values_of_their_groups(spark):
     unions = {2: {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}, 3: {0: 0, 1: 1, 2: 2, 3: 1, 4: 3}}
     rows = [(k, lab, [(g, float(rng.normal())) for g in range(5) if rng.random() < 0.6 and g != 3 or g == 4 and k == 0]) for k in range(40) for lab in "ab"]
     contrib = spark.createDataFrame([r for r in rows if r[2]], "row_idx long, label string, items array<struct<group_order: int, c: double>>")
-    targets = spark.createDataFrame([(k, lab, float(rng.normal()) if k != 7 else None, 0.5) for k in range(40) for lab in "ab"],
-                                    "row_idx long, label string, y double, base double")
+    targets = spark.createDataFrame([(k, lab, float(rng.normal()) if k != 7 else None, 0.5) for k in [*range(40), 3, 9, 9] for lab in "ab"],
+                                    "row_idx long, label string, y double, base double")  # keys 3 and 9 come again
     told = lambda v: {(r.k, r.label, r.group_order): (pytest.approx(r.sage), pytest.approx(r.std_err), r.rounds, r.converged) for r in v.collect()}
     got = G.sage_values(contrib, targets, by=["k", "label"], thresh=0.3, max_rounds=8, unions=("k", unions))
     flat = contrib.select("row_idx", "label", F.inline("items"))
