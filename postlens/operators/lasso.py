@@ -75,12 +75,13 @@ def fit_lasso(rows: DataFrame, columns, label: str, alpha: float, tol: float = 1
         # dual point: scale times the residuals over n, which add up to 0
         dual = scale * cross / n - 0.5 * scale * scale * square / n
         gap = max(0.0, square / (2 * n) + alpha * size - dual) / spread
-        if gap <= tol or step == max_steps:
-            return Lasso(weights.select("feature", "value", "n", "w"), b, gap, step)
         step_length = F.lit(1.0) / (len(columns) * F.col("n"))
         moved = F.col("w") + F.col("r") * step_length
         weights = weights.select("feature", "value", "n", (F.signum(moved) * F.greatest(
             F.abs(moved) - alpha * n * step_length, F.lit(0.0))).alias("w"))
+        if gap <= tol or step == max_steps:
+            # the weights of this intercept: the step lowers the objective, so the gap bounds theirs too
+            return Lasso(weights, b, gap, step)
     raise AssertionError
 
 
